@@ -45,10 +45,11 @@ def hash_group(df: DataFrame, group: str | Column, bits: int, output: str = "fea
     Slots come from a built-in hash; only the packing of two arrays into a
     vector, which Spark has no function for, runs in Arrow batches.
     """
-    terms = F.col(group) if isinstance(group, str) else group
-    slots = F.transform(terms, lambda t: slot(t["name"], bits))
-    values = F.transform(terms, lambda t: t["value"])
-    return df.withColumn(output, _pack(slots, values, F.lit(1 << bits)))
+    # The terms are read twice below; as a column of their own they are built once.
+    rows = df.withColumn("__terms", F.col(group) if isinstance(group, str) else group)
+    slots = F.transform("__terms", lambda t: slot(t["name"], bits))
+    values = F.transform("__terms", lambda t: t["value"])
+    return rows.withColumn(output, _pack(slots, values, F.lit(1 << bits))).drop("__terms")
 
 
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:

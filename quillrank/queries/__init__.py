@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scans", "relational", "columns")
+MODULES = ("scans", "relational", "columns", "learners")
 
 
 def load() -> tuple[dict, dict]:
