@@ -5,20 +5,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.operators.joins import join_lookup
+from quillrank.operators.joins import fits_broadcast, join_lookup
 from quillrank.operators.ordered import number_rows
+from quillrank.session import pin
 
 # More levels than this do not become columns of their own.
 MAX_DUMMIES = 1_000
 
+# Up to this many levels are sorted in one task.
+FEW_LEVELS = 100_000
 
-def category_freq(df: DataFrame, column: str) -> DataFrame:
-    """(column, n, idx): levels numbered from 0 by falling count, then by value."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return number_rows(counts, [F.desc("n"), F.asc(column)], name="idx", start=0)
+
+def category_freq(df: DataFrame, column: str, few: int = FEW_LEVELS) -> DataFrame:
+    """(column, n, idx): levels numbered from 0 by falling count, then by value.
+
+    Up to ``few`` levels are numbered in one task; more are numbered in sorted runs.
+    """
+    counts = pin(
+        df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")), "levels"
+    )
+    order = [F.desc("n"), F.asc(column)]
+    if fits_broadcast(counts, few):
+        number = F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
+        return counts.withColumn("idx", number)
+    return number_rows(counts, order, name="idx", start=0)
 
 
 def index_column(df: DataFrame, column: str, output: str, missing: str = "keep") -> DataFrame:

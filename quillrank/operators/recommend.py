@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.functions.tiles import best_of_tile
 from quillrank.operators.joins import join_lookup, top_k
 from quillrank.operators.ordered import number_rows
-from quillrank.session import pin, shared_dir
+from quillrank.session import shared_dir
 
 # Ranks per block when walking a ranked item list, and rows per side of a score tile.
 RANK_BLOCK = 1_024
@@ -96,19 +96,18 @@ def fit_ratings(
 ) -> ALSModel:
     """Low-rank rating model by alternating least squares.
 
-    The input is pinned, since every block is built from it again after a lost
-    executor, and the factor lineage is cut in the shared folder every few steps.
+    Give a pinned table: blocks are built from it again after a lost executor.
+    The factor lineage is cut in the shared folder every ten half steps.
     """
     spark = ratings.sparkSession
     shared_dir(spark)
     blocks = blocks or min(max(10, spark.sparkContext.defaultParallelism), 1_000)
     als = ALS(
         rank=rank, maxIter=iterations, regParam=reg, seed=seed, numUserBlocks=blocks,
-        numItemBlocks=blocks, checkpointInterval=5, coldStartStrategy="drop",
+        numItemBlocks=blocks, checkpointInterval=10, coldStartStrategy="drop",
         userCol="user_id", itemCol="item_id", ratingCol="rating",
     )
-    return als.fit(pin(ratings.select("user_id", "item_id", F.col("rating").cast("float").alias("rating")),
-                       "ratings"))
+    return als.fit(ratings.select("user_id", "item_id", F.col("rating").cast("float").alias("rating")))
 
 
 def predict_pairs(model: ALSModel, pairs: DataFrame) -> DataFrame:
@@ -170,7 +169,7 @@ def recommend(
     low, high = score_range or (-math.inf, math.inf)
 
     def best(tile: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        return _best_of_tile(tile, seen, k, low, high)
+        return best_of_tile(tile, seen, k, low, high)
 
     partial = (
         work.groupBy("user_part", "item_part")
@@ -184,46 +183,6 @@ def recommend(
     )
 
 
-def _best_of_tile(tile: pd.DataFrame, seen: pd.DataFrame, k: int, low: float, high: float) -> pd.DataFrame:
-    """Top ``k`` unseen items per user inside one tile of users and items."""
-    empty = pd.DataFrame(
-        {"user_id": np.empty(0, "i4"), "item_id": np.empty(0, "i4"), "score": np.empty(0, "f4")}
-    )
-    if tile.empty:
-        return empty
-    row = tile.iloc[0]
-    users, items = np.asarray(row["user_ids"]), np.asarray(row["item_ids"])
-    rank = len(row["user_factors"]) // len(users)
-    scores = np.asarray(row["user_factors"], "f4").reshape(-1, rank) @ np.asarray(
-        row["item_factors"], "f4").reshape(-1, rank).T
-    scores[(scores < low) | (scores > high)] = -np.inf
-    if len(seen):
-        r, known_user = _positions(users, seen["user_id"].to_numpy())
-        c, known_item = _positions(items, seen["item_id"].to_numpy())
-        both = known_user & known_item
-        scores[r[both], c[both]] = -np.inf
-    if len(items) > k:
-        # The k-th best score of each user; ties at it are all kept and cut by item id below.
-        edge = np.partition(scores, len(items) - k, axis=1)[:, len(items) - k]
-    else:
-        edge = np.full(len(users), -np.inf, "f4")
-    r, c = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
-    s = scores[r, c]
-    order = np.lexsort((-items[c].astype("i8"), -s, r))
-    r, c, s = r[order], c[order], s[order]
-    starts = np.searchsorted(r, np.arange(len(users)))
-    keep = np.arange(len(r)) - starts[r] < k
-    return pd.DataFrame({"user_id": users[r[keep]], "item_id": items[c[keep]], "score": s[keep]})
-
-
-def _positions(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position of each wanted id in ``ids`` and whether it is there."""
-    order = np.argsort(ids)
-    at = np.minimum(np.searchsorted(ids, wanted, sorter=order), len(ids) - 1)
-    position = order[at]
-    return position, ids[position] == wanted
-
-
 def recs_as_arrays(recs: DataFrame) -> DataFrame:
     """One row per user with its items in rank order."""
     by_rank = F.array_sort(F.collect_list(F.struct("rank", "item_id")))

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillrank.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -83,8 +85,13 @@ FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
 }
 
 
+# Tables whose rows take real work; their scans are spread over all task slots.
+SPREAD = {"lineitem": ("l_orderkey", "l_partkey"), "documents": ("doc_id",)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan, *SPREAD[name]) if name in SPREAD else scan
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

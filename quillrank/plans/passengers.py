@@ -6,18 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillrank.functions import encode, metrics, text
 from quillrank.operators import categories, evaluate, features, impute, joins, learn, splits
 from quillrank.operators.learn import ModelSpec, RunResult
 from quillrank.session import pin
 
-SCHEMA = T.StructType.fromDDL(
-    "passenger_id int, survived int, pclass int, name string, sex string, age double, sibsp int, "
-    "parch int, ticket string, fare double, cabin string, embarked string"
-)
-SCHEMA_UNLABELED = T.StructType([f for f in SCHEMA if f.name != "survived"])
+_TRAVEL = ("pclass int, name string, sex string, age double, sibsp int, parch int, ticket string, "
+           "fare double, cabin string, embarked string")
+SCHEMA = f"passenger_id int, survived int, {_TRAVEL}"
+SCHEMA_UNLABELED = f"passenger_id int, {_TRAVEL}"
 
 
 def text_example() -> Column:

@@ -96,7 +96,7 @@ def recommend_all(spark: SparkSession, ratings_path: str, recs_path: str, k: int
     if num_ratings:
         rows = ordered.first_rows(rows, num_ratings, readers.FILE_ORDER)
     rows = pin(rows, "ratings")
-    ratings = joins.latest(rows, PAIR, readers.FILE_ORDER, ["rating"])
+    ratings = pin(joins.latest(rows, PAIR, readers.FILE_ORDER, ["rating"]), "ratings")
     model = fit_ratings(ratings, rank, iterations, reg)
     writers.write_recs(recommend.recommend(model, ratings, k, score_range=score_range), recs_path)
     if mode is None:

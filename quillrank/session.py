@@ -70,6 +70,15 @@ def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the session has task slots.
+
+    A large input already has more splits than slots and is left as it is.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots, *keys) if scan.rdd.getNumPartitions() < slots else scan
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's part of the shared folder once its results are written."""
     folder = spark.sparkContext.getCheckpointDir()
