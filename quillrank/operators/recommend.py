@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from quillrank.functions.tiles import best_of_tile
 from quillrank.operators.joins import join_lookup, top_k
 from quillrank.operators.ordered import number_rows
-from quillrank.session import shared_dir
+from quillrank.session import pin, shared_dir
 
 # Ranks per block when walking a ranked item list, and rows per side of a score tile.
 RANK_BLOCK = 1_024
 USER_TILE = 1_024
 ITEM_TILE = 8_192
 
+# Factor blocks follow the task slots up to this; more would make too many small messages.
+MAX_BLOCKS = 1_000
+
 
 def pair_space(ratings: DataFrame, items: DataFrame, user: str = "user_id", item: str = "item_id"
                ) -> DataFrame:
@@ -40,21 +43,49 @@ def item_means(ratings: DataFrame, digits: int = 6) -> DataFrame:
     return number_rows(means, [F.desc("score"), F.desc("item_id")], name="position")
 
 
-def unseen_by_rank(ratings: DataFrame, ranked_items: DataFrame, k: int = 10) -> DataFrame:
+def unseen_by_rank(ratings: DataFrame, ranked_items: DataFrame, k: int = 10,
+                   block_size: int = RANK_BLOCK) -> DataFrame:
     """Top ``k`` unrated items per user when all users share one item ranking.
 
-    A user's rated positions are grouped into blocks of the ranking. A block
-    without gaps gives nothing, and after a block without ratings the list is
-    full, so only the gaps of few blocks are written out: ``k`` rows per user,
-    and no group above one block. ``ranked_items``: (item_id, score, position).
+    The first block of the ranking is enough for every user who left ``k`` gaps
+    in it. Only its ratings are looked at, and per user no more than one block is
+    collected. Users with fewer gaps there go through all their blocks.
+    ``ranked_items``: (item_id, score, position).
     """
-    block_size = max(RANK_BLOCK, k)
+    block_size = max(block_size, k)
     n_items = ranked_items.count()
-    last = max((n_items - 1) // block_size, 0)
-    pairs = ratings.select("user_id", "item_id").distinct()
-    rated = join_lookup(pairs, ranked_items.select("item_id", "position"), "item_id")
+    head_size = min(block_size, n_items)
+    head = ranked_items.filter(F.col("position") <= block_size)
+    marked = ratings.select("user_id", "item_id").join(
+        F.broadcast(head.select("item_id", "position")), "item_id", "left"
+    )
+    # A left join leaves the position empty outside the first block, and sets skip empty values.
+    per_user = pin(marked.groupBy("user_id").agg(F.collect_set("position").alias("taken")), "head")
+    enough = (F.size("taken") + k <= head_size) if n_items > block_size else F.lit(True)
+    free = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.lit(head_size).cast("bigint")), F.col("taken"))
+    light = per_user.filter(enough).select("user_id", F.posexplode(F.slice(free, 1, k)).alias("pos", "position"))
+    recs = light.join(F.broadcast(head), "position").select(
+        "user_id", "item_id", "score", (F.col("pos") + 1).cast("bigint").alias("rank")
+    )
+    heavy = per_user.filter(~enough).select("user_id")
+    if heavy.isEmpty():
+        return recs
+    theirs = join_lookup(ratings.select("user_id", "item_id"), heavy, "user_id")
+    return recs.unionByName(_unseen_by_block(theirs, ranked_items, n_items, k, block_size))
+
+
+def _unseen_by_block(ratings: DataFrame, ranked_items: DataFrame, n_items: int, k: int, block_size: int
+                     ) -> DataFrame:
+    """Gaps of users over all blocks of the ranking.
+
+    Rated positions are collected per user and block. A full block gives
+    nothing, and after a block without ratings the list is full, so only the
+    gaps of few blocks are written out: ``k`` rows per user.
+    """
+    last = (n_items - 1) // block_size
+    rated = join_lookup(ratings, ranked_items.select("item_id", "position"), "item_id")
     block = F.floor((F.col("position") - 1) / block_size).cast("bigint")
-    used = rated.groupBy("user_id", block.alias("block")).agg(F.collect_list("position").alias("taken"))
+    used = rated.groupBy("user_id", block.alias("block")).agg(F.collect_set("position").alias("taken"))
 
     # The first block of each user and the one after each used block may hold gaps too.
     none = F.array().cast("array<bigint>")
@@ -101,7 +132,7 @@ def fit_ratings(
     """
     spark = ratings.sparkSession
     shared_dir(spark)
-    blocks = blocks or min(max(10, spark.sparkContext.defaultParallelism), 1_000)
+    blocks = blocks or min(spark.sparkContext.defaultParallelism, MAX_BLOCKS)
     als = ALS(
         rank=rank, maxIter=iterations, regParam=reg, seed=seed, numUserBlocks=blocks,
         numItemBlocks=blocks, checkpointInterval=10, coldStartStrategy="drop",
