@@ -14,10 +14,21 @@ from quillrank.operators.joins import join_lookup, top_k
 from quillrank.operators.ordered import number_rows
 from quillrank.session import pin, shared_dir
 
-# Ranks per block when walking a ranked item list, and rows per side of a score tile.
+# Ranks per block when walking a ranked item list.
 RANK_BLOCK = 1_024
-USER_TILE = 1_024
-ITEM_TILE = 8_192
+
+# Largest score tile: users, items and rated pairs of one task.
+USER_TILE = 16_384
+ITEM_TILE = 65_536
+TILE_RATINGS = 4_000_000
+
+# Tiles per task slot, but no tile below this many users for the sake of more tasks.
+TILES_PER_SLOT = 4
+LEAST_USERS = 256
+MOST_TASKS = 20_000
+
+# Item factors are broadcast up to this size.
+BROADCAST_BYTES = 256 << 20
 
 # Factor blocks follow the task slots up to this; more would make too many small messages.
 MAX_BLOCKS = 1_000
@@ -146,25 +157,43 @@ def predict_pairs(model: ALSModel, pairs: DataFrame) -> DataFrame:
     return model.transform(pairs)
 
 
+def tiling(users: int, items: int, ratings: int, slots: int, user_tile: int = USER_TILE,
+           item_tile: int = ITEM_TILE) -> tuple[int, int]:
+    """(user parts, item parts): enough tiles for the slots, none too large in users, items or ratings."""
+    item_parts = max(math.ceil(items / item_tile), 1)
+    busy = min(math.ceil(TILES_PER_SLOT * slots / item_parts), math.ceil(users / LEAST_USERS))
+    room = math.ceil(ratings / TILE_RATINGS / item_parts)
+    return max(math.ceil(users / user_tile), busy, room, 1), item_parts
+
+
 def recommend(
     model: ALSModel, ratings: DataFrame, k: int = 10, users: DataFrame | None = None,
     score_range: tuple[float, float] | None = None,
-    user_tile: int = USER_TILE, item_tile: int = ITEM_TILE,
+    user_tile: int = USER_TILE, item_tile: int = ITEM_TILE, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Top ``k`` unrated items of every user, or of the given ``users``: exact, ties by item id.
 
-    Users and items are cut into tiles. One task scores one tile with a matrix
-    product, hides the rated pairs of that tile, and hands on ``k`` rows per
-    user; the partial lists then meet per user. Work per task is bound by the
-    tile, also for a user or an item with very many ratings.
+    Users and items are cut into tiles. One task scores one tile with matrix
+    products, hides the rated pairs of that tile, and hands on ``k`` rows per
+    user; the partial lists then meet per user. Pairs are never rows, and work
+    per task is bound by the tile, also for a user or an item with very many
+    ratings. Item tiles of a checked total size are broadcast; larger ones are
+    sent to the user tiles in two steps, so that no task copies a tile to all.
     """
+    rated = ratings.select(
+        F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id")
+    )
     chosen = model.userFactors
     if users is not None:
-        chosen = chosen.join(users.select(F.col("user_id").cast("int").alias("id")).distinct(), "id",
-                             "left_semi")
-    user_parts = max(math.ceil(chosen.count() / user_tile), 1)
-    item_parts = max(math.ceil(model.itemFactors.count() / item_tile), 1)
-    tiles = user_parts * item_parts
+        wanted = users.select(F.col("user_id").cast("int").alias("id")).distinct()
+        chosen = join_lookup(chosen, wanted, "id")
+        rated = join_lookup(rated, wanted.withColumnRenamed("id", "user_id"), "user_id")
+
+    slots = ratings.sparkSession.sparkContext.defaultParallelism
+    n_items = model.itemFactors.count()
+    user_parts, item_parts = tiling(chosen.count(), n_items, rated.count(), slots, user_tile, item_tile)
+    tiles = ["user_part", "item_part"]
+    width = min(user_parts * item_parts, MOST_TASKS)
 
     def part_of(column: str, parts: int):
         return F.pmod(F.xxhash64(F.col(column).cast("int")), F.lit(parts)).cast("int")
@@ -177,35 +206,31 @@ def recommend(
                     F.flatten("rows.features").alias(f"{side}_factors"))
         )
 
-    # Each packed side is sent to every tile that it is part of.
-    def spread(side_df: DataFrame, other: str, parts: int) -> DataFrame:
-        numbers = F.sequence(F.lit(0), F.lit(parts - 1))
-        return side_df.withColumn(f"{other}_part", F.explode(numbers)).repartition(
-            width, "user_part", "item_part"
-        )
-
-    width = min(tiles, 20_000)
-    left = spread(packed(chosen, user_parts, "user"), "item", item_parts)
-    right = spread(packed(model.itemFactors, item_parts, "item"), "user", user_parts)
-    work = left.join(right.hint("shuffle_hash"), ["user_part", "item_part"])
-    rated = ratings.select(
-        F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id")
-    ).distinct()
-    if users is not None:
-        rated = rated.join(users.select(F.col("user_id").cast("int")).distinct(), "user_id", "left_semi")
-    rated = rated.withColumns(
+    def numbers(count: int):
+        return F.sequence(F.lit(0), F.lit(count - 1))
+
+    left = packed(chosen, user_parts, "user").withColumn("item_part", F.explode(numbers(item_parts)))
+    left = left.repartition(width, *tiles)
+    right = packed(model.itemFactors, item_parts, "item")
+    if n_items * 4 * (model.rank + 1) <= broadcast_bytes:
+        work = left.join(F.broadcast(right), "item_part")
+    else:
+        fan = math.isqrt(user_parts - 1) + 1
+        copies = right.withColumn("fan", F.explode(numbers(fan))).repartition("item_part", "fan")
+        mine = F.filter(numbers(user_parts), lambda n: F.pmod(n, F.lit(fan)) == F.col("fan"))
+        copies = copies.withColumn("user_part", F.explode(mine)).drop("fan").repartition(width, *tiles)
+        work = left.join(copies, tiles)
+    rated = rated.distinct().withColumns(
         {"user_part": part_of("user_id", user_parts), "item_part": part_of("item_id", item_parts)}
-    ).repartition(width, "user_part", "item_part")
+    ).repartition(width, *tiles)
 
     low, high = score_range or (-math.inf, math.inf)
 
     def best(tile: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
         return best_of_tile(tile, seen, k, low, high)
 
-    partial = (
-        work.groupBy("user_part", "item_part")
-        .cogroup(rated.groupBy("user_part", "item_part"))
-        .applyInPandas(best, "user_id int, item_id int, score float")
+    partial = work.groupBy(*tiles).cogroup(rated.groupBy(*tiles)).applyInPandas(
+        best, "user_id int, item_id int, score float"
     )
     ranked = top_k(partial, "user_id", [F.desc("score"), F.desc("item_id")], k)
     return ranked.select(

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from quillrank.session import build_session
 
-    session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="8")
+    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -31,21 +31,21 @@ def held_out_auc(spec, df, **kw):
 
 
 def test_logistic_finds_the_planted_signal(planted):
-    auc, _ = held_out_auc(learn.logistic_regression(passes=20, l1=1e-4, l2=1e-4, bits=10), planted)
+    auc, _ = held_out_auc(learn.logistic_regression(passes=8, l1=1e-4, l2=1e-4, bits=8), planted)
     assert auc > 0.9
 
 
 def test_hidden_layer_finds_the_planted_signal(planted):
-    auc, _ = held_out_auc(learn.logistic_regression(passes=60, nn=5, bits=6), planted)
+    auc, _ = held_out_auc(learn.logistic_regression(passes=30, nn=5, bits=5), planted)
     assert auc > 0.9
 
 
 def test_trees_and_factors_find_the_planted_signal(planted):
     rows = features.assemble(planted, list("abcd")).withColumn("label", F.col("target").cast("double"))
     train, test = splits.random_split(rows, "id", 0.8)
-    trees = learn.probability(learn.fit_gbt(train, 2, 20).transform(test))
+    trees = learn.probability(learn.fit_gbt(train, 2, 6).transform(test))
     assert evaluate.auc(trees, "label", "score").first()[0] > 0.85
-    fm = learn.probability(learn.fit_fm(train, 3, 100, classify=True).transform(test))
+    fm = learn.probability(learn.fit_fm(train, 3, 40, step=0.1, classify=True).transform(test))
     assert evaluate.auc(fm, "label", "score").first()[0] > 0.85
 
 
@@ -56,14 +56,14 @@ def test_interactions_carry_an_xor(spark):
     df = spark.createDataFrame(rows, "id int, target int, a int, b int")
     group = encode.group([encode.token("a", F.col("a")), encode.token("b", F.col("b"))])
     made = learn.featurize(df, {"f": group}, F.col("target"), keep=["id"])
-    plain = learn.run(learn.logistic_regression(bits=10), made, key="id").scored
-    crossed = learn.run(learn.logistic_regression(bits=10, quadratic="ff"), made, key="id").scored
+    plain = learn.run(learn.logistic_regression(passes=5, bits=10), made, key="id").scored
+    crossed = learn.run(learn.logistic_regression(passes=5, bits=10, quadratic="ff"), made, key="id").scored
     assert evaluate.auc(plain, "label", "score").first()[0] < 0.75
     assert evaluate.auc(crossed, "label", "score").first()[0] > 0.99
 
 
 def test_search_picks_the_better_penalty(planted):
-    spec = learn.logistic_regression(passes=20, l2=[1e-6, 50.0, 200.0], bits=8)
+    spec = learn.logistic_regression(passes=5, l2=[1e-6, 50.0, 200.0], bits=6)
     _, result = held_out_auc(spec, planted, metric=metrics.log_loss(F.col("label"), F.col("score")),
                              larger_is_better=False)
     assert result.spec.params["l2"] == 1e-6 and not result.spec.searched

@@ -36,9 +36,12 @@ def brute_force(model, ratings, k):
     return best
 
 
-@pytest.mark.parametrize("tiles", [(1024, 8192), (30, 17)])
+@pytest.mark.parametrize("tiles", [(1024, 8192, 1 << 20), (30, 17, 1 << 20), (30, 17, 0)])
 def test_recommendations_equal_brute_force(model, planted, tiles):
-    recs = recommend.recommend(model, planted, 10, user_tile=tiles[0], item_tile=tiles[1]).collect()
+    users, items, size = tiles
+    recs = recommend.recommend(
+        model, planted, 10, user_tile=users, item_tile=items, broadcast_bytes=size
+    ).collect()
     want = brute_force(model, planted, 10)
     got = {}
     for r in sorted(recs, key=lambda r: r["rank"]):
@@ -80,6 +83,28 @@ def test_ties_go_to_the_larger_item(spark):
     assert list(out.item_id) == [5, 3]
 
 
+def test_small_slices_give_the_same_tile(monkeypatch):
+    from quillrank.functions import tiles
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    tile = pd.DataFrame([{"user_ids": np.arange(9), "user_factors": rng.integers(0, 3, 18).astype("f4"),
+                          "item_ids": np.arange(20), "item_factors": rng.integers(0, 3, 40).astype("f4")}])
+    seen = pd.DataFrame({"user_id": rng.integers(0, 12, 60), "item_id": rng.integers(0, 25, 60)})
+    whole = tiles.best_of_tile(tile, seen, 4, 0, 9)
+    monkeypatch.setattr(tiles, "CELLS", 40)
+    assert whole.equals(tiles.best_of_tile(tile, seen, 4, 0, 9))
+    assert not set(zip(whole.user_id, whole.item_id)) & set(zip(seen.user_id, seen.item_id))
+
+
+def test_tiling_bounds_every_tile():
+    assert recommend.tiling(15_000, 20_000, 600_000, 8) == (32, 1)
+    users, items = recommend.tiling(10**9, 10**7, 10**12, 8_000)
+    assert 10**9 / users <= recommend.USER_TILE and 10**7 / items <= recommend.ITEM_TILE
+    assert 10**12 / users / items <= recommend.TILE_RATINGS
+    assert recommend.tiling(100, 50, 0, 8_000) == (1, 1)
+
+
 def test_model_beats_the_mean(planted):
     train, test = splits.random_split(planted, F.concat_ws("-", "user_id", "item_id"), 0.8)
     result = plans.evaluate_model(train, test, rank=3, iterations=10, reg=0.02)
