@@ -19,6 +19,11 @@ def names() -> list[str]:
     return [f"feature{n}" for n in range(1, FEATURES + 1)]
 
 
+_COLUMNS = ", ".join(f"{n} double" for n in names())
+TRAIN_SCHEMA = f"{_COLUMNS}, target int"
+TEST_SCHEMA = f"t_id string, {_COLUMNS}"
+
+
 def feature_group(values: Column) -> Column:
     """The dense features by name; missing ones are left out."""
     return encode.named_features(values, "feature")
@@ -53,9 +58,8 @@ def playground(train: DataFrame, key: str | Column, passes: int = 500) -> float:
 
 def submit(spark: SparkSession, train_path: str, test_path: str, out_path: str, passes: int = 500) -> DataFrame:
     """Train on one file, score another, write ``"t_id","probability"``."""
-    columns = ", ".join(f"{n} double" for n in names())
-    model = fit(readers.read_table(spark, train_path, schema=f"{columns}, target int"), passes)
-    test = readers.read_table(spark, test_path, schema=f"t_id string, {columns}")
+    model = fit(readers.read_table(spark, train_path, schema=TRAIN_SCHEMA), passes)
+    test = readers.read_table(spark, test_path, schema=TEST_SCHEMA)
     rows = writers.submission(score(model, test), "t_id", "score", ("t_id", "probability"))
     writers.write_submission(rows, out_path, quoted_header=True)
     return rows

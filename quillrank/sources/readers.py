@@ -57,6 +57,11 @@ def with_file_order(df: DataFrame) -> DataFrame:
     ).withColumn(FILE_ORDER[2], F.monotonically_increasing_id())
 
 
+def file_key() -> Column:
+    """One key per row from the columns of ``FILE_ORDER``."""
+    return F.concat_ws("-", *FILE_ORDER)
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Space-separated ``label prediction`` lines."""
     return spark.read.csv(path, sep=" ", schema="label double, prediction double")

@@ -198,6 +198,15 @@ def test_files_keep_their_order(spark, tmp_path):
     assert got == list(range(1000))
 
 
+def test_command_line(spark, tmp_path, people):
+    from quillrank.__main__ import main, parser
+
+    people.write.csv(str(tmp_path / "people"), header=True)
+    main(["passengers", "--train", str(tmp_path / "people"), "--results", str(tmp_path / "log"), "--model", "indexed"])
+    assert spark.read.parquet(str(tmp_path / "log")).first().run == "passengers indexed"
+    assert parser().parse_args(["recommend", "--input", "a", "--output", "b"]).k == 10
+
+
 def test_run_records_append(spark, tmp_path):
     for n in range(2):
         writers.append_metrics(writers.run_record(spark, f"r{n}", "auc", 0.5, 2.0, 4), str(tmp_path / "m"))
