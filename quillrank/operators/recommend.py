@@ -27,6 +27,9 @@ TILES_PER_SLOT = 4
 LEAST_USERS = 256
 MOST_TASKS = 20_000
 
+# Iterations of a fit before its lineage is cut.
+LINEAGE = 10
+
 # Item factors are broadcast up to this size.
 BROADCAST_BYTES = 256 << 20
 
@@ -139,22 +142,25 @@ def fit_ratings(
     """Low-rank rating model by alternating least squares.
 
     Give a pinned table: blocks are built from it again after a lost executor.
-    The factor lineage is cut in the shared folder every ten half steps.
+    In longer fits the factor lineage is cut in the shared folder every ten iterations.
     """
     spark = ratings.sparkSession
     shared_dir(spark)
     blocks = blocks or min(spark.sparkContext.defaultParallelism, MAX_BLOCKS)
     als = ALS(
         rank=rank, maxIter=iterations, regParam=reg, seed=seed, numUserBlocks=blocks,
-        numItemBlocks=blocks, checkpointInterval=10, coldStartStrategy="drop",
+        numItemBlocks=blocks, checkpointInterval=LINEAGE if iterations > LINEAGE else -1, coldStartStrategy="drop",
         userCol="user_id", itemCol="item_id", ratingCol="rating",
     )
     return als.fit(ratings.select("user_id", "item_id", F.col("rating").cast("float").alias("rating")))
 
 
-def predict_pairs(model: ALSModel, pairs: DataFrame) -> DataFrame:
-    """Add ``prediction`` to given pairs; pairs with an unknown user or item are left out."""
-    return model.transform(pairs)
+def predict_pairs(model: ALSModel, pairs: DataFrame, unknown: str = "drop") -> DataFrame:
+    """Add ``prediction`` to given pairs.
+
+    Pairs with an unknown user or item are left out, or get NaN with ``unknown="nan"``.
+    """
+    return model.copy().setColdStartStrategy(unknown).transform(pairs)
 
 
 def tiling(users: int, items: int, ratings: int, slots: int, user_tile: int = USER_TILE,

@@ -46,10 +46,8 @@ def evaluate_model(train: DataFrame, test: DataFrame, rank: int = 10, iterations
                    reg: float = 0.1, seed: int = 7) -> Evaluation:
     """Fit on ``train``, measure on ``test``."""
     model = fit_ratings(train, rank, iterations, reg, seed)
-    scored = recommend.predict_pairs(model, test).agg(
-        metrics.rmse(F.col("rating"), F.col("prediction")), F.count(F.lit(1))
-    ).first()
-    return Evaluation(scored[0], scored[1], test.count() - scored[1])
+    scored = recommend.predict_pairs(model, test, unknown="nan")
+    return Evaluation(*evaluate.rmse(scored, "rating", "prediction").first())
 
 
 def evaluate_modes(ratings: DataFrame, order: Sequence, **model) -> DataFrame:

@@ -12,6 +12,7 @@ from quillrank.plans import clicks, passengers, tournament
 from quillrank.plans import ratings as rating_plans
 from quillrank.plans.fixtures import view
 from quillrank.queries.registry import query
+from quillrank.queries.relational import HASHED
 from quillrank.session import pin
 from quillrank.streaming import scoring
 
@@ -44,6 +45,36 @@ def als_recommend_all(spark: SparkSession, sf: str) -> DataFrame:
     return recommend.recommend(recommend.fit_ratings(rows), rows, 10)
 
 
+@query("""
+WITH n AS (SELECT count(DISTINCT item_id) AS items FROM {ratings})
+SELECT user_id, least(10, items - count(DISTINCT item_id)) AS recs, CAST(0 AS BIGINT) AS already_rated
+FROM {ratings} CROSS JOIN n GROUP BY user_id, items""")
+def als_recommend_counts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = triples(spark, sf)
+    recs = recommend.recommend(recommend.fit_ratings(rows, rank=5, iterations=3), rows, 10)
+    known = rows.select("user_id", "item_id", F.lit(1).alias("known"))
+    return recs.join(known, ["user_id", "item_id"], "left").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("recs"), F.count("known").alias("already_rated")
+    )
+
+
+@query(f"""
+WITH last AS (SELECT user_id, item_id, rating FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, item_id
+                               ORDER BY rated_at DESC, order_key DESC, line_no DESC, supp_key DESC, rating DESC) AS rn
+  FROM {{ratings}}) WHERE rn = 1),
+b AS (SELECT *, {HASHED.replace('{key}', "concat_ws('-', user_id, item_id)")} AS bucket FROM last),
+t AS (SELECT * FROM b WHERE bucket < 800)
+SELECT user_id, item_id, rating FROM b
+WHERE bucket >= 800 AND user_id IN (SELECT user_id FROM t) AND item_id IN (SELECT item_id FROM t)""")
+def als_predicted_keys(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = splits.random_split(triples(spark, sf), F.concat_ws("-", "user_id", "item_id"), 0.8)
+    scored = recommend.predict_pairs(recommend.fit_ratings(train, rank=5, iterations=3), test)
+    return scored.filter(F.col("prediction").isNotNull()).select(
+        F.col("user_id").cast("bigint"), F.col("item_id").cast("bigint"), "rating"
+    )
+
+
 @query()
 def als_recommend_subset(spark: SparkSession, sf: str) -> DataFrame:
     rows = triples(spark, sf)
@@ -90,6 +121,14 @@ def logistic_hashed_tol(spark: SparkSession, sf: str) -> DataFrame:
     return clicks.score(model, test, bits=14).select("id", "label", "score")
 
 
+@query(f"""
+SELECT id, label, CAST(1 AS INT) AS in_range FROM {{clicks}} WHERE {HASHED.replace('{key}', 'id')} >= 800""")
+def logistic_scored_keys(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = splits.random_split(view(spark, sf, "clicks"), "id", 0.8)
+    scored = clicks.score(clicks.fit(train, bits=10, passes=5), test, bits=10)
+    return scored.select("id", "label", F.col("score").between(0, 1).cast("int").alias("in_range"))
+
+
 @query()
 def logistic_quadratic(spark: SparkSession, sf: str) -> DataFrame:
     return passengers.fit_interactions(view(spark, sf, "passengers")).scored.select(
