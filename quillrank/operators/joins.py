@@ -6,11 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillrank.operators.ordered import number_rows
+from quillrank.operators.ordered import first_rows, number_rows
+from quillrank.session import pin
 
-# A lookup of at most this many narrow rows is broadcast; beyond it the join shuffles.
+# A lookup of at most this many rows and bytes of text is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_TEXT = 64 << 20
 
 # A key is hot when it holds more than one in HOT_SHARE rows, so at most HOT_SHARE keys are hot.
 HOT_SHARE = 1_000
@@ -19,9 +22,17 @@ HOT_SHARE = 1_000
 PARTIAL_LIMIT = 1_000
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; stops counting beyond that."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: int = BROADCAST_TEXT) -> bool:
+    """True when ``df`` is flat and small, in rows and in the bytes of its text.
+
+    One aggregate over ``df``; give a scan or a pinned table rather than a long plan.
+    """
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.UserDefinedType)) for f in df.schema):
+        return False
+    text = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = F.sum(sum((F.coalesce(t, F.lit(0)) for t in text), F.lit(0)).cast("bigint"))
+    found = df.agg(F.count(F.lit(1)), size).first()
+    return found[0] <= rows and (found[1] or 0) <= text_bytes
 
 
 def join_lookup(
@@ -65,7 +76,7 @@ def known_only(test: DataFrame, train: DataFrame, keys: Sequence[str]) -> DataFr
     a large share of the test rows does not decide how long the join takes.
     """
     for key in keys:
-        test = join_lookup(test, train.select(key).distinct(), key)
+        test = join_lookup(test, pin(train.select(key).distinct(), "known"), key)
     return test
 
 
@@ -145,4 +156,4 @@ def top_k_merge(parts: Sequence[DataFrame], group: str, order: Sequence[Column],
 
 def top_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     """The first ``n`` rows overall."""
-    return df.orderBy(*order).limit(n)
+    return first_rows(df, n, order)

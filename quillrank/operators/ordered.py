@@ -106,11 +106,12 @@ def running_before(
     return joined.withColumns(total).drop(RUN, POS, *values, *[_CARRY + n for n in sums])
 
 
-def first_rows(df: DataFrame, n: int, order: Order, in_memory: int = 100_000) -> DataFrame:
+def first_rows(df: DataFrame, n: int, order: Order, in_memory: int = 1_000) -> DataFrame:
     """The first ``n`` rows in ``order``.
 
     A small ``n`` is a per-partition top-n merged once. A large one (a sample of
-    a million lines) would merge in one task, so it is cut by row number.
+    a million lines) would bring ``n`` rows of every partition into one task, so
+    it is cut by row number.
     """
     if n <= in_memory:
         return df.orderBy(*order).limit(n)

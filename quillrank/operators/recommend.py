@@ -191,7 +191,7 @@ def recommend(
     )
     chosen = model.userFactors
     if users is not None:
-        wanted = users.select(F.col("user_id").cast("int").alias("id")).distinct()
+        wanted = pin(users.select(F.col("user_id").cast("int").alias("id")).distinct(), "users")
         chosen = join_lookup(chosen, wanted, "id")
         rated = join_lookup(rated, wanted.withColumnRenamed("id", "user_id"), "user_id")
 

@@ -45,7 +45,9 @@ def fit(train: DataFrame, bits: int = 23, passes: int = 30, l2: float = 14.0, to
     vectors = pin(
         hashed(train, bits).select(encode.unsigned_label(F.col("label")).alias("label"), "features"), "clicks"
     )
-    return learn.fit_logistic(vectors, l2=l2 / max(vectors.count(), 1), iterations=passes, tol=tol)
+    # Wide gradients are large, so they are added up over more levels.
+    depth = 2 if bits <= 18 else 4
+    return learn.fit_logistic(vectors, l2=l2 / max(vectors.count(), 1), iterations=passes, tol=tol, depth=depth)
 
 
 def score(model: Model, clicks: DataFrame, bits: int = 23) -> DataFrame:

@@ -107,13 +107,11 @@ def build_feature_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(WIDE_FIELDS + """
 SELECT id, pos, TRY_CAST(value AS DOUBLE) AS as_double,
-       CASE WHEN regexp_full_match(value, '[0-9]+') THEN CAST(value AS BIGINT) END AS as_long FROM fields
-WHERE pos < 4""")
+       CASE WHEN regexp_full_match(value, '[0-9]+') THEN CAST(value AS BIGINT) END AS as_long FROM fields""")
 def scalar_cast(spark: SparkSession, sf: str) -> DataFrame:
-    # The last field holds category text only.
     value = F.col("value")
     whole = F.when(text.is_digits(value), value.try_cast("bigint"))
-    return wide_fields(spark, sf).filter("pos < 4").select(
+    return wide_fields(spark, sf).select(
         "id", "pos", value.try_cast("double").alias("as_double"), whole.alias("as_long")
     )
 
@@ -238,9 +236,9 @@ def quadratic_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT id, unnest(['i3', 'i4', 'i5']) AS a, unnest([i3, i4, i5]) AS v FROM {clicks}),
-c AS (SELECT id, concat('c13_', c13) AS b FROM {clicks} UNION ALL SELECT id, concat('c15_', c15) FROM {clicks})
-SELECT concat(a, '^', b) AS name, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM i JOIN c ON i.id = c.id GROUP BY 1""")
+WITH i AS (SELECT c13, c15, unnest(['i3', 'i4', 'i5']) AS a, unnest([i3, i4, i5]) AS v FROM {clicks}),
+p AS (SELECT a, v, unnest([concat('c13_', c13), concat('c15_', c15)]) AS b FROM i)
+SELECT concat(a, '^', b) AS name, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM p GROUP BY 1""")
 def cross_pairs(spark: SparkSession, sf: str) -> DataFrame:
     left = encode.group([encode.amount(c, F.col(c)) for c in ("i3", "i4", "i5")])
     right = encode.group([encode.token(f"{c}_", F.col(c)) for c in ("c13", "c15")])

@@ -102,12 +102,13 @@ def modulo_bucket(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT order_key, CAST(line_no AS BIGINT) AS line_no, item_id, sq_error FROM (
-  SELECT *, round(pow(prediction - rating, 2), 6) AS sq_error FROM {predictions} WHERE user_id % 7 <> 0
+  SELECT *, round(pow(nullif(prediction, 0) - rating, 2), 6) AS sq_error FROM {predictions}
 ) WHERE sq_error > 0""")
 def filter_nan_errors(spark: SparkSession, sf: str) -> DataFrame:
-    # Users the model does not know have no number as their score.
-    unknown = F.when(F.col("user_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("prediction"))
-    error = F.round(encode.squared_error(F.col("rating"), unknown), 6)
+    # A score of 0 stands for a pair that the model does not know; such a pair scores NaN.
+    score = F.when(F.col("prediction") == 0, F.lit(float("nan"))).otherwise(F.col("prediction"))
+    squared = encode.squared_error(F.col("rating"), score)
+    error = F.when(F.isnan(squared), squared).otherwise(F.round(squared, 6))
     rows = view(spark, sf, "predictions").withColumn("sq_error", error)
     return joins.valid_errors(rows, "sq_error").select("order_key", *big("line_no"), "item_id", "sq_error")
 
@@ -375,9 +376,10 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT round(sqrt(avg(pow(p - rating, 2))), 6) AS rmse, count(p) AS scored, count(*) - count(p) AS dropped FROM (
-  SELECT rating, CASE WHEN user_id % 7 <> 0 THEN prediction END AS p FROM {predictions})""")
+  SELECT rating, nullif(prediction, 0) AS p FROM {predictions})""")
 def eval_rmse(spark: SparkSession, sf: str) -> DataFrame:
-    known = F.when(F.col("user_id") % 7 != 0, F.col("prediction"))
+    # A score of 0 stands for a pair that the model does not know.
+    known = F.nullif(F.col("prediction"), F.lit(0.0))
     rows = view(spark, sf, "predictions").withColumn("prediction", known)
     return evaluate.rmse(rows, "rating", "prediction").withColumn("rmse", F.round("rmse", 6))
 

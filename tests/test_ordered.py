@@ -130,6 +130,14 @@ def test_splits_are_disjoint_complete_and_exact(spark):
     assert sorted(r["count"] for r in chunks) == sorted([143] * 6 + [142])
 
 
+def test_broadcast_needs_few_rows_and_little_text(spark):
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 50).alias("t"))
+    assert joins.fits_broadcast(df) and joins.fits_broadcast(df.filter("id < 0"))
+    assert not joins.fits_broadcast(df, rows=99)
+    assert not joins.fits_broadcast(df, text_bytes=4_999)
+    assert not joins.fits_broadcast(df.withColumn("a", F.array("id")))
+
+
 @pytest.mark.parametrize("rows", [0, 1_000_000])
 def test_lookup_join_is_the_same_with_hot_keys_split_off(spark, rows):
     fact = spark.range(3000).select(

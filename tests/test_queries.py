@@ -15,7 +15,7 @@ ROOT = Path(__file__).resolve().parents[1]
 
 # The smallest tables leave the derived line key not unique, or a part without rows; these run at the next size.
 NEXT_SIZE = "/root/testdata/sf0.01"
-LARGER = {"limit_first_n", "uniq_adjacent", "sort_two_keys", "rank_per_user", "top_k_per_user", "top_k_two_phase"}
+LARGER = {"limit_first_n", "uniq_adjacent", "sort_two_keys", "rank_per_user", "top_k_per_user", "top_k_two_phase", "split_ordered"}
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
