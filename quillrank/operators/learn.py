@@ -8,10 +8,12 @@ for a search: two numbers are the ends of a range, a longer list are the choices
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     FMClassifier,
@@ -198,20 +200,24 @@ def predict(model: Model, spec: ModelSpec, prepared: DataFrame) -> DataFrame:
 
 
 def search(spec: ModelSpec, prepared: DataFrame, key: str | Column, metric: Column,
-           larger_is_better: bool, share: float = 0.8, seed: int = 0) -> ModelSpec:
+           larger_is_better: bool, share: float = 0.8, seed: int = 0, parallelism: int = 4) -> ModelSpec:
     """Choose each searched parameter in turn by ``metric`` on a held-out part.
 
     ``metric`` is an aggregate column over the scored rows. One parameter moves
-    at a time, the others stay, so the fits add up instead of multiplying.
+    at a time, the others stay, so the fits add up instead of multiplying. The
+    fits for one parameter share the cluster, ``parallelism`` at a time.
     """
     train, held = random_split(prepared, key, share, seed)
     current = spec.using()
     for name, values in spec.searched.items():
-        results = []
-        for value in values:
-            candidate = current.using(**{name: value})
+
+        def trial(value, name=name, base=current):
+            candidate = base.using(**{name: value})
             scored = predict(fit(candidate, train), candidate, held)
-            results.append((scored.agg(metric).first()[0], value))
+            return scored.agg(metric).first()[0], value
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            results = list(pool.map(inheritable_thread_target(trial), values))
         results = [r for r in results if r[0] is not None and not np.isnan(r[0])]
         best = (max if larger_is_better else min)(results, key=lambda r: r[0])
         current = current.using(**{name: best[1]})

@@ -71,7 +71,7 @@ def chunk_rows(df: DataFrame, order: Order, chunks: int, name: str = "chunk") ->
     return numbered.withColumn(name, F.floor(F.col("__n") / size).cast("bigint")).drop("__n")
 
 
-def known_shares(df: DataFrame, name: str = "split") -> DataFrame:
+def part_sizes(df: DataFrame, name: str = "split") -> DataFrame:
     """Rows per part."""
     return df.groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
 

@@ -122,7 +122,7 @@ def test_splits_are_disjoint_complete_and_exact(spark):
     train, test = splits.random_split(df, "id", 0.8)
     assert train.count() + test.count() == 1000
     assert train.join(test, "id").count() == 0
-    exact = {r.split: r["rows"] for r in splits.known_shares(splits.exact_split(df, "id", 0.333)).collect()}
+    exact = {r.split: r["rows"] for r in splits.part_sizes(splits.exact_split(df, "id", 0.333)).collect()}
     assert exact == {"train": 333, "test": 667}
     three = {r.split for r in splits.three_way(df, "id").collect()}
     assert three == {"train", "validation", "test"}
