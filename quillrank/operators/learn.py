@@ -217,7 +217,7 @@ def search(spec: ModelSpec, prepared: DataFrame, key: str | Column, metric: Colu
             return scored.agg(metric).first()[0], value
 
         with ThreadPoolExecutor(parallelism) as pool:
-            results = list(pool.map(inheritable_thread_target(trial), values))
+            results = list(pool.map(inheritable_thread_target(prepared.sparkSession)(trial), values))
         results = [r for r in results if r[0] is not None and not np.isnan(r[0])]
         best = (max if larger_is_better else min)(results, key=lambda r: r[0])
         current = current.using(**{name: best[1]})

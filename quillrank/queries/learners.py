@@ -26,7 +26,8 @@ def triples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def als_fit_rmse(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = splits.random_split(triples(spark, sf), F.concat_ws("-", "user_id", "item_id"), 0.8)
+    rows = pin(view(spark, sf, "ratings").select("user_id", "item_id", "rating"), "ratings")
+    train, test = splits.random_split(rows, F.concat_ws("-", "user_id", "item_id"), 0.8)
     result = rating_plans.evaluate_model(train, test)
     return spark.createDataFrame([(result.rmse, result.scored, result.dropped)],
                                  "rmse double, scored bigint, dropped bigint")
