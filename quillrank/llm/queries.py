@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillrank.llm.common import table
+from quillrank.llm.sentence_pieces import encode_pieces
 from quillrank.llm.token_counts import count_tokens
+from quillrank.llm.token_files import token_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,20 @@ def query(function: Query) -> Query:
     return function
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
+
+@query
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from quillrank.llm.common import by_piece
-from quillrank.llm.pretokens import PATTERN, keys, unit
+from quillrank.llm.pretokens import PATTERN, Memory, keys, unit
 
-#: Counts a Python worker remembers between batches. It forgets all of them at once when full: memory, not results.
-REMEMBERED = 400_000
+#: Units whose counts a Python worker remembers between batches.
+REMEMBERED = 600_000
 
 #: Above every rank.
 NEVER = np.int32(2**31 - 1)
@@ -124,7 +124,7 @@ class TokenCounter:
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.seen: dict[str, int] = {}
+        self.memory = Memory(self.units, REMEMBERED)
 
     def sequences(self, words: Sequence[str]) -> np.ndarray:
         """Tokens of each pre-token."""
@@ -133,12 +133,12 @@ class TokenCounter:
         flat = np.frombuffer(b"".join(raw), np.uint8)
         return merge_count(self.first[flat], sizes, self.rules)
 
-    def learn(self, new: list[str]) -> None:
-        """Remember the counts of keys: the distinct pre-tokens behind them are counted together."""
+    def units(self, new: list) -> list[int]:
+        """Tokens of the units behind keys; their distinct pre-tokens are counted together."""
         cut = [self.split(unit(k)) for k in new]
         distinct = list({w for words in cut for w in words} - set(self.special))
         count = dict(zip(distinct, self.sequences(distinct).tolist())) | dict.fromkeys(self.special, 1)
-        self.seen.update(zip(new, [sum([count[w] for w in words]) for words in cut]))
+        return [sum([count[w] for w in words]) for words in cut]
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens; a special string is one by itself."""
@@ -155,12 +155,7 @@ class TokenCounter:
     def __call__(self, texts: Sequence[str]) -> list[int]:
         """Tokens of each text."""
         cuts = [keys(t) for t in texts]
-        new = [k for k in set().union(*cuts) if k not in self.seen]
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen = {}
-            new = list(set().union(*cuts))
-        self.learn(new)
-        got, feed = self.seen.__getitem__, self.sequences(["\n"])[0].item()
+        got, feed = self.memory.of(cuts), self.sequences(["\n"])[0].item()
         return [sum(map(got, cut)) - feed for cut in cuts]
 
 
