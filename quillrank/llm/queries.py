@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillrank.llm.common import table
+from quillrank.llm.forest import nearest
 from quillrank.llm.sentence_pieces import encode_pieces
 from quillrank.llm.token_counts import count_tokens
 from quillrank.llm.token_files import token_rows
+from quillrank.llm.top_products import top_products
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,3 +42,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+
+
+@query
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
