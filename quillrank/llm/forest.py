@@ -76,11 +76,12 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, query_every: int =
     Queries are the rows whose key is divisible by ``query_every``. Planes are
     fitted on at most ``SAMPLE`` rows, chosen by a hash of the key; every row is put
     into a leaf of every tree. A query takes the leaves nearest to it over all trees
-    until they hold ``effort`` times the number of rows, ``LEAST`` at least; small tables
-    are thus searched whole. All candidates are then ranked by the cosine of the original vectors in double precision,
-    ties to the smaller vec_id. Vectors that are null or zero or hold null or
-    non-finite components take no part; of rows with one key that with the largest
-    vector does; missing components of shorter vectors are 0. An empty table gives no rows; other columns are not read.
+    until they hold ``effort`` times the number of rows, ``LEAST`` at least; small
+    tables are thus searched whole. All candidates are then ranked by the cosine of
+    the original vectors in double precision, ties to the smaller vec_id. Vectors
+    that are null or zero or hold null or non-finite components take no part; of
+    rows with one key that with the largest vector does; missing components of
+    shorter vectors are 0. An empty table gives no rows; other columns are not read.
 
     Leaves are cut into blocks of about ``vectors.BLOCK`` rows, so that many equal
     vectors don't gather in one task.

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillrank.llm import toxicity
 from quillrank.llm.common import table
 from quillrank.llm.forest import nearest
 from quillrank.llm.sentence_pieces import encode_pieces
@@ -52,3 +53,9 @@ def op3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
