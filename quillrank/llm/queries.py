@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillrank.llm import toxicity
 from quillrank.llm.common import table
 from quillrank.llm.forest import nearest
+from quillrank.llm.jaccard_join import jaccard_components
 from quillrank.llm.sentence_pieces import encode_pieces
 from quillrank.llm.token_counts import count_tokens
 from quillrank.llm.token_files import token_rows
@@ -59,3 +60,8 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir))
