@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def deal(key: Column, blocks: Column) -> Column:
 
 def matrix(column: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
     """A list column as matrix; missing components of shorter vectors are 0."""
-    sizes = np.asarray(pa.compute.list_value_length(column))
+    sizes = np.asarray(pc.list_value_length(column))
     out = np.zeros((len(column), width), kind)
     if len(column):
         out[np.arange(width) < sizes[:, None]] = np.asarray(column.flatten()).astype(kind)
