@@ -7,7 +7,8 @@ import posixpath
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 from typing import BinaryIO
 
 import numpy as np
@@ -25,6 +26,8 @@ from quillrank.session import pin, scratch_path
 
 #: Ids of a frame at least; a longer document has a frame of its own.
 FRAME_IDS = 1 << 16
+#: Units that the library encodes in one text.
+JOINED = 2_048
 #: Units whose ids a Python worker remembers between batches.
 REMEMBERED = 600_000
 #: Fixed values of the seekable zstandard format: numbers at the start of its last, skippable frame and at its end.
@@ -43,12 +46,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memory = Memory(lambda new: self.encode([unit(k) for k in new]), REMEMBERED)
-        self.feed = len(self.encode(["\n"])[0])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        got = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+        #: Bytes of text that each id stands for: a letter of the vocabulary is a byte, a special string is itself.
+        special = self.library.get_added_tokens_decoder()
+        self.sizes = np.zeros(max(self.library.get_vocab(True).values()) + 1, np.int64)
+        for token, number in self.library.get_vocab(True).items():
+            self.sizes[number] = len(token.encode()) if number in special else len(token)
+        self.memory = Memory(self.units, REMEMBERED)
+        self.feed = len(self.alone(["\n"])[0])
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def units(self, new: list) -> list[bytes]:
+        """Little-endian ids of the units behind keys.
+
+        A unit starts with a space or line feed and has no other white space, so
+        that many in a row are encoded as one text, each as if it stood alone; the
+        bytes that ids stand for tell where each begins. Other texts are encoded by
+        themselves.
+        """
+        out: list[bytes] = [b""] * len(new)
+        texts = [unit(k) for k in new]
+        plain = [n for n, k in enumerate(new) if len(k) > (k[:1] == "\n") and not isinstance(k, tuple)]
+        for start in range(0, len(plain), JOINED):
+            part = plain[start : start + JOINED]
+            (found,) = self.library.encode_batch_fast(["".join([texts[n] for n in part])], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum([len(texts[n].encode()) for n in part])
+            places = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right") * 4
+            raw = ids.tobytes()
+            for n, a, b in zip(part, [0, *places[:-1].tolist()], places.tolist()):
+                out[n] = raw[a:b]
+        rest = sorted(set(range(len(new))).difference(plain))
+        for n, ids in zip(rest, self.alone([texts[n] for n in rest])):
+            out[n] = ids
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, one after the other."""
@@ -167,7 +200,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
         total = 0
         with system.open_output_stream(own) as sink:
             writer = FrameWriter(sink)
-            for lists in _chain(first, filled):
+            for lists in chain([first], filled):
                 rows = []
                 for doc_id, ids in zip(lists[0], encoder(tokenizer)(lists[1])):
                     ids += end
@@ -229,11 +262,6 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | N
     return read.select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def _chain(first: list, rest: Iterable) -> Iterator:
-    yield first
-    yield from rest
-
-
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
