@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import by_piece, pieces
-from quillrank.llm.pretokens import Memory
+from quillrank.session import pin
 
 #: Labelled rows of each class that vocabulary and examples come from, at most, chosen by a hash of the document id.
 PER_CLASS = 8_000
@@ -23,9 +24,6 @@ TERMS, CHI_SQUARE, ROWS = 2_048, 30.0, 3
 BEGINNINGS = (4, 5)
 #: Nearest examples that vote, examples of an index block, votes that the share of a class counts for.
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.5
-#: Words whose terms a Python worker remembers between batches.
-REMEMBERED = 500_000
-
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,32 +57,63 @@ class Index:
         self.starts = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a term in common; ties to the smaller id."""
+        """Places and cosines of the k nearest examples with a term in common; ties to the smaller id.
+
+        Blocks are scored in the order of their bounds, more at a time as the search
+        goes on, until no bound reaches the k-th best cosine.
+        """
         terms = np.fromiter(query, np.int64, len(query))
         weights = np.fromiter(query.values(), np.float64, len(query))
         bound = weights @ self.largest[terms]
-        at, score = [], []
-        least, have = 0.0, 0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or have >= k and bound[block] < least - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        sums = np.zeros(self.blocks * BLOCK)
+        least, start, step = 0.0, 0, 4
+        found = np.zeros(0, np.int64)
+        while start < len(order) and bound[order[start]] >= least - 1e-12:
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[start : start + step]] = True
             for t, w in zip(terms, weights):
-                a, b = self.starts[t * self.blocks + block : t * self.blocks + block + 2]
-                if a < b:
-                    sums[self.row[a:b] - block * BLOCK] += w * self.weight[a:b]
-            hit = np.flatnonzero(sums > 0)
-            at.append(hit + block * BLOCK)
-            score.append(sums[hit])
-            have += len(hit)
-            if have >= k:
-                every = np.concatenate(score)
-                least = np.partition(every, len(every) - k)[len(every) - k]
-        if not at:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, score = np.concatenate(at), np.minimum(np.concatenate(score), 1.0)
-        best = np.lexsort((self.ids[at], -np.round(score, 12)))[:k]
-        return at[best], score[best]
+                a, b = self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]
+                here = chosen[self.row[a:b] // BLOCK]
+                sums[self.row[a:b][here]] += w * self.weight[a:b][here]
+            start, step = start + step, 2 * step
+            found = np.flatnonzero(sums > 0)
+            if len(found) >= k:
+                least = np.partition(sums[found], len(found) - k)[len(found) - k]
+        score = np.minimum(sums[found], 1.0)
+        best = np.lexsort((self.ids[found], -np.round(score, 12)))[:k]
+        return found[best], score[best]
+
+
+class Finder:
+    """Finds the terms of a vocabulary in lower-case texts, all in one run over the text."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        meant: dict[str, list] = {}
+        for term, number in vocabulary.items():
+            meant.setdefault(term.rstrip("*"), []).append((number, term[-1] == "*"))
+        for letters, terms in meant.items():
+            self.automaton.add_word(letters, (len(letters), terms))
+        if meant:
+            self.automaton.make_automaton()
+
+    def __call__(self, text: str) -> Counter:
+        """How often each term stands in ``text``."""
+        text, found = text.lower(), Counter()
+        if len(self.automaton):
+            for end, (size, terms) in self.automaton.iter(text):
+                before, after = end - size, end + 1
+                if before >= 0 and WORD.match(text, before, before + 1):
+                    continue
+                goes_on = after < len(text) and WORD.match(text, after, after + 1) is not None
+                for number, beginning in terms:
+                    if beginning == goes_on:
+                        found[number] += 1
+        return found
 
 
 @dataclass
@@ -98,17 +127,14 @@ class Model:
     share: float
     share_without: float
 
-    def __post_init__(self) -> None:
-        self.memory = None
+    @cached_property
+    def finder(self) -> Finder:
+        return Finder(self.vocabulary)
 
     def vectors(self, texts: list[str]) -> Iterator[dict[int, float]]:
         """Unit TF-IDF vectors over the vocabulary."""
-        if self.memory is None:
-            self.memory = Memory(lambda words: [_known(w, self.vocabulary) for w in words], REMEMBERED)
-        words = [WORD.findall(t.lower()) for t in texts]
-        got = self.memory.of(words)
-        for found in words:
-            yield unit(Counter(t for hit in filter(None, map(got, found)) for t in hit), self.idf)
+        for text in texts:
+            yield unit(self.finder(text), self.idf)
 
     def score(self, texts: list[str]) -> Iterator[tuple[float, list[int]]]:
         """Score of each text and the ids of the examples that it rests on, nearest first.
@@ -135,10 +161,6 @@ def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
     return {t: float(w) / size for t, w in weights.items()} if size else {}
 
 
-def _known(word: str, vocabulary: dict[str, int]) -> list[int] | None:
-    return [vocabulary[t] for t in terms_of(word) if t in vocabulary] or None
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled documents that aren't held out; document frequencies are those of all of ``docs``.
 
@@ -154,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     picked = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for c in (0, 1)]
     # At most twice PER_CLASS rows of two numbers.
     sample = spark.createDataFrame([tuple(r) for p in picked for r in p.collect()], "doc_id long, label int")
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    rows = pin(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
@@ -181,12 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         vocabulary = {}
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, total, seen = Memory(lambda words: [_known(w, vocabulary) for w in words], REMEMBERED), Counter(), 0
+        finder, total, seen = Finder(vocabulary), Counter(), 0
         for _, texts in pieces(batches):
-            words = [WORD.findall(t.lower()) for t in texts]
-            got = memory.of(words)
-            for found in words:
-                total.update({t for hit in filter(None, map(got, found)) for t in hit})
+            for text in texts:
+                total.update(finder(text).keys())
             seen += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array([*total, -1]), pa.array([*total.values(), seen])], names=["term", "n"])
 
