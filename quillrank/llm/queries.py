@@ -12,6 +12,7 @@ from quillrank.llm.common import table
 from quillrank.llm.forest import nearest
 from quillrank.llm.jaccard_join import jaccard_components
 from quillrank.llm.sentence_pieces import encode_pieces
+from quillrank.llm.suffix_dedup import removed_spans
 from quillrank.llm.token_counts import count_tokens
 from quillrank.llm.token_files import token_rows
 from quillrank.llm.top_products import top_products
@@ -65,3 +66,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_spans(_documents(spark, sf_dir))
