@@ -46,9 +46,9 @@ class Memory:
     def of(self, cuts: list[list[Hashable]]) -> Callable[[Hashable], Any]:
         """A function that gives the value of any key in ``cuts``."""
         every = set().union(*cuts)
-        new = [k for k in every if k not in self.known]
+        new = list(every.difference(self.known))
         if len(self.known) + len(new) > self.size:
             self.known = dict(islice(self.known.items(), self.size // 2))
-            new = [k for k in every if k not in self.known]
+            new = list(every.difference(self.known))
         self.known.update(zip(new, self.learn(new)))
         return self.known.__getitem__

@@ -27,7 +27,7 @@ from quillrank.session import pin, scratch_path
 #: Ids of a frame at least; a longer document has a frame of its own.
 FRAME_IDS = 1 << 16
 #: Units that the library encodes in one text.
-JOINED = 2_048
+JOINED = 8_192
 #: Units whose ids a Python worker remembers between batches.
 REMEMBERED = 600_000
 #: Fixed values of the seekable zstandard format: numbers at the start of its last, skippable frame and at its end.
@@ -100,7 +100,7 @@ def encoder(path: str) -> Encoder:
 class FrameWriter:
     """Writes documents into frames and the seek table behind them."""
 
-    def __init__(self, sink: BinaryIO, level: int = 3):
+    def __init__(self, sink: BinaryIO, level: int = 1):
         self.sink, self.press = sink, zstandard.ZstdCompressor(level=level, write_checksum=False)
         self.waiting: list[bytes] = []
         self.size = 0
