@@ -130,6 +130,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, query_every: int =
     asked = asked.groupBy("leaf", "block", "pack").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = vectors.Found(k)
         for batch in batches:
             for row, question in zip(batch["rows"], batch["queries"]):
                 here, asking = vectors.structs(row), vectors.structs(question)
@@ -137,12 +138,11 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, query_every: int =
                 own, queries_in = np.asarray(asking["id"]), vectors.matrix(asking["v"], width)
                 score = cosines(queries_in, values)
                 score[own[:, None] == ids] = -np.inf
-                out = []
                 for q, line in zip(own, score):
                     at = vectors.top(ids, line, k)
                     at = at[line[at] > -np.inf]
-                    out.append((np.full(len(at), q), ids[at], line[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+                    found.add(np.full(len(at), q), ids[at], line[at])
+        yield from found.batches()
 
     found = asked.join(packed.hint("shuffle_hash"), ["leaf", "block"]).select("rows", "queries").mapInArrow(rank, schema)
     return vectors.best(found.dropDuplicates(["query_id", "vec_id"]), k)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillrank.llm import toxicity
+from quillrank.llm import mixing, toxicity
 from quillrank.llm.common import table
 from quillrank.llm.forest import nearest
 from quillrank.llm.jaccard_join import jaccard_components
@@ -19,6 +19,9 @@ from quillrank.llm.top_products import top_products
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Shares of all words that the domains of quillrank.llm.mixing are to have.
+MIX_SHARES = (0.80, 0.18, 0.02)
+
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
@@ -71,3 +74,9 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_spans(_documents(spark, sf_dir))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.mixing_rates(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), MIX_SHARES)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
+#: Bytes of texts that are hashed at a time: arrays for so many stay in a processor's cache.
+AT_ONCE = 1 << 16
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
@@ -61,9 +63,24 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, borders)
 
 
+def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """``texts`` in runs of about ``AT_ONCE`` bytes."""
+    start, size = 0, 0
+    for end, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= AT_ONCE or end == len(texts):
+            yield texts[start:end]
+            start, size = end, 0
+
+
 def sets(texts: list[str]) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text with fewer words has its whole sequence as the only one."""
-    hashes, ends = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
+    for part in chunks([t.encode("utf-8", "surrogatepass") for t in texts]):
+        yield from _sets(part)
+
+
+def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    hashes, ends = word_hashes(texts)
     count = max(0, len(hashes) - WORDS + 1)
     every = np.zeros(count, np.uint64)
     for k in range(WORDS):

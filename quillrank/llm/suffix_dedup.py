@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillrank.llm.common import pieces
 from quillrank.llm.jaccard_join import groups
-from quillrank.llm.shingles import _powers, mix
+from quillrank.llm.shingles import _powers, chunks, mix
 from quillrank.operators import ordered
 from quillrank.session import pin, scratch_path
 
@@ -144,6 +144,15 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     A run is the strings in a row that have one anchor. Equal strings have equal
     anchors, so that only runs with one hash can have strings in common.
     """
+    start, parts = 0, []
+    for part in chunks(texts):
+        anchor, own, first, number = _runs(part)
+        parts.append((anchor, own + start, first, number))
+        start += len(part)
+    return tuple(map(np.concatenate, zip(*parts))) if parts else _runs([])
+
+
+def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     none = np.zeros(0, np.int64)

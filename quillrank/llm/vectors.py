@@ -67,3 +67,34 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     else:
         at = np.arange(len(scores))
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
+
+
+class Found:
+    """The best rows of each query that a task has seen so far, cut down whenever they are many."""
+
+    def __init__(self, k: int, most: int = 500_000):
+        self.k, self.most, self.held, self.size = k, most, [], 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.held.append((query, ids, scores))
+        self.size += len(query)
+        if self.size > self.most:
+            self.held = [self.best()]
+            self.size = len(self.held[0][0])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, id and score of the k best of each query, each id once."""
+        query, ids, scores = map(np.concatenate, zip(*self.held))
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        fresh = np.r_[True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])]
+        query, ids, scores = query[fresh], ids[fresh], scores[fresh]
+        start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        rank = np.arange(len(query)) - np.repeat(start, np.diff(np.r_[start, len(query)]))
+        keep = rank < self.k
+        return query[keep], ids[keep], scores[keep]
+
+    def batches(self) -> list[pa.RecordBatch]:
+        if not self.size:
+            return []
+        return [pa.RecordBatch.from_arrays([pa.array(c) for c in self.best()], names=["query_id", "vec_id", "score"])]
