@@ -18,8 +18,9 @@ from quillrank.session import pin
 
 #: Labelled rows of each class that vocabulary and examples come from, at most, chosen by a hash of the document id.
 PER_CLASS = 8_000
-#: Terms of the vocabulary at most; chi-square by which a term must go with a label; rows that it must be in.
-TERMS, CHI_SQUARE, ROWS = 2_048, 30.0, 3
+#: Terms of the vocabulary at most; chi-square by which a term must go with label 1; rows that it must be in; how many
+#: times as common it must be there as with label 0.
+TERMS, CHI_SQUARE, ROWS, RATIO = 2_048, 30.0, 3, 4
 #: Beginnings of words that are terms beside the words.
 BEGINNINGS = (4, 5)
 #: Nearest examples that vote, examples of an index block, votes that the share of a class counts for.
@@ -176,7 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     picked = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for c in (0, 1)]
     # At most twice PER_CLASS rows of two numbers.
     sample = spark.createDataFrame([tuple(r) for p in picked for r in p.collect()], "doc_id long, label int")
-    rows = pin(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label"), "labelled")
+    # Copies would make the words of one text look like a mark of its label.
+    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").dropDuplicates(["text", "label"])
+    rows = pin(rows, "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
@@ -197,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         mean = (F.col("n1") + F.col("n0")) / (n1 + n0)
         goes = (a - b) ** 2 / F.greatest(mean * (1 - mean) * (1 / n1 + 1 / n0), F.lit(1e-12))
         chosen = counted.where(f"term <> '' AND n0 + n1 >= {ROWS}").withColumn("goes", goes)
-        chosen = chosen.where(F.col("goes") >= CHI_SQUARE).orderBy(F.col("goes").desc(), "term").limit(TERMS)
+        chosen = chosen.where((F.col("goes") >= CHI_SQUARE) & (a >= RATIO * b)).orderBy(F.col("goes").desc(), "term").limit(TERMS)
         vocabulary = {r["term"]: n for n, r in enumerate(chosen.select("term").collect())}
     else:
         vocabulary = {}
