@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,7 @@ from quillrank.llm import mixing, toxicity
 from quillrank.llm.common import table
 from quillrank.llm.forest import nearest
 from quillrank.llm.jaccard_join import jaccard_components
+from quillrank.llm.licenses import license_scan
 from quillrank.llm.sentence_pieces import encode_pieces
 from quillrank.llm.suffix_dedup import removed_spans
 from quillrank.llm.token_counts import count_tokens
@@ -80,3 +82,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mixing_rates(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), MIX_SHARES)
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_documents(spark, sf_dir))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
