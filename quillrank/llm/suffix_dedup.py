@@ -188,8 +188,9 @@ _BYTES = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) * np
 def repeated(docs: DataFrame, parts: int) -> DataFrame:
     """(key, firsts, numbers, anchors): the runs of each document whose anchor stands more than once.
 
-    Runs travel packed, a row for each part of the anchors and piece of the documents;
-    texts that a piece has twice are left out, for they are copies.
+    Runs travel packed, a row for each part of the anchors and piece of the documents,
+    and back to a row for each part of the documents; texts that a piece has twice
+    are left out, for they are copies.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,14 +228,33 @@ def repeated(docs: DataFrame, parts: int) -> DataFrame:
         keep = order[np.r_[False, same] | np.r_[same, False]]
         keep = keep[np.lexsort((first[keep], owner[keep]))]
         anchor, owner, first, number = (c[keep] for c in (anchor, owner, first, number))
+        part = (mix(owner.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        anchor, owner, first, number, part = (c[order] for c in (anchor, owner, first, number, part))
         if len(owner):
-            cuts = np.r_[np.flatnonzero(_changes(owner)), len(owner)]
-            rows = [(int(owner[a]), *(c[a:b].tobytes() for c in (first, number, anchor))) for a, b in zip(cuts[:-1], cuts[1:])]
+            cuts = np.r_[np.flatnonzero(_changes(part)), len(part)]
+            rows = [(int(part[a]), *(c[a:b].tobytes() for c in (anchor, owner, first, number))) for a, b in zip(cuts[:-1], cuts[1:])]
+            arrays = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 4])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "anchors", "owners", "firsts", "numbers"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row[1:] for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        if not held:
+            return
+        kinds = np.int64, np.int64, np.uint32, np.uint8
+        anchor, owner, first, number = (np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held), kinds))
+        order = np.argsort(owner, kind="stable")
+        anchor, owner, first, number = (c[order] for c in (anchor, owner, first, number))
+        cuts = np.r_[np.flatnonzero(_changes(owner)), len(owner)]
+        for start in range(0, len(cuts) - 1, 1000):
+            rows = [(int(owner[a]), *(c[a:b].tobytes() for c in (first, number, anchor)))
+                    for a, b in zip(cuts[start:-1][:1000], cuts[start + 1 :][:1000])]
             arrays = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), *[pa.binary()] * 3])]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "firsts", "numbers", "anchors"])
 
     packed = docs.mapInArrow(pack, "part int, anchors binary, owners binary, places binary, firsts binary, numbers binary")
-    return packed.repartition(parts, "part").mapInArrow(shared, "key long, firsts binary, numbers binary, anchors binary")
+    found = packed.repartition(parts, "part").mapInArrow(shared, "part int, anchors binary, owners binary, firsts binary, numbers binary")
+    return found.repartition(parts, "part").mapInArrow(gathered, "key long, firsts binary, numbers binary, anchors binary")
 
 
 CONTEXT = "anchor long, n1 long, n2 long, key long, first int, number int, bytes binary"
@@ -263,7 +283,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                 for key, text, firsts, numbers, anchors in zip(*lists):
                     raw = text.encode("utf-8", "surrogatepass")
                     first, number, anchor = (
-                        np.frombuffer(b"".join(x), k).tolist() for x, k in ((firsts, np.uint32), (numbers, np.uint8), (anchors, np.int64)))
+                        np.frombuffer(x, k).tolist() for x, k in ((firsts, np.uint32), (numbers, np.uint8), (anchors, np.int64)))
                     for h, s, n in sorted(zip(anchor, first, number), key=lambda r: r[1]):
                         held = raw[s : s + n - 1 + LENGTH]
                         name = struct.unpack("<qq", hashlib.blake2b(held, digest_size=16).digest())
@@ -375,8 +395,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(width, int(size * 2 / (LENGTH - ANCHOR + 2)) // ENTRIES)
-    marked = repeated(texts.select("key", "text"), parts).groupBy("key")
-    marked = marked.agg(*(F.collect_list(c).alias(c) for c in ("firsts", "numbers", "anchors")))
+    marked = repeated(texts.select("key", "text"), parts)
     joined = texts.select("key", "text").join(marked.hint("merge"), "key").sortWithinPartitions("key")
     found = pin(contexts(joined), "contexts")
     rows = found.where("bytes IS NOT NULL")
