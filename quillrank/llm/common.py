@@ -58,10 +58,12 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(spark.createDataFrame([], schema).schema)
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Deal out rows of a table with fewer files than task slots; large tables stay as they are scanned."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+def record_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of a schema like ``a long, b binary``."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(columns, types)], names=names)
 
 
 def components(edges: DataFrame, label: str = "links") -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import pieces
+from quillrank.llm.common import pieces, record_batch
 from quillrank.llm.jaccard_join import groups
 from quillrank.llm.shingles import _powers, chunks, mix
 from quillrank.operators import ordered
@@ -26,8 +26,9 @@ ANCHOR = 40
 SHALLOW = 16
 #: Multikey quicksort hands parts of this size or less to one sort for all of them.
 SMALL = 4096
-#: Contexts that one anchor may have in a task, at most; the strings of more are dealt out singly.
-MOST = 8_000
+#: Contexts that one anchor may have in a task: as many as a task has on average, within these bounds. The strings of
+#: more are dealt out singly.
+LEAST, MOST = 256, 8_000
 #: Anchors that a task groups at a time, about.
 ENTRIES = 500_000
 
@@ -261,13 +262,6 @@ CONTEXT = "anchor long, n1 long, n2 long, key long, first int, number int, bytes
 REPEAT = "key long, first int, number int"
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    names, types = zip(*(c.split() for c in schema.split(", ")))
-    columns = list(zip(*rows)) or [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(columns, types)], names=names)
-
-
 def contexts(docs: DataFrame) -> DataFrame:
     """The runs of ``docs`` (key, text, firsts, numbers, anchors), rising keys in a task, with the bytes that their strings cover.
 
@@ -290,7 +284,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                         new = (h, *name) not in met
                         met.add((h, *name))
                         out.append((h, *name, key, s, n, held if new else None))
-                yield _batch(out, CONTEXT)
+                yield record_batch(out, CONTEXT)
 
     return docs.mapInArrow(run, CONTEXT)
 
@@ -351,7 +345,7 @@ def singly(rows: DataFrame) -> DataFrame:
                         if (key, first + k) not in gone:
                             string = held[k : k + LENGTH]
                             out.append((hash(string), key, first + k, 1, string))
-                yield _batch(out, schema)
+                yield record_batch(out, schema)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, ["string"]):
@@ -400,7 +394,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = pin(contexts(joined), "contexts")
     rows = found.where("bytes IS NOT NULL")
     counts = rows.groupBy("anchor").count()
-    hot = max(256, min(MOST, rows.count() // width))
+    hot = max(LEAST, min(MOST, rows.count() // width))
     hot_anchors = pin(counts.where(F.col("count") > hot).select("anchor"), "hot-anchors")
     repeats = found.where("bytes IS NULL").select("key", "first", "number")
     repeats = repeats.union(by_anchor(rows.join(hot_anchors, "anchor", "left_anti")))

@@ -12,15 +12,14 @@ from itertools import chain
 from typing import BinaryIO
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import pieces
+from quillrank.llm.common import pieces, record_batch
 from quillrank.llm.pretokens import Memory, keys, unit
 from quillrank.session import pin, scratch_path
 
@@ -206,7 +205,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
                     ids += end
                     rows.append((doc_id, part, *writer.add(ids), total, len(ids) // 4))
                     total += len(ids) // 4
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=_names(schema)).astype(_types(schema)), preserve_index=False)
+                yield record_batch(rows, schema)
             writer.close()
         system.move(own, name)
 
@@ -237,9 +236,7 @@ def read_tokens(index: DataFrame, folder: str) -> DataFrame:
                 if not held or held[0] != (part, frame):
                     held = (part, frame), opened[1].frame(frame)
                 found.append(zlib.crc32(held[1][at : at + 4 * n]))
-            kept = {k: rows[k] for k in ("doc_id", "part", "part_start", "n_tokens")}
-            out = pd.DataFrame(kept | {"ids_crc32": found}).astype(_types(schema))
-            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+            yield record_batch(list(zip(*(rows[k] for k in ("doc_id", "part", "part_start", "n_tokens")), found)), schema)
         if opened:
             opened[1].source.close()
 
@@ -260,11 +257,3 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | N
     offsets = spark.createDataFrame([(r["part"], b) for r, b in zip(sizes, before)], "part int, before long")
     read = read_tokens(index, folder).join(F.broadcast(offsets), "part")
     return read.select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
-
-
-def _types(schema: str) -> dict[str, str]:
-    return {c.split()[0]: {"long": "int64", "int": "int32"}[c.split()[1]] for c in schema.split(", ")}
