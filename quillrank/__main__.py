@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from quillrank.operators import evaluate, learn
 from quillrank.plans import clicks, passengers, ratings, tournament, wide
-from quillrank.session import build_session
+from quillrank.session import build_session, drop_scratch
 from quillrank.sources import readers, writers
 
 
@@ -94,7 +94,11 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     conf = {"spark__sql__shuffle__partitions": args.partitions} if args.partitions else {}
-    args.function(build_session("quillrank", args.master, **conf), args)
+    spark = build_session("quillrank", args.master, **conf)
+    try:
+        args.function(spark, args)
+    finally:
+        drop_scratch(spark)
 
 
 if __name__ == "__main__":

@@ -60,7 +60,7 @@ def normalize_title(col: Column, mapping: Mapping[str, str] = FULL_TITLES) -> Co
 
 def is_digits(col: Column) -> Column:
     """True when the text is digits only (no sign, fraction or blank)."""
-    return col.rlike("^[0-9]+$")
+    return col.rlike(r"^[0-9]+\z")
 
 
 def is_numeric_like(col: Column) -> Column:

@@ -25,7 +25,7 @@ def rmse(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Exact area under the ROC curve (ties count half).
 
-    Rows shrink to one per distinct score before the sort, and the running count
+    Null when only one class is present. Rows shrink to one per distinct score before the sort, and the running count
     of negatives comes from sorted runs, so continuous scores do not meet in one task.
     """
     positive = F.col(label).cast("double") == 1
@@ -36,7 +36,7 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     below = F.col("neg_before").cast("double") + F.col("neg") / F.lit(2.0)
     wins = F.sum(F.col("pos").cast("double") * below)
     pairs = F.sum(F.col("pos").cast("double")) * F.sum(F.col("neg").cast("double"))
-    return ranked.agg((wins / pairs).alias("auc"))
+    return ranked.agg(F.try_divide(wins, pairs).alias("auc"))
 
 
 def auc_hard(df: DataFrame, label: str, decision: str) -> DataFrame:
@@ -67,7 +67,7 @@ def coverage(recs: DataFrame, users: DataFrame, user: str = "user_id") -> DataFr
     return joined.agg(
         F.count(F.lit(1)).alias("users"),
         F.count("served").alias("served"),
-        (F.count("served") * F.lit(100.0) / F.count(F.lit(1))).alias("percent"),
+        F.try_divide(F.count("served") * F.lit(100.0), F.count(F.lit(1))).alias("percent"),
     )
 
 

@@ -80,6 +80,8 @@ def _spec(kind: str, name: str, defaults: dict, params: dict) -> ModelSpec:
     if unknown:
         raise TypeError(f"unknown parameters: {sorted(unknown)}")
     values = {**defaults, **{k: v for k, v in params.items() if k in defaults}}
+    if values.get("nn") and (values["l1"] or values["l2"]):
+        raise TypeError("a hidden layer takes no penalty: leave out l1 and l2")
     searched = {k: choices(v) for k, v in values.items() if isinstance(v, (list, tuple))}
     start = {k: searched[k][0] for k in searched}
     return ModelSpec(kind, {**values, **start}, name, searched)
@@ -96,6 +98,10 @@ def choices(values: Sequence) -> list:
     return [float(v) for v in np.geomspace(low, high, RANGE_STEPS)]
 
 
+# Numbers of a dense block of a hidden-layer fit.
+MLP_BLOCK = 1 << 20
+
+
 # -- single learners ---------------------------------------------------------------------------
 
 
@@ -112,10 +118,14 @@ def fit_logistic(
 
 
 def fit_mlp(df: DataFrame, hidden: int, inputs: int, iterations: int = 50, seed: int = 7,
-            features: str = "features", label: str = "label") -> Model:
-    """One hidden layer of ``hidden`` units over ``inputs`` slots."""
+            features: str = "features", label: str = "label", tol: float = 1e-6) -> Model:
+    """One hidden layer of ``hidden`` units over ``inputs`` slots.
+
+    Rows are stacked into dense blocks, so wider inputs make blocks of fewer rows.
+    """
     return MultilayerPerceptronClassifier(
-        featuresCol=features, labelCol=label, layers=[inputs, hidden, 2], maxIter=iterations, seed=seed
+        featuresCol=features, labelCol=label, layers=[inputs, hidden, 2], maxIter=iterations, seed=seed, tol=tol,
+        blockSize=max(1, min(128, MLP_BLOCK // inputs)),
     ).fit(df)
 
 
@@ -180,7 +190,7 @@ def fit(spec: ModelSpec, train: DataFrame) -> Model:
     if spec.kind == "ratings":
         return fit_ratings(train, p["rank"], p["passes"], p["l2"])
     if p["nn"]:
-        return fit_mlp(train, p["nn"], 1 << p["bits"], p["passes"])
+        return fit_mlp(train, p["nn"], 1 << p["bits"], p["passes"], tol=p["termination"])
     return fit_logistic(train, p["l1"], p["l2"], p["passes"], p["termination"])
 
 
@@ -199,25 +209,36 @@ def predict(model: Model, spec: ModelSpec, prepared: DataFrame) -> DataFrame:
     return probability(scored).drop("rawPrediction", "probability", "features")
 
 
-def search(spec: ModelSpec, prepared: DataFrame, key: str | Column, metric: Column,
+def search(spec: ModelSpec, examples: DataFrame, key: str | Column, metric: Column,
            larger_is_better: bool, share: float = 0.8, seed: int = 0, parallelism: int = 4) -> ModelSpec:
     """Choose each searched parameter in turn by ``metric`` on a held-out part.
 
     ``metric`` is an aggregate column over the scored rows. One parameter moves
     at a time, the others stay, so the fits add up instead of multiplying. The
-    fits for one parameter share the cluster, ``parallelism`` at a time.
+    fits for one parameter share the cluster, ``parallelism`` at a time. Examples
+    are made into vectors once for each form of them that a parameter asks for.
     """
-    train, held = random_split(prepared, key, share, seed)
     current = spec.using()
+    forms: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+    def parts(candidate: ModelSpec) -> tuple[DataFrame, DataFrame]:
+        form = tuple(candidate.params.get(p) for p in ("bits", "quadratic"))
+        if form not in forms:
+            forms[form] = random_split(pin(prepare(candidate, examples), "examples"), key, share, seed)
+        return forms[form]
+
     for name, values in spec.searched.items():
 
         def trial(value, name=name, base=current):
             candidate = base.using(**{name: value})
+            train, held = parts(candidate)
             scored = predict(fit(candidate, train), candidate, held)
             return scored.agg(metric).first()[0], value
 
+        for value in values:
+            parts(current.using(**{name: value}))
         with ThreadPoolExecutor(parallelism) as pool:
-            results = list(pool.map(inheritable_thread_target(prepared.sparkSession)(trial), values))
+            results = list(pool.map(inheritable_thread_target(examples.sparkSession)(trial), values))
         results = [r for r in results if r[0] is not None and not np.isnan(r[0])]
         best = (max if larger_is_better else min)(results, key=lambda r: r[0])
         current = current.using(**{name: best[1]})
@@ -240,14 +261,14 @@ def run(spec: ModelSpec, train: DataFrame, predict_on: DataFrame | None = None,
 
     A search needs ``metric``; it sees the training part only, split once more.
     """
-    prepared = pin(prepare(spec, train), "examples")
-    target = prepare(spec, predict_on) if predict_on is not None else None
+    target = predict_on
     if target is None:
-        prepared, target = random_split(prepared, key, share, seed)
+        train, target = random_split(pin(train, "examples"), key, share, seed)
     if spec.searched:
         if metric is None:
             raise ValueError("a searched parameter needs a metric")
-        spec = search(spec, prepared, key, metric, larger_is_better, share, seed + 1)
+        spec = search(spec, train, key, metric, larger_is_better, share, seed + 1)
+    prepared, target = pin(prepare(spec, train), "examples"), prepare(spec, target)
     model = fit(spec, prepared)
     return RunResult(predict(model, spec, target), model, spec)
 

@@ -33,8 +33,8 @@ LINEAGE = 10
 # Item factors are broadcast up to this size.
 BROADCAST_BYTES = 256 << 20
 
-# Factor blocks follow the task slots up to this; more would make too many small messages.
-MAX_BLOCKS = 1_000
+# Ratings of a factor block, at most on average; a block is solved in one task.
+BLOCK_RATINGS = 5_000_000
 
 
 def pair_space(ratings: DataFrame, items: DataFrame, user: str = "user_id", item: str = "item_id"
@@ -146,7 +146,8 @@ def fit_ratings(
     """
     spark = ratings.sparkSession
     shared_dir(spark)
-    blocks = blocks or min(spark.sparkContext.defaultParallelism, MAX_BLOCKS)
+    # The number of blocks follows the ratings, and is no less than the task slots.
+    blocks = blocks or max(spark.sparkContext.defaultParallelism, -(-ratings.count() // BLOCK_RATINGS))
     als = ALS(
         rank=rank, maxIter=iterations, regParam=reg, seed=seed, numUserBlocks=blocks,
         numItemBlocks=blocks, checkpointInterval=LINEAGE if iterations > LINEAGE else -1, coldStartStrategy="drop",

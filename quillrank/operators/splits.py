@@ -10,33 +10,33 @@ from pyspark.sql import functions as F
 
 from quillrank.operators.ordered import Order, number_rows, seeded_hash, shuffle_rows
 
-_BUCKETS = 1_000
+# Places of the hash space; shares are cut to one of so many.
+_PLACES = 2**32
 
 
-def hash_bucket(key: Column, seed: int = 0, buckets: int = _BUCKETS) -> Column:
-    """A bucket from the md5 of key and seed; the same on every run and every layout."""
-    digits = F.conv(F.substring(seeded_hash(key, seed), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(digits, F.lit(buckets))
+def hash_place(key: Column, seed: int = 0) -> Column:
+    """A place in the hash space from the md5 of key and seed; the same on every run and every layout."""
+    return F.conv(F.substring(seeded_hash(key, seed), 1, 8), 16, 10).cast("bigint")
 
 
 def with_split(df: DataFrame, key: str | Column, weights: dict[str, float], seed: int = 0,
                name: str = "split") -> DataFrame:
     """Name each row's part; the parts get the given shares of the hash space. No shuffle."""
-    bucket = hash_bucket(F.col(key) if isinstance(key, str) else key, seed)
+    place = hash_place(F.col(key) if isinstance(key, str) else key, seed)
     total, upto, part = sum(weights.values()), 0.0, None
     for label, weight in weights.items():
         upto += weight
-        limit = round(_BUCKETS * upto / total)
-        part = F.when(bucket < limit, label) if part is None else part.when(bucket < limit, label)
+        limit = round(_PLACES * upto / total)
+        part = F.when(place < limit, label) if part is None else part.when(place < limit, label)
     return df.withColumn(name, part)
 
 
 def random_split(df: DataFrame, key: str | Column, share: float = 0.8, seed: int = 0
                  ) -> tuple[DataFrame, DataFrame]:
     """(train, test) by hash of the key."""
-    bucket = hash_bucket(F.col(key) if isinstance(key, str) else key, seed)
-    limit = round(_BUCKETS * share)
-    return df.filter(bucket < limit), df.filter(bucket >= limit)
+    place = hash_place(F.col(key) if isinstance(key, str) else key, seed)
+    limit = round(_PLACES * share)
+    return df.filter(place < limit), df.filter(place >= limit)
 
 
 def three_way(df: DataFrame, key: str, test: float = 0.1, validation: float = 0.1, seed: int = 0

@@ -12,12 +12,16 @@ from quillrank.operators import categories, evaluate, features, impute, joins, l
 from quillrank.operators.learn import ModelSpec, RunResult
 from quillrank.session import pin
 
+# The columns of the passenger file in their order.
 _TRAVEL = ("pclass int, name string, sex string, age double, sibsp int, parch int, ticket string, "
            "fare double, cabin string, embarked string")
 SCHEMA = f"passenger_id int, survived int, {_TRAVEL}"
 SCHEMA_UNLABELED = f"passenger_id int, {_TRAVEL}"
 
 
+# The feature names of the text form, here and in ``feature_group``.
+
+
 def text_example() -> Column:
     """A passenger as one sparse text example."""
     after_comma = text.clean(text.nth(F.col("name"), ",", 1))
@@ -66,11 +70,11 @@ def examples(passengers: DataFrame, labeled: bool = True) -> DataFrame:
 
 
 def online_spec(search: bool = False) -> ModelSpec:
-    """Logistic model with quadratic features; with ``search`` over passes, units and penalties."""
+    """Logistic model with quadratic features; with ``search`` over passes and units of a hidden layer."""
     if search:
+        # The published numbers of hidden units. Penalties are no part of a hidden layer here.
         return learn.logistic_regression(
-            "passengers", passes=[1, 5], quadratic="ff", nn=[5, 10, 15, 20], l1=[1e-8, 1e-3],
-            l2=[1e-8, 1e-2], bits=10,
+            "passengers", passes=[10, 20, 50], quadratic="ff", nn=[5, 10, 15, 20], bits=10,
         )
     return learn.logistic_regression("passengers", passes=3, quadratic="ff", l1=0.001, bits=14)
 

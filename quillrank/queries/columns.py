@@ -39,6 +39,7 @@ def title_extract(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The titles of text.FULL_TITLES, in SQL.
 FULL_TITLE = f"""CASE WHEN {TITLE} = 'Mme' THEN 'Mlle'
   WHEN {TITLE} IN ('Capt', 'Don', 'Major', 'Dona', 'Lady', 'the Countess', 'Jonkheer') THEN 'Sir' ELSE {TITLE} END"""
 

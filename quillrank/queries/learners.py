@@ -12,7 +12,7 @@ from quillrank.plans import clicks, passengers, tournament
 from quillrank.plans import ratings as rating_plans
 from quillrank.plans.fixtures import view
 from quillrank.queries.registry import query
-from quillrank.queries.relational import HASHED
+from quillrank.queries.relational import FOUR_FIFTHS, HASHED
 from quillrank.session import pin
 from quillrank.streaming import scoring
 
@@ -65,9 +65,9 @@ WITH last AS (SELECT user_id, item_id, rating FROM (
                                ORDER BY rated_at DESC, order_key DESC, line_no DESC, supp_key DESC, rating DESC) AS rn
   FROM {{ratings}}) WHERE rn = 1),
 b AS (SELECT *, {HASHED.replace('{key}', "concat_ws('-', user_id, item_id)")} AS bucket FROM last),
-t AS (SELECT * FROM b WHERE bucket < 800)
+t AS (SELECT * FROM b WHERE bucket < {FOUR_FIFTHS})
 SELECT user_id, item_id, rating FROM b
-WHERE bucket >= 800 AND user_id IN (SELECT user_id FROM t) AND item_id IN (SELECT item_id FROM t)""")
+WHERE bucket >= {FOUR_FIFTHS} AND user_id IN (SELECT user_id FROM t) AND item_id IN (SELECT item_id FROM t)""")
 def als_predicted_keys(spark: SparkSession, sf: str) -> DataFrame:
     train, test = splits.random_split(triples(spark, sf), F.concat_ws("-", "user_id", "item_id"), 0.8)
     scored = recommend.predict_pairs(recommend.fit_ratings(train, rank=5, iterations=3), test)
@@ -123,7 +123,7 @@ def logistic_hashed_tol(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT id, label, CAST(1 AS INT) AS in_range FROM {{clicks}} WHERE {HASHED.replace('{key}', 'id')} >= 800""")
+SELECT id, label, CAST(1 AS INT) AS in_range FROM {{clicks}} WHERE {HASHED.replace('{key}', 'id')} >= {FOUR_FIFTHS}""")
 def logistic_scored_keys(spark: SparkSession, sf: str) -> DataFrame:
     train, test = splits.random_split(view(spark, sf, "clicks"), "id", 0.8)
     scored = clicks.score(clicks.fit(train, bits=10, passes=5), test, bits=10)
@@ -178,8 +178,8 @@ def gbt_binary(spark: SparkSession, sf: str) -> DataFrame:
 def search_holdout(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "passengers")
     spec = learn.logistic_regression(passes=[1, 5], l2=[1e-8, 1e-2], bits=10)
-    prepared = pin(learn.prepare(spec, passengers.examples(rows)), "examples")
-    best = learn.search(spec, prepared, "passenger_id", metrics.log_loss(F.col("label"), F.col("score")), False)
+    examples = passengers.examples(rows)
+    best = learn.search(spec, examples, "passenger_id", metrics.log_loss(F.col("label"), F.col("score")), False)
     chosen = [(name, float(best.params[name])) for name in spec.searched]
     return spark.createDataFrame(chosen, "parameter string, best double")
 

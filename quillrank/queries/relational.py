@@ -152,14 +152,15 @@ def join_label_pred(spark: SparkSession, sf: str) -> DataFrame:
     return joins.attach_by_key(view(spark, sf, "scored").select("id", "score"), labels, "id")
 
 
-HASHED = "(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':0'), 1, 8))::BIGINT % 1000)"
+HASHED = "(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':0'), 1, 8))::BIGINT)"
+FOUR_FIFTHS = round(2**32 * 0.8)
 
 
 @query(f"""
 WITH b AS (SELECT *, {HASHED.replace('{key}', 'order_key')} AS bucket FROM {{ratings}}),
-train AS (SELECT * FROM b WHERE bucket < 800)
+train AS (SELECT * FROM b WHERE bucket < {FOUR_FIFTHS})
 SELECT user_id, item_id, rating, order_key, CAST(line_no AS BIGINT) AS line_no FROM b
-WHERE bucket >= 800 AND user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""")
+WHERE bucket >= {FOUR_FIFTHS} AND user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""")
 def semi_known_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "ratings").select("user_id", "item_id", "rating", "order_key", *big("line_no"))
     train, test = splits.random_split(rows, "order_key", 0.8)
@@ -335,7 +336,7 @@ def except_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT o_orderkey, CASE WHEN {HASHED.replace('{key}', 'o_orderkey')} < 800 THEN 'train' ELSE 'test' END AS split FROM {{orders}}""")
+SELECT o_orderkey, CASE WHEN {HASHED.replace('{key}', 'o_orderkey')} < {FOUR_FIFTHS} THEN 'train' ELSE 'test' END AS split FROM {{orders}}""")
 def split_hash_80_20(spark: SparkSession, sf: str) -> DataFrame:
     orders = view(spark, sf, "orders").select("o_orderkey")
     return splits.with_split(orders, "o_orderkey", {"train": 0.8, "test": 0.2})
@@ -350,7 +351,7 @@ def split_exact_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT o_orderkey, CASE WHEN b < 100 THEN 'test' WHEN b < 190 THEN 'validation' ELSE 'train' END AS split FROM (
+SELECT o_orderkey, CASE WHEN b < {round(2**32 * 0.1)} THEN 'test' WHEN b < {round(2**32 * 0.19)} THEN 'validation' ELSE 'train' END AS split FROM (
   SELECT o_orderkey, {HASHED.replace('{key}', 'o_orderkey')} AS b FROM {{orders}})""")
 def split_three_way(spark: SparkSession, sf: str) -> DataFrame:
     return splits.three_way(view(spark, sf, "orders").select("o_orderkey"), "o_orderkey")

@@ -57,6 +57,19 @@ def scan_clicks_tsv(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_clicks(spark, path)
 
 
+@query("""
+SELECT label, i0, i1, i2, i3, i4, i5, i6, i7, i8, i9, i10, i11, i12, c13,
+       CASE WHEN i3 > 0 THEN c14 END AS c14, CASE WHEN i3 > 1 THEN c15 END AS c15 FROM {clicks}""")
+def scan_clicks_ragged(spark: SparkSession, sf: str) -> DataFrame:
+    # Lines of one, two or three categories.
+    path = scratch_path(spark, "tsv")
+    rows = view(spark, sf, "clicks").drop("id")
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    line = F.when(F.col("i3") > 1, F.concat_ws("\t", *fields)).when(F.col("i3") > 0, F.concat_ws("\t", *fields[:-1]))
+    rows.select(line.otherwise(F.concat_ws("\t", *fields[:-2])).alias("value")).write.text(path)
+    return readers.read_clicks(spark, path)
+
+
 @query("""
 SELECT CAST(CASE WHEN label = 1 THEN 1 ELSE -1 END AS DOUBLE) AS label, score AS prediction FROM {scored}""")
 def scan_label_pred(spark: SparkSession, sf: str) -> DataFrame:

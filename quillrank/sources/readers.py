@@ -34,12 +34,14 @@ def read_clicks(spark: SparkSession, path: str, labeled: bool = True, categories
                 ) -> DataFrame:
     """Tab-separated click log: label if ``labeled``, 13 integers ``i0..i12``, then text ``c13..``.
 
-    The number of text columns is taken from the first line unless given.
+    Unless given, the number of text columns is that of the widest line, found in a
+    pass over the file; shorter lines have nulls at their end.
     """
     lead = ["label int"] if labeled else []
     if categories is None:
-        first = spark.read.text(path).first()[0]
-        categories = first.count("\t") + 1 - INTEGER_FIELDS - len(lead)
+        tabs = F.length("value") - F.length(F.translate("value", "\t", ""))
+        widest = spark.read.text(path).agg(F.max(tabs)).first()[0] or 0
+        categories = max(0, widest + 1 - INTEGER_FIELDS - len(lead))
     integers = [f"i{n} int" for n in range(INTEGER_FIELDS)]
     texts = [f"c{n} string" for n in range(INTEGER_FIELDS, INTEGER_FIELDS + categories)]
     return spark.read.csv(path, sep="\t", schema=", ".join([*lead, *integers, *texts]))

@@ -14,12 +14,13 @@ from quillrank.session import scratch_path
 Prepare = Callable[[DataFrame], DataFrame]
 
 
-def arriving(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1,
+def arriving(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None,
              form: str = "parquet") -> DataFrame:
-    """Files that appear under ``path`` (a folder or pattern) as a stream."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(form).load(path)
-    )
+    """Files that appear under ``path`` (a folder or pattern) as a stream; a batch takes all there are unless told otherwise."""
+    reader = spark.readStream.schema(schema).format(form)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(path)
 
 
 def score_stream(model: Model, rows: DataFrame, prepare: Prepare, finish: Prepare) -> DataFrame:

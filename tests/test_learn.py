@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegressionModel
@@ -159,3 +161,43 @@ def test_metrics_match_the_built_in_evaluators(spark, planted):
 
 def test_title_rules():
     assert set(text.FULL_TITLES.values()) == {"Sir", "Mlle"} and "Mme" not in text.SHORT_TITLES
+
+
+def test_search_moves_the_form_of_the_vectors(spark):
+    rng = random.Random(5)
+    rows = [(n, rng.randrange(2), rng.randrange(2), rng.randrange(400)) for n in range(1200)]
+    df = spark.createDataFrame([(n, a, b, f"w{c}", float(a ^ b)) for n, a, b, c in rows], "id long, a int, b int, w string, label double")
+    group = encode.group([encode.token("a_", F.col("a")), encode.token("b_", F.col("b"))])
+    noise = encode.group([encode.token("", F.col("w"))])
+    examples = learn.featurize(df, {"f": group}, F.col("label"), keep=["id"])
+    metric = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    spec = learn.logistic_regression(passes=30, bits=12, quadratic=[None, "ff"])
+    assert learn.search(spec, examples, "id", metric, True).params["quadratic"] == "ff"
+    wide = learn.featurize(df.withColumn("label", F.col("a").cast("double")), {"f": group, "g": noise}, F.col("label"), keep=["id"])
+    spec = learn.logistic_regression(passes=30, bits=[2, 10, 14][0:1] + [12, 13], quadratic=None)
+    assert learn.search(spec, wide, "id", metric, True).params["bits"] > 2
+
+
+def test_hidden_layer_takes_no_penalty():
+    with pytest.raises(TypeError):
+        learn.logistic_regression(nn=5, l1=0.1)
+
+
+def test_small_shares_are_kept(spark):
+    rows = spark.range(20_000)
+    train, test = splits.random_split(rows, "id", 0.9997)
+    assert train.count() + test.count() == 20_000 and 0 < test.count() < 20
+    sizes = dict(splits.part_sizes(splits.with_split(rows, "id", {"a": 0.9997, "b": 0.0003})).collect())
+    assert sizes["a"] == train.count() and sizes["b"] == test.count()
+
+
+def test_one_class_has_no_auc(spark):
+    df = spark.createDataFrame([(1.0, 0.3), (1.0, 0.4)], "label double, score double")
+    assert evaluate.auc(df, "label", "score").first().auc is None
+    none = spark.createDataFrame([], "user_id int")
+    assert evaluate.coverage(none, none).first().percent is None
+
+
+def test_digits_to_the_very_end(spark):
+    df = spark.createDataFrame([("12",), ("12\n",)], "t string")
+    assert [r[0] for r in df.select(text.is_digits(F.col("t"))).collect()] == [True, False]
