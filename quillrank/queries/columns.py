@@ -78,13 +78,13 @@ def indicator_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DENSE = """
-WITH e AS (SELECT vec_id, label, generate_subscripts(embedding[1:21], 1) AS n, unnest(embedding[1:21]) AS v FROM {embeddings}),
+WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS n, unnest(embedding) AS v FROM {embeddings}),
 f AS (SELECT vec_id, n, concat('feature', CAST(n AS VARCHAR)) AS name, CAST(v AS DOUBLE) AS value FROM e)
 """
 
 
 def dense_rows(spark: SparkSession, sf: str) -> DataFrame:
-    group = tournament.feature_group(F.slice("embedding", 1, tournament.FEATURES))
+    group = tournament.feature_group(F.col("embedding"))
     return view(spark, sf, "embeddings").select(
         "vec_id", (F.col("label") >= 5).cast("int").alias("target"), group.alias("f")
     )
