@@ -1,8 +1,10 @@
 """The stages one after the other against plain versions on the smallest tables."""
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from brute import components, cut_repeats, sha256
+from compare import difference
 
 import corpus_pipeline
 from quillrank.llm import queries
@@ -43,3 +45,8 @@ def test_stages(spark, sf):
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(queries.CHECKS))
+def test_same_rows_as_sql(spark, sf, name):
+    assert difference(queries.QUERIES[name](spark, sf), queries.CHECKS[name], sf) == ""
