@@ -105,10 +105,10 @@ def digest(found: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in two)
 
 
-def bitmap(found: np.ndarray) -> bytes:
-    """Hashed bitmap with a power of two of bits, at least one for each element and 64 in all."""
+def bitmap(found: np.ndarray, room: int = 1) -> bytes:
+    """Hashed bitmap with a power of two of bits, at least ``room`` for each element and 64 in all."""
     size = 64
-    while size < len(found):
+    while size < room * len(found):
         size *= 2
     bits = np.zeros(size, bool)
     bits[(found & np.uint64(size - 1)).astype(np.int64)] = True
