@@ -344,7 +344,8 @@ def singly(rows: DataFrame) -> DataFrame:
                     for k in range(number):
                         if (key, first + k) not in gone:
                             string = held[k : k + LENGTH]
-                            out.append((hash(string), key, first + k, 1, string))
+                            name = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+                            out.append((name, key, first + k, 1, string))
                 yield record_batch(out, schema)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
