@@ -15,6 +15,8 @@ from quillrank.llm.sentence_pieces import encode_pieces
 from quillrank.llm.suffix_dedup import without_repeats
 from quillrank.session import pin
 
+#: Units of text whose pieces a worker keeps; other stages run in the same workers.
+REMEMBERED = 50_000
 #: How much of each domain's words (high, low quality, toxic) is to be kept. Toxic documents have gone in the first stage;
 #: what memberships in that domain are left is doubt about clean ones.
 MIX = (1.0, 0.5, 1.0)
@@ -49,7 +51,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of each document's pieces, and digest of what they decode to."""
-    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), remembered=REMEMBERED)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -235,17 +235,19 @@ def codec(path: str) -> PieceCodec:
     return _codecs[path]
 
 
-def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False,
+                  remembered: int = REMEMBERED) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` also ids and decoded) of every document.
 
     Ids equal the sentencepiece library's for the merge-type model in ``path``
     without begin and end ids; ids are then decoded. A null text counts as empty: no
     ids, an empty decoded text. Repeated rows give repeated rows, an empty table
     none; other columns are not read. Nothing is shuffled; a task holds one piece
-    of its texts.
+    of its texts, and a worker the results of ``remembered`` units.
     """
 
     def work(keys: list, texts: list[str]) -> dict[str, list]:
+        codec(path).memory.size = remembered
         units = codec(path).known(texts)
         numbers = [",".join([u[0] for u in unit]) for unit in units]
         decoded = ["".join([u[2] for u in unit]).removeprefix(" ") for unit in units]
