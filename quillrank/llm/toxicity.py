@@ -1,4 +1,8 @@
-"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity from the nearest labelled examples: exact cosine of weighted TF-IDF over all terms, by a block-max index.
+
+Terms that no example has add to no product and change all cosines of a document by one
+factor, which neither order nor votes depend on, so the vocabulary is that of the examples.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +23,26 @@ from quillrank.session import pin
 
 #: Labelled rows of each class that vocabulary and examples come from, at most, chosen by a hash of the document id.
 PER_CLASS = 8_000
-#: Terms of the vocabulary at most; chi-square by which a term must go with label 1; rows that it must be in; how many
-#: times as common it must be there as with label 0.
-TERMS, CHI_SQUARE, ROWS, RATIO = 2_048, 30.0, 3, 4
-#: Beginnings of words that are terms beside the words.
-BEGINNINGS = (4, 5)
+#: Beginnings of words that are terms beside the words; sizes of the character n-grams where words have no spaces.
+BEGINNINGS, GRAMS = (4, 5), (2, 3)
 #: Nearest examples that vote, examples of an index block, votes that the share of a class counts for.
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.5
+#: Terms in at least one of so many examples have a dense row, the commonest ones, at most so many.
+ONE_IN, DENSE = 12, 512
+#: Documents searched at a time, blocks that give the first k-th best cosine, words whose terms a worker keeps.
+TOGETHER, FIRST, REMEMBERED = 256, 4, 200_000
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
 
 def terms_of(word: str) -> list[str]:
-    """A word and its beginnings, which have a star."""
+    """A word and its beginnings, which have a star; character n-grams of what is written without spaces."""
+    if not word.isascii() and max(word) >= "\u0e00" and UNSPACED.search(word):
+        runs = UNSPACED.findall(word)
+        pairs = [run[i : i + n] for run in runs for n in GRAMS for i in range(len(run) - n + 1)]
+        rest = [t for part in UNSPACED.split(word) if part for t in terms_of(part)]
+        return [*pairs, *(run for run in runs if len(run) < min(GRAMS)), *rest]
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
@@ -38,122 +51,198 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
 class Index:
-    """Examples as postings in blocks, with each term's largest weight in each block."""
+    """Examples in blocks: a dense row for each common term, postings of the others, each common term's largest weights.
+
+    Rows are (id, label, weight by term); ``Index.of`` takes the same as arrays.
+    """
 
     def __init__(self, rows: list[tuple[int, int, dict[int, float]]], terms: int):
+        sizes = [len(r[2]) for r in rows]
+        term = np.fromiter((t for r in rows for t in r[2]), np.int64, sum(sizes))
+        weight = np.fromiter((w for r in rows for w in r[2].values()), np.float64, sum(sizes))
+        self._build(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), sizes, term, weight, terms)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> Index:
+        index = cls.__new__(cls)
+        index._build(ids, labels, sizes, term, weight, terms)
+        return index
+
+    def _build(self, ids, labels, sizes, term, weight, terms: int) -> None:
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        number = np.bincount(term, minlength=terms)
+        common = np.argsort(-number, kind="stable")[:DENSE]
+        common = common[(number[common] > 0) & (number[common] * ONE_IN >= len(ids))]
+        self.place = np.full(terms, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        dense = self.place[term] >= 0
+        table = np.zeros((len(ids), len(common)))
+        table[row[dense], self.place[term[dense]]] = weight[dense]
         # Alike examples stand together, so that few blocks have a large bound.
-        rows = sorted(rows, key=lambda r: (r[1], max(r[2], key=lambda t: (r[2][t], t)), r[0]))
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.labels = np.array([r[1] for r in rows], np.int64)
-        self.blocks = max(1, -(-len(rows) // BLOCK))
-        flat = [(t, n, w) for n, r in enumerate(rows) for t, w in r[2].items()]
-        flat.sort()
-        self.term = np.array([f[0] for f in flat], np.int64)
-        self.row = np.array([f[1] for f in flat], np.int64)
-        self.weight = np.array([f[2] for f in flat], np.float64)
-        self.largest = np.zeros((terms, self.blocks))
-        np.maximum.at(self.largest, (self.term, self.row // BLOCK), self.weight)
-        cell = self.term * self.blocks + self.row // BLOCK
-        self.starts = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
-
-    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a term in common; ties to the smaller id.
-
-        Blocks are scored in the order of their bounds, more at a time as the search
-        goes on, until no bound reaches the k-th best cosine.
+        strongest = table.argmax(1) if len(common) else np.zeros(len(ids), np.int64)
+        order = np.lexsort((ids, strongest, labels))
+        self.ids, self.labels = ids[order], labels[order]
+        self.blocks = max(1, -(-len(ids) // BLOCK))
+        padded = np.zeros((self.blocks * BLOCK, len(common)))
+        padded[: len(ids)] = table[order]
+        self.tables = np.ascontiguousarray(padded.reshape(self.blocks, BLOCK, len(common)).transpose(0, 2, 1))
+        self.largest = np.ascontiguousarray(self.tables.max(2).T)
+        to = np.empty(len(ids), np.int32)
+        to[order] = np.arange(len(ids))
+        term, row, weight = term[~dense], to[row[~dense]], weight[~dense]
+        by_term = np.argsort(term, kind="stable")
+        self.row, self.weight = row[by_term], weight[by_term]
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=terms))))
+
+    def nearest(self, query: dict[int, float], k: int) -> Vector:
+        """Places and cosines of the k nearest examples with a term in common; ties to the smaller id."""
+        terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
+        return self.search([(terms, weights)], k)[0]
+
+    def search(self, queries: list[Vector], k: int) -> list[Vector]:
+        """``nearest`` of several documents.
+
+        Postings give the part of all uncommon terms. Blocks with the largest bounds
+        are then scored for a first k-th best cosine, and after them every block whose
+        bound reaches it.
         """
-        terms = np.fromiter(query, np.int64, len(query))
-        weights = np.fromiter(query.values(), np.float64, len(query))
-        bound = weights @ self.largest[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        sums = np.zeros(self.blocks * BLOCK)
-        least, start, step = 0.0, 0, 4
-        found = np.zeros(0, np.int64)
-        while start < len(order) and bound[order[start]] >= least - 1e-12:
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[start : start + step]] = True
-            for t, w in zip(terms, weights):
-                a, b = self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]
-                here = chosen[self.row[a:b] // BLOCK]
-                sums[self.row[a:b][here]] += w * self.weight[a:b][here]
-            start, step = start + step, 2 * step
-            found = np.flatnonzero(sums > 0)
-            if len(found) >= k:
-                least = np.partition(sums[found], len(found) - k)[len(found) - k]
+        total = np.zeros((len(queries), self.blocks * BLOCK))
+        own = np.zeros((len(queries), len(self.largest)))
+        for n, (terms, weights) in enumerate(queries):
+            place = self.place[terms]
+            own[n, place[place >= 0]] = weights[place >= 0]
+            terms, weights = terms[place < 0], weights[place < 0]
+            a, b = self.starts[terms], self.starts[terms + 1]
+            sizes = b - a
+            if sizes.any():
+                at = np.arange(sizes.sum()) + np.repeat(a - (np.cumsum(sizes) - sizes), sizes)
+                total[n] = np.bincount(self.row[at], np.repeat(weights, sizes) * self.weight[at], total.shape[1])
+        cells = total.reshape(len(queries), self.blocks, BLOCK)
+        bound = own @ self.largest + cells.max(2)
+        some = min(self.blocks, max(FIRST, -(-k // BLOCK)))
+        first = np.argpartition(-bound, some - 1, axis=1)[:, :some]
+        seen = np.zeros(bound.shape, bool)
+        np.put_along_axis(seen, first, True, 1)
+        self._add(cells, own, seen)
+        held = np.take_along_axis(cells, first[:, :, None], 1).reshape(len(queries), -1)
+        least = np.partition(held, held.shape[1] - k, axis=1)[:, held.shape[1] - k] if held.shape[1] >= k else np.zeros(len(queries))
+        more = (bound >= least[:, None] - 1e-12) & ~seen
+        self._add(cells, own, more)
+        cells[~(seen | more)] = 0
+        best = cells.max(2)
+        low = np.partition(best, self.blocks - k, axis=1)[:, self.blocks - k] if self.blocks >= k else np.zeros(len(queries))
+        return [self._first(total[n], low[n], k) for n in range(len(queries))]
+
+    def _add(self, cells: np.ndarray, own: np.ndarray, chosen: np.ndarray) -> None:
+        """The common terms' part of the chosen blocks."""
+        for block in np.flatnonzero(chosen.any(0)) if own.shape[1] else ():
+            who = np.flatnonzero(chosen[:, block])
+            cells[who, block] += own[who] @ self.tables[block]
+
+    def _first(self, sums: np.ndarray, low: float, k: int) -> Vector:
+        found = np.flatnonzero((sums >= low - 1e-11) & (sums > 0))
         score = np.minimum(sums[found], 1.0)
         best = np.lexsort((self.ids[found], -np.round(score, 12)))[:k]
         return found[best], score[best]
 
 
-class Finder:
-    """Finds the terms of a vocabulary in lower-case texts, all in one run over the text."""
+class Known(dict):
+    """Numbers of the terms of words, worked out when a word is met and kept for ``REMEMBERED`` words."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        import ahocorasick
+        super().__init__()
+        self.vocabulary = vocabulary
 
-        self.automaton = ahocorasick.Automaton()
-        meant: dict[str, list] = {}
-        for term, number in vocabulary.items():
-            meant.setdefault(term.rstrip("*"), []).append((number, term[-1] == "*"))
-        for letters, terms in meant.items():
-            self.automaton.add_word(letters, (len(letters), terms))
-        if meant:
-            self.automaton.make_automaton()
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        vocabulary = self.vocabulary
+        numbers = self[word] = tuple([vocabulary[t] for t in terms_of(word) if t in vocabulary])
+        return numbers
+
+
+class Finder:
+    """Finds the terms of a vocabulary in texts."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.known = Known(vocabulary)
 
     def __call__(self, text: str) -> Counter:
         """How often each term stands in ``text``."""
-        text, found = text.lower(), Counter()
-        if len(self.automaton):
-            for end, (size, terms) in self.automaton.iter(text):
-                before, after = end - size, end + 1
-                if before >= 0 and WORD.match(text, before, before + 1):
-                    continue
-                goes_on = after < len(text) and WORD.match(text, after, after + 1) is not None
-                for number, beginning in terms:
-                    if beginning == goes_on:
-                        found[number] += 1
-        return found
+        return Counter(chain.from_iterable(map(self.known.__getitem__, WORD.findall(text.lower()))))
+
+    def distinct(self, text: str) -> set[int]:
+        """Terms that stand in ``text``."""
+        return set(chain.from_iterable(map(self.known.__getitem__, set(WORD.findall(text.lower())))))
+
+
+@dataclass
+class Examples:
+    """Ids, labels and numbers of terms of the examples, and their terms with counts one after the other."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    sizes: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
 
 
 @dataclass
 class Model:
-    """Vocabulary with inverse document frequencies, index of the examples and how much a vote of each class counts."""
+    """Vocabulary with the terms' weights, examples and how much a vote of each class counts.
+
+    The index is made where it is used, since it is several times as large as the counts.
+    """
 
     vocabulary: dict[str, int]
     idf: np.ndarray
-    index: Index
+    examples: Examples
     votes: tuple[float, float]
     share: float
     share_without: float
 
+    @cached_property
+    def index(self) -> Index:
+        own = self.examples
+        weight = (1 + np.log(own.counts.astype(np.float64))) * self.idf[own.terms]
+        row = np.repeat(np.arange(len(own.ids)), own.sizes)
+        weight /= np.sqrt(np.bincount(row, weight * weight, len(own.ids)))[row]
+        return Index.of(own.ids, own.labels, own.sizes, own.terms, weight, max(1, len(self.idf)))
+
     @cached_property
     def finder(self) -> Finder:
         return Finder(self.vocabulary)
 
-    def vectors(self, texts: list[str]) -> Iterator[dict[int, float]]:
-        """Unit TF-IDF vectors over the vocabulary."""
+    def vectors(self, texts: list[str]) -> Iterator[Vector]:
+        """Terms and weights of unit vectors over the vocabulary."""
         for text in texts:
-            yield unit(self.finder(text), self.idf)
+            found = self.finder(text)
+            terms = np.fromiter(found, np.int64, len(found))
+            weights = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.idf[terms]
+            yield terms, weights / np.sqrt(weights @ weights) if len(found) else weights
 
     def score(self, texts: list[str]) -> Iterator[tuple[float, list[int]]]:
         """Score of each text and the ids of the examples that it rests on, nearest first.
 
         A vote counts by its cosine and by how many labelled rows of its class the
         example stands for; the share of label 1 counts as ``PRIOR`` votes. Without
-        any term of the vocabulary the score is the share of label 1 among such examples.
+        any term of an example the score is the share of label 1 among examples without terms.
         """
-        for vector in self.vectors(texts):
-            if not vector:
-                yield self.share_without, []
-                continue
-            at, cosine = self.index.nearest(vector, NEIGHBOURS)
-            weight = cosine * np.take(self.votes, self.index.labels[at])
-            scale = PRIOR * (weight.mean() if len(weight) else 1.0)
-            toxic = float((weight * self.index.labels[at]).sum())
-            total = float(weight.sum()) + scale
-            yield (toxic + scale * self.share) / total, self.index.ids[at].tolist()
+        for start in range(0, len(texts), TOGETHER):
+            vectors = list(self.vectors(texts[start : start + TOGETHER]))
+            for (terms, _), (at, cosine) in zip(vectors, self.index.search(vectors, NEIGHBOURS)):
+                if not len(terms):
+                    yield self.share_without, []
+                    continue
+                weight = cosine * np.take(self.votes, self.index.labels[at])
+                scale = PRIOR * (weight.mean() if len(weight) else 1.0)
+                toxic = float((weight * self.index.labels[at]).sum())
+                total = float(weight.sum()) + scale
+                yield (toxic + scale * self.share) / total, self.index.ids[at].tolist()
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
@@ -193,46 +282,55 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["term", "n0", "n1"])
 
     counted = rows.mapInArrow(count, "term string, n0 long, n1 long").groupBy("term")
-    counted = counted.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n0, n1 = counted.where("term = ''").select("n0", "n1").first() or (0, 0)
-    if n0 and n1:
-        a, b = F.col("n1") / n1, F.col("n0") / n0
-        mean = (F.col("n1") + F.col("n0")) / (n1 + n0)
-        goes = (a - b) ** 2 / F.greatest(mean * (1 - mean) * (1 / n1 + 1 / n0), F.lit(1e-12))
-        chosen = counted.where(f"term <> '' AND n0 + n1 >= {ROWS}").withColumn("goes", goes)
-        chosen = chosen.where((F.col("goes") >= CHI_SQUARE) & (a >= RATIO * b)).orderBy(F.col("goes").desc(), "term").limit(TERMS)
-        vocabulary = {r["term"]: n for n, r in enumerate(chosen.select("term").collect())}
-    else:
-        vocabulary = {}
+    # A row for each term of the sample, the empty term's with the numbers of examples.
+    counted = counted.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("term").toArrow()
+    terms = counted["term"].to_pylist()
+    n0, n1 = (counted[c].to_numpy() for c in ("n0", "n1"))
+    size0, size1 = (int(n[0]) if len(n) else 0 for n in (n0, n1))
+    vocabulary = {t: n for n, t in enumerate(terms[1:])}
+    # How far a term leans to label 1: 1 and more, so that no term is without weight.
+    lean = np.log2(2 + n1[1:] / np.maximum(1.0, n0[1:] * (size1 / max(1, size0))))
+    sent = spark.sparkContext.broadcast(vocabulary)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, total, seen = Finder(vocabulary), Counter(), 0
+        finder, total, seen = Finder(sent.value), np.zeros(len(sent.value), np.int64), 0
         for _, texts in pieces(batches):
             for text in texts:
-                total.update(finder(text).keys())
+                found = finder.distinct(text)
+                total[np.fromiter(found, np.int64, len(found))] += 1
             seen += len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([*total, -1]), pa.array([*total.values(), seen])], names=["term", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], seen))], names=["term", "n"])
 
     # A row for each term of the vocabulary.
-    found = docs.mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    number = {r["term"]: r["n"] for r in found}
-    idf = np.array([np.log((1 + number.get(-1, 0)) / (1 + number.get(t, 0))) + 1 for t in range(len(vocabulary))])
+    found = docs.mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    number = np.zeros(len(vocabulary) + 1, np.int64)
+    number[found["term"].to_numpy()] = found["n"].to_numpy()
+    idf = (np.log((1 + number[-1]) / (1 + number[:-1])) + 1) * lean
 
     def example(ids: list, texts: list[str], classes: list) -> dict[str, list]:
-        empty = Model(vocabulary, idf, None, (1, 1), 0, 0)
-        vectors = list(empty.vectors(texts))
-        return {"doc_id": ids, "label": classes, "terms": [list(v) for v in vectors], "weights": [list(v.values()) for v in vectors]}
-
-    kind = "doc_id long, label int, terms array<int>, weights array<double>"
-    vectors = sorted(by_piece(rows, example, kind).collect())
-    examples = [(r["doc_id"], r["label"], dict(zip(r["terms"], r["weights"]))) for r in vectors if r["terms"]]
-    sizes = [sum(r["label"] == c for r in vectors) for c in (0, 1)]
+        finder = Finder(sent.value)
+        found = [finder(text) for text in texts]
+        terms, counts = ([np.fromiter(side(f), np.int32, len(f)).tobytes() for f in found] for side in (Counter.keys, Counter.values))
+        return {"doc_id": ids, "label": classes, "terms": terms, "counts": counts}
+
+    kind = "doc_id long, label int, terms binary, counts binary"
+    # At most twice PER_CLASS rows, the vectors as bytes.
+    vectors = by_piece(rows, example, kind).toArrow()
+    sent.destroy()
+    ids, classes = vectors["doc_id"].to_numpy(), vectors["label"].to_numpy()
+    term, count = (np.frombuffer(b"".join(vectors[c].to_pylist()), np.int32) for c in ("terms", "counts"))
+    lengths = np.array([len(t) // 4 for t in vectors["terms"].to_pylist()], np.int64)
+    some = lengths > 0
+    small = np.uint16 if not len(count) or count.max() < 1 << 16 else np.int32
+    examples = Examples(ids[some], classes[some], lengths[some], term, count.astype(small))
+    sizes = [int((classes == c).sum()) for c in (0, 1)]
     votes = tuple(totals.get(c, 0) / sizes[c] if sizes[c] else 0.0 for c in (0, 1))
     all_rows = totals.get(0, 0) + totals.get(1, 0)
     share = totals.get(1, 0) / all_rows if all_rows else 0.0
-    without = [votes[c] * sum(r["label"] == c and not r["terms"] for r in vectors) for c in (0, 1)]
+    without = [votes[c] * int(((classes == c) & ~some).sum()) for c in (0, 1)]
     share_without = without[1] / sum(without) if sum(without) else share
-    return Model(vocabulary, idf, Index(examples, max(1, len(vocabulary))), votes, share, share_without)
+    return Model(vocabulary, idf, examples, votes, share, share_without)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

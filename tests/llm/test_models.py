@@ -1,6 +1,7 @@
 """Toxicity, mixing and licences: planted signals, held-out rows, calibration."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -77,6 +78,21 @@ def test_terms_are_whole_words_or_beginnings():
         assert dict(finder(text)) == want
 
 
+def test_every_document_meets_its_nearest_example(spark):
+    """Toxic and clean examples share all their words; copies of them and texts without spaces are searched all the same."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3))
+    words = [word() for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(200)] + ["東京都に住む人々", "天気がとても良い"]
+    keys = [n for n in range(2000) if zlib.crc32(str(n).encode()) % 5][: len(texts)]
+    labels = spark.createDataFrame([(k, n % 2) for n, k in enumerate(keys)], "doc_id long, toxic int")
+    copies = [(5000 + n, t) for n, t in enumerate(texts)] + [(9000, "私は京都に住む"), (9001, "qqqq")]
+    docs = spark.createDataFrame([*zip(keys, texts), *copies], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all(got[5000 + n].evidence[0] == k for n, k in enumerate(keys))
+    assert got[9000].evidence == [keys[-2]] and got[9001].evidence == []
+
+
 def test_without_labels(spark, labelled, no_docs):
     docs, labels = labelled
     none = labels.where("toxic = 3")
