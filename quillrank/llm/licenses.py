@@ -107,7 +107,7 @@ CUES = (
     "bsd", "apache", "mozilla")
 #: Words with these parts make a word n-gram a feature.
 MARKS = (
-    "licen|copyright|permi|redistribut|public|commons|gnu|gpl|spdx|cc|bsd|apache|mozilla|unencumbered|attribution|affero|lesser")
+    "licen|unlicen|copyright|permi|redistribut|public|commons|gnu|gpl|spdx|cc|bsd|apache|mozilla|unencumbered|attribution|affero|lesser")
 #: Most words of an n-gram, features at most, penalty; probability and shared part of a template that confirm a family.
 WORDS, FEATURES, PENALTY = 3, 4_096, 1e-3
 PROBABILITY, SHARED = 0.5, 0.75
@@ -168,7 +168,7 @@ class Scanner:
         self.weights = spark.createDataFrame(table, "gram string, weights array<double>")
         texts = [(f, n, t) for f, own in TEMPLATES.items() for n, t in enumerate(own)]
         self.templates = spark.createDataFrame(texts, "family string, template int, text string")
-        self.templates = with_grams(self.templates).select("family", "template", F.col("grams").alias("wanted"))
+        self.templates = with_grams(self.templates).select("family", "template", F.col("grams").alias("wanted")).where("size(wanted) > 0")
 
     @staticmethod
     def _heat(scored: DataFrame) -> float:
@@ -199,7 +199,7 @@ class Scanner:
             "doc_id", "row", "paragraph", "grams", F.element_at(F.lit(self.families), best).alias("family"),
             (F.element_at("e", best) / F.aggregate("e", F.lit(0.0), lambda s, e: s + e)).alias("probability"))
         found = scored.join(F.broadcast(self.templates), "family", "left")
-        shared = F.size(F.array_intersect("grams", "wanted")) / F.size("wanted")
+        shared = F.try_divide(F.size(F.array_intersect("grams", "wanted")), F.size("wanted"))
         most = F.coalesce(F.max(shared), F.lit(0.0)).alias("shared")
         found = found.groupBy("doc_id", "row", "paragraph", "family", "probability").agg(most)
         good = (F.col("family") != UNKNOWN) & (F.col("probability") >= PROBABILITY) & (F.col("shared") >= SHARED)

@@ -162,3 +162,11 @@ def test_licences(spark, no_docs):
     plan = result._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert licenses.license_scan(no_docs).count() == 0
+
+
+def test_every_family_has_a_notice_that_is_found(spark):
+    notices = [(f, t) for f, texts in licenses.TEMPLATES.items() for t in texts]
+    frame = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(notices)], "doc_id long, text string")
+    found = {r.doc_id: r.families for r in licenses.license_scan(frame).collect()}
+    assert {notices[n][0] for n, families in found.items() if families == [notices[n][0]]} == set(licenses.TEMPLATES)
+    assert all(found[n] == ["unlicense"] for n, (family, _) in enumerate(notices) if family == "unlicense")
