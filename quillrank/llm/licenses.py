@@ -43,11 +43,17 @@ TEMPLATES = {
     "lgpl": (
         "licensed under the GNU Lesser General Public License",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation, either version 2.1 of the License",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "agpl-3.0": (
         "licensed under the GNU Affero General Public License, version 3",
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "bsd": (
@@ -105,9 +111,11 @@ AFTER = ("", ".", " (the \"License\").", ". See the file for details.", " as sta
 CUES = (
     "licen", "copyright", "permi", "redistribut", "public domain", "creative commons", "gnu", "gpl", "spdx", "cc by", "cc0",
     "bsd", "apache", "mozilla")
+#: Comment markers in letters at the start of lines; the others aren't words.
+BORDERS = r"(?m)^[ \t]*(?:[Rr][Ee][Mm]|dnl)\b"
 #: Words with these parts make a word n-gram a feature.
 MARKS = (
-    "licen|unlicen|copyright|permi|redistribut|public|commons|gnu|gpl|spdx|cc|bsd|apache|mozilla|unencumbered|attribution|affero|lesser")
+    "licen|unlicen|copyright|permi|redistribut|public|version|commons|gnu|gpl|spdx|cc|bsd|apache|mozilla|unencumbered|attribution|affero|lesser")
 #: Most words of an n-gram, features at most, penalty; probability and shared part of a template that confirm a family.
 WORDS, FEATURES, PENALTY = 3, 4_096, 1e-3
 PROBABILITY, SHARED = 0.5, 0.75
@@ -140,11 +148,21 @@ def _joined(column: Column, size: int) -> Callable[[Column], Column]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, paragraph, text) of the lines that may be notices; ``row`` tells rows with one doc_id apart."""
+    """(doc_id, row, paragraph, line, text) of paragraphs that may hold notices and of their lines that may be one.
+
+    Paragraphs end at lines without letters and digits, also those with a comment
+    marker only. Line -1 is the whole paragraph; ``row`` tells rows with one doc_id apart.
+    """
     has = reduce(lambda a, b: a | b, (F.contains(F.col("low"), F.lit(c)) for c in CUES))
-    rows = docs.withColumn("low", F.lower("text")).where(has).drop("low")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
-    return rows.withColumn("low", F.lower("text")).where(has).drop("low")
+    # Cues of two words may stand on two lines.
+    low = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")
+    rows = docs.withColumn("low", low).where(has).drop("low")
+    parts = F.split("text", r"\n[^\p{L}\p{N}]*\n")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(parts).alias("paragraph", "text"))
+    rows = rows.withColumn("low", low).where(has).drop("low").withColumn("lines", F.split("text", "\n"))
+    several = F.when(F.size("lines") > 1, F.concat(F.array("text"), "lines")).otherwise(F.array("text"))
+    rows = rows.select("doc_id", "row", "paragraph", F.posexplode(several).alias("line", "text")).withColumn("line", F.col("line") - 1)
+    return rows.withColumn("low", low).where(has).drop("low").withColumn("text", F.regexp_replace("text", BORDERS, " "))
 
 
 class Scanner:
@@ -184,45 +202,58 @@ class Scanner:
         return float(min(row, key=lambda k: row[k] if row[k] is not None else float("inf")))
 
     def scan(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, row, paragraph, family, probability, shared, confirmed) of every paragraph with a feature."""
+        """(doc_id, row, paragraph, line, found) of every line and paragraph with a feature.
+
+        ``found`` are (family, probability, matched) of the confirmed families. A family's
+        probability is against the unknown class, so that one text can have several;
+        one whose n-grams all belong to a surer family's match is left out.
+        """
         lines = with_grams(paragraphs(docs))
-        lines = lines.select("doc_id", "row", "paragraph", "grams").distinct()
+        key = ["doc_id", "row", "paragraph", "line"]
         hits = lines.withColumn("gram", F.explode("grams")).join(F.broadcast(self.weights), "gram")
         size = len(self.families)
         sums = [F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(size)]
-        scored = hits.groupBy("doc_id", "row", "paragraph", "grams").agg(*sums)
-        logits = F.array(*((F.col(f"s{k}") + F.lit(self.bias[k])) / F.lit(self.heat) for k in range(size)))
-        scored = scored.withColumn("z", logits)
-        scored = scored.withColumn("e", F.transform("z", lambda z: F.exp(z - F.array_max("z"))))
-        best = F.array_position("z", F.array_max("z")).cast("int")
-        scored = scored.select(
-            "doc_id", "row", "paragraph", "grams", F.element_at(F.lit(self.families), best).alias("family"),
-            (F.element_at("e", best) / F.aggregate("e", F.lit(0.0), lambda s, e: s + e)).alias("probability"))
+        scored = hits.groupBy(*key, "grams").agg(*sums)
+        logit = [(F.col(f"s{k}") + F.lit(self.bias[k])) / F.lit(self.heat) for k in range(size)]
+        sure = [F.struct(F.lit(f).alias("family"), (1 / (1 + F.exp(logit[-1] - z))).alias("probability")) for f, z in zip(TEMPLATES, logit)]
+        good = F.filter(F.array(*sure), lambda f: f["probability"] >= PROBABILITY)
+        scored = scored.select(*key, "grams", F.explode_outer(good).alias("own")).select(*key, "grams", "own.*")
         found = scored.join(F.broadcast(self.templates), "family", "left")
-        shared = F.try_divide(F.size(F.array_intersect("grams", "wanted")), F.size("wanted"))
-        most = F.coalesce(F.max(shared), F.lit(0.0)).alias("shared")
-        found = found.groupBy("doc_id", "row", "paragraph", "family", "probability").agg(most)
-        good = (F.col("family") != UNKNOWN) & (F.col("probability") >= PROBABILITY) & (F.col("shared") >= SHARED)
-        return found.withColumn("confirmed", good)
+        found = found.withColumn("matched", F.array_intersect("grams", "wanted"))
+        confirmed = F.try_divide(F.size("matched"), F.size("wanted")) >= SHARED
+        found = found.groupBy(*key, "family", "probability").agg(
+            F.array_distinct(F.flatten(F.collect_list(F.when(confirmed, F.col("matched"))))).alias("matched"))
+        own = F.struct(F.size("matched").alias("size"), "probability", "family", "matched")
+        found = found.groupBy(*key).agg(F.collect_list(F.when(F.size("matched") > 0, own)).alias("found"))
+        surer = lambda f, o: (o["size"] > f["size"]) | ((o["size"] == f["size"]) & (
+            (o["probability"] > f["probability"]) | ((o["probability"] == f["probability"]) & (o["family"] < f["family"]))))
+        within = lambda f, o: surer(f, o) & (F.size(F.array_except(f["matched"], o["matched"])) == 0)
+        return found.withColumn("found", F.filter("found", lambda f: ~F.exists("found", lambda o: within(f, o))))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_notices, families, probability, other) of every document.
 
-    ``families`` are those of the confirmed notices in its lines, sorted; ``probability`` is
-    that of the surest, 0 without any; ``other`` counts lines that read like a notice
-    but whose family is unknown or that no template confirms. Only DataFrame functions
-    and Spark's own learners run. A null or empty text has no notice. Rows with one
-    doc_id each keep their own result, repeated rows are repeated, an empty table
-    gives none; columns other than doc_id and text are not read.
+    ``families`` are those of the confirmed notices in its paragraphs, sorted; ``probability``
+    is that of the surest, 0 without any. ``n_notices`` counts each family of a line, and
+    those of a paragraph that none of its lines has by itself. ``other`` counts paragraphs
+    that read like a notice but whose family is unknown or that no template confirms.
+    Only DataFrame functions and Spark's own learners run. A null or empty text has no
+    notice. Rows with one doc_id each keep their own result, repeated rows are
+    repeated, an empty table gives none; columns other than doc_id and text are not read.
     """
     docs = docs.select("doc_id", "text")
-    lines = Scanner(docs.sparkSession).scan(docs)
-    found = lines.groupBy("doc_id", "row").agg(
-        F.count_if("confirmed").alias("n_notices"),
-        F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
-        F.coalesce(F.max(F.when(F.col("confirmed"), F.col("probability"))), F.lit(0.0)).alias("probability"),
-        F.count_if(~F.col("confirmed")).alias("other"))
+    # Repeated rows give the same paragraphs; their result is joined to each of them.
+    lines = Scanner(docs.sparkSession).scan(docs.distinct())
+    names = lambda which: F.flatten(F.collect_list(F.when(which, F.col("found.family"))))
+    found = lines.groupBy("doc_id", "row", "paragraph").agg(
+        names(F.col("line") >= 0).alias("single"), names(F.col("line") < 0).alias("whole"),
+        F.max(F.array_max("found.probability")).alias("probability"))
+    extra = F.array_except("whole", "single")
+    found = found.withColumn("own", F.concat("single", extra))
+    found = found.groupBy("doc_id", "row").agg(
+        F.sum(F.size("own")).cast("long").alias("n_notices"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("families"),
+        F.coalesce(F.max("probability"), F.lit(0.0)).alias("probability"), F.count_if(F.size("own") == 0).alias("other"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"))
     same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["row"] == found["row"])
     joined = rows.join(found, same, "left").select(rows["doc_id"], "n_notices", "families", "probability", "other")

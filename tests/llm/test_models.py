@@ -1,6 +1,7 @@
 """Toxicity, mixing and licences: planted signals, held-out rows, calibration."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -170,3 +171,16 @@ def test_every_family_has_a_notice_that_is_found(spark):
     found = {r.doc_id: r.families for r in licenses.license_scan(frame).collect()}
     assert {notices[n][0] for n, families in found.items() if families == [notices[n][0]]} == set(licenses.TEMPLATES)
     assert all(found[n] == ["unlicense"] for n, (family, _) in enumerate(notices) if family == "unlicense")
+
+
+def test_wrapped_and_double_notices(spark):
+    gpl = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as "
+           "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+    mit, bsd = licenses.TEMPLATES["mit"][1], licenses.TEMPLATES["bsd"][1]
+    mpl = licenses.TEMPLATES["mpl-2.0"][1] + ". If a copy of the MPL was not distributed with this file, you can obtain one at the web site."
+    texts = [(gpl.format(""), ["gpl-3.0"]), (gpl.format("Lesser "), ["lgpl"]), (bsd, ["bsd"]), (mit, ["mit"]), (mpl, ["mpl-2.0"])]
+    rows = [("Some file\n#\n" + textwrap.fill(t, 40, initial_indent="# ", subsequent_indent="# ") + "\n#\nimport os", want) for t, want in texts]
+    rows.append(("You may use it under the Apache License, Version 2.0 or the MIT License.", ["apache-2.0", "mit"]))
+    frame = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licenses.license_scan(frame).collect()}
+    assert got == {n: want for n, (_, want) in enumerate(rows)}
