@@ -8,9 +8,11 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillrank.llm import mixing, toxicity
+from quillrank.llm import mixing, quality, toxicity
+from quillrank.llm.collocations import collocations
 from quillrank.llm.common import table
 from quillrank.llm.forest import nearest
+from quillrank.llm.hard_negatives import hard_negatives
 from quillrank.llm.jaccard_join import jaccard_components
 from quillrank.llm.licenses import license_scan
 from quillrank.llm.sentence_pieces import encode_pieces
@@ -115,6 +117,67 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_documents(spark, sf_dir))
 
 
+CHECKS["op11_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+e AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM e),
+g AS (
+  SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: w[i:i + s - 1])) AS ph
+  FROM p, (VALUES (1), (2), (3), (4)) AS v(s) WHERE len(w) >= s),
+f AS (SELECT lang, s, ph, count(*) AS a FROM g GROUP BY lang, s, ph),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE s = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE s > 1 AND a >= 30),
+i AS (
+  SELECT DISTINCT x.lang, x.ph[k:k + z - 1] AS ph, x.a AS longer
+  FROM c x, (VALUES (2), (3)) AS v(z), (VALUES (1), (2), (3)) AS u(k) WHERE z < x.s AND k + z - 1 <= x.s),
+o AS (SELECT DISTINCT c.lang, c.ph FROM c JOIN i ON c.lang = i.lang AND c.ph = i.ph AND 100 * CAST(longer AS HUGEINT) >= 80 * CAST(a AS HUGEINT)),
+k AS (
+  SELECT c.lang, c.ph, c.a, k, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * c.a) // (CAST(l.a AS HUGEINT) + r.a) AS score
+  FROM c CROSS JOIN (VALUES (1), (2), (3)) AS v(k)
+  JOIN f l ON l.lang = c.lang AND l.ph = c.ph[1:k] JOIN f r ON r.lang = c.lang AND r.ph = c.ph[k + 1:c.s]
+  WHERE k < c.s AND NOT EXISTS (SELECT 1 FROM o WHERE o.lang = c.lang AND o.ph = c.ph)),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS cut FROM k),
+b AS (
+  SELECT *, array_to_string(ph, ' ') AS phrase,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS place FROM m WHERE cut = 1)
+SELECT b.lang, place AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM b JOIN n ON b.lang = n.lang WHERE place <= 2000"""
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+CHECKS["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS place
+  FROM p JOIN s ON p.place <= 5 AND s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 10"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), "vec_id", "embedding", "label")
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
