@@ -121,28 +121,30 @@ CHECKS["op11_collocations"] = r"""
 WITH d AS (
   SELECT coalesce(lang, 'und') AS lang,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-e AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM e),
+e AS (SELECT lang, unnest(string_split(regexp_replace(t, '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(10))) AS piece FROM d),
+p AS (SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') AS w FROM e),
 g AS (
-  SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: w[i:i + s - 1])) AS ph
-  FROM p, (VALUES (1), (2), (3), (4)) AS v(s) WHERE len(w) >= s),
-f AS (SELECT lang, s, ph, count(*) AS a FROM g GROUP BY lang, s, ph),
-n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE s = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE s > 1 AND a >= 30),
+  SELECT lang, unnest(w) AS ph FROM p
+  UNION ALL SELECT lang, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2])) FROM p WHERE len(w) >= 2
+  UNION ALL SELECT lang, unnest(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda z: z[1] || ' ' || z[2] || ' ' || z[3])) FROM p WHERE len(w) >= 3
+  UNION ALL SELECT lang, unnest(list_transform(list_zip(w[:-4], w[2:-3], w[3:-2], w[4:]), lambda z: z[1] || ' ' || z[2] || ' ' || z[3] || ' ' || z[4]))
+  FROM p WHERE len(w) >= 4),
+f AS MATERIALIZED (SELECT lang, ph, count(*) AS a FROM g GROUP BY lang, ph),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE NOT contains(ph, ' ') GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, ph, a, string_split(ph, ' ') AS w FROM f WHERE a >= 30 AND contains(ph, ' ')),
 i AS (
-  SELECT DISTINCT x.lang, x.ph[k:k + z - 1] AS ph, x.a AS longer
-  FROM c x, (VALUES (2), (3)) AS v(z), (VALUES (1), (2), (3)) AS u(k) WHERE z < x.s AND k + z - 1 <= x.s),
-o AS (SELECT DISTINCT c.lang, c.ph FROM c JOIN i ON c.lang = i.lang AND c.ph = i.ph AND 100 * CAST(longer AS HUGEINT) >= 80 * CAST(a AS HUGEINT)),
+  SELECT lang, array_to_string(w[k:k + z - 1], ' ') AS ph, max(a) AS longer
+  FROM c, (VALUES (2), (3)) AS v(z), (VALUES (1), (2), (3)) AS u(k) WHERE z < len(w) AND k + z - 1 <= len(w) GROUP BY 1, 2),
+o AS (SELECT c.* FROM c LEFT JOIN i ON c.lang = i.lang AND c.ph = i.ph WHERE NOT coalesce(100 * CAST(longer AS HUGEINT) >= 80 * CAST(a AS HUGEINT), FALSE)),
+x AS (
+  SELECT lang, ph, a, k, array_to_string(w[1:k], ' ') AS front, array_to_string(w[k + 1:], ' ') AS back
+  FROM o, (VALUES (1), (2), (3)) AS v(k) WHERE k < len(w)),
 k AS (
-  SELECT c.lang, c.ph, c.a, k, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * c.a) // (CAST(l.a AS HUGEINT) + r.a) AS score
-  FROM c CROSS JOIN (VALUES (1), (2), (3)) AS v(k)
-  JOIN f l ON l.lang = c.lang AND l.ph = c.ph[1:k] JOIN f r ON r.lang = c.lang AND r.ph = c.ph[k + 1:c.s]
-  WHERE k < c.s AND NOT EXISTS (SELECT 1 FROM o WHERE o.lang = c.lang AND o.ph = c.ph)),
+  SELECT x.lang, x.ph, x.a, k, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * x.a) // (CAST(l.a AS HUGEINT) + r.a) AS score
+  FROM x JOIN f l ON l.lang = x.lang AND l.ph = front JOIN f r ON r.lang = x.lang AND r.ph = back),
 m AS (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS cut FROM k),
-b AS (
-  SELECT *, array_to_string(ph, ' ') AS phrase,
-    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS place FROM m WHERE cut = 1)
-SELECT b.lang, place AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM b JOIN n ON b.lang = n.lang WHERE place <= 2000"""
+b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS place FROM m WHERE cut = 1)
+SELECT b.lang, place AS rank, ph AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM b JOIN n ON b.lang = n.lang WHERE place <= 2000"""
 
 
 @query
