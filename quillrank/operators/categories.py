@@ -8,7 +8,8 @@ from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.operators.joins import fits_broadcast, join_lookup
+from quillrank.operators.features import pin_vectors, sparse
+from quillrank.operators.joins import fits_broadcast, join_lookup, union_all
 from quillrank.operators.ordered import number_rows
 from quillrank.session import pin
 
@@ -69,3 +70,27 @@ def dummies(df: DataFrame, columns: Sequence[str], most: int = MAX_DUMMIES) -> D
             hit = F.coalesce((F.col(column) == level).cast("int"), F.lit(0))
             made.append(hit.alias(f"{column}_{level}"))
     return df.select(*[c for c in df.columns if c not in set(columns)], *made)
+
+
+def dummy_vector(df: DataFrame, columns: Sequence[str], output: str = "features", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All levels of all columns as one sparse 0/1 vector, whatever their number; and the table of levels.
+
+    The levels, (column, level, place), are numbered column by column in sorted order, as
+    text; each column is looked up in them, so neither the driver nor a plan holds a level.
+    A missing value and a level that ``known`` levels of another table lack give no entry.
+    The vectors are a pinned table.
+    """
+    if known is None:
+        # Text and the column's place, so that levels of all columns are numbered in one run.
+        named = [df.select(F.lit(n).alias("nr"), F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for n, c in enumerate(columns)]
+        distinct = union_all(named).where(F.col("level").isNotNull()).distinct()
+        known = pin(number_rows(distinct, ["nr", "level"], name="place", start=0).select("column", "level", F.col("place").cast("int")), "levels")
+    size = known.count()
+    rows = df
+    for n, column in enumerate(columns):
+        own = known.where(F.col("column") == column).select(F.col("level").alias(f"__key{n}"), F.col("place").alias(f"__place{n}"))
+        rows = join_lookup(rows.withColumn(f"__key{n}", F.col(column).cast("string")), own, f"__key{n}", "left").drop(f"__key{n}")
+    entry = [F.when(F.col(f"__place{n}").isNotNull(), F.struct(F.col(f"__place{n}").alias("place"), F.lit(1.0).alias("value"))) for n in range(len(columns))]
+    pairs = F.array_sort(F.array_compact(F.array(*entry)))
+    rows = rows.withColumn(output, sparse(pairs, size)).drop(*[f"__place{n}" for n in range(len(columns))])
+    return pin_vectors(rows, [output]), known

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +80,26 @@ def counts(df: DataFrame, user: str = "user_id", item: str = "item_id") -> DataF
         F.countDistinct(user).alias("users"),
         F.countDistinct(item).alias("items"),
     )
+
+
+#: Base-2 logarithm of a sketch's registers, and the relative error that a count exceeds in about one of 300 cases.
+SKETCH_BITS = 14
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str], bits: int = SKETCH_BITS) -> DataFrame:
+    """One row: ``rows`` and a mergeable sketch of the distinct values of each column, null values left out.
+
+    A sketch takes about 2^bits bytes whatever the rows. Columns are text, binary or whole numbers.
+    """
+    return df.agg(F.count(F.lit(1)).alias("rows"), *[F.hll_sketch_agg(c, F.lit(bits)).alias(c) for c in columns])
+
+
+def merged_sketches(sketches: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The sketches of several tables or runs as those of all of them, without a look at their rows."""
+    return sketches.groupBy(*by).agg(F.sum("rows").alias("rows"), *[F.hll_union_agg(c).alias(c) for c in columns])
+
+
+def sketched_counts(sketches: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sketches to approximate distinct counts, within ``SKETCH_ERROR`` of the exact ones."""
+    return sketches.withColumns({c: F.hll_sketch_estimate(c) for c in columns})

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml.feature import FeatureHasher, HashingTF, PolynomialExpansion, VectorAssembler
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillrank.session import scratch_path
 
 
 def hash_columns(df: DataFrame, columns: Sequence[str], bits: int, output: str = "features",
@@ -28,28 +30,56 @@ def hash_tokens(df: DataFrame, tokens: str, bits: int, output: str = "features")
     return HashingTF(inputCol=tokens, outputCol=output, numFeatures=1 << bits).transform(df)
 
 
-@F.udf(VectorUDT(), useArrow=True)
-def _pack(slots, values, size):
-    found, at = np.unique(np.asarray(slots, "i4"), return_inverse=True)
-    return SparseVector(size, found, np.bincount(at, np.asarray(values, "f8"), len(found)))
-
-
 def slot(name: Column, bits: int) -> Column:
     """Slot of a feature name: the same on every run."""
     return F.pmod(F.xxhash64(name), F.lit(1 << bits)).cast("int")
 
 
+def pin_vectors(df: DataFrame, columns: Sequence[str], label: str = "vectors") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back with the struct columns ``columns`` as vectors.
+
+    A vector is stored as a struct of its kind, size, indices and values, so a table
+    written with such structs is a table of vectors. No row passes through Python.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    fields = [T.StructField(f.name, VectorUDT() if f.name in columns else f.dataType) for f in df.schema]
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+
+
+def sparse(pairs: Column, size: int) -> Column:
+    """Sorted (place, value) pairs with distinct places as the struct behind a sparse vector."""
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.transform(pairs, lambda p: p["place"]).alias("indices"), F.transform(pairs, lambda p: p["value"]).alias("values"),
+    )
+
+
+def added_up(df: DataFrame, pairs: str) -> DataFrame:
+    """Sort the (place, value) pairs of a column by place and add up those with one place."""
+    rows = df.withColumn("__sorted", F.array_sort(pairs))
+    size, place = F.size("__sorted"), lambda i: F.get("__sorted", i)["place"]
+    last = F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (place(i) != place(i - 1)))
+    rows = rows.withColumn("__last", F.when(size > 0, last).otherwise(F.array().cast("array<int>")))
+
+    def total(end: Column, number: Column) -> Column:
+        before = F.coalesce(F.get("__last", number - 1), F.lit(0))
+        same = F.slice("__sorted", before + 1, end - before)
+        return F.struct(place(end - 1).alias("place"), F.aggregate(same, F.lit(0.0), lambda s, p: s + p["value"]).alias("value"))
+
+    return rows.withColumn(pairs, F.transform("__last", total)).drop("__sorted", "__last")
+
+
 def hash_group(df: DataFrame, group: str | Column, bits: int, output: str = "features") -> DataFrame:
-    """A group of weighted features into 2^bits slots; equal slots add up.
+    """A group of weighted features into 2^bits slots, equal slots added up; the result is a pinned table.
 
-    Slots come from a built-in hash; only the packing of two arrays into a
-    vector, which Spark has no function for, runs in Arrow batches.
+    Slots come from a built-in hash, and the vector is built as the struct that
+    stands for one in a written table.
     """
-    # The terms are read twice below; as a column of their own they are built once.
-    rows = df.withColumn("__terms", F.col(group) if isinstance(group, str) else group)
-    slots = F.transform("__terms", lambda t: slot(t["name"], bits))
-    values = F.transform("__terms", lambda t: t["value"])
-    return rows.withColumn(output, _pack(slots, values, F.lit(1 << bits))).drop("__terms")
+    terms = F.col(group) if isinstance(group, str) else group
+    slots = F.transform(terms, lambda t: F.struct(slot(t["name"], bits).alias("place"), t["value"].alias("value")))
+    rows = added_up(df.withColumn("__slots", slots), "__slots")
+    return pin_vectors(rows.withColumn(output, sparse(F.col("__slots"), 1 << bits)).drop("__slots"), [output])
 
 
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:

@@ -85,6 +85,54 @@ def except_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
 
 
+# Numbers of one bitmap of Spark's bitmap functions, and of one long.
+BITMAP, WORD = 32_768, 64
+
+
+def bitmaps(df: DataFrame, group: Sequence[str], number: str) -> DataFrame:
+    """(group, block, bits): the numbers (from 1) of each group as bitmaps of ``BITMAP`` numbers."""
+    return df.groupBy(*group, F.bitmap_bucket_number(number).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+
+
+def bitmap_words(bits: str | Column) -> Column:
+    """A bitmap as longs; number ``n`` of the block, from 0, is bit ``(7 - n / 8 % 8) * 8 + n % 8`` of long ``n / 64``."""
+    digits = F.hex(bits)
+    return F.transform(F.sequence(F.lit(0), F.lit(BITMAP // WORD - 1)),
+                       lambda k: F.conv(F.substring(digits, k * 16 + 1, F.lit(16)), 16, -10).cast("bigint"))
+
+
+def unseen_items(users: DataFrame, items: DataFrame, seen: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
+    """(user, block, n_unseen, unseen): the items that each user has not seen, by blocks of the items in their order.
+
+    Each of ``users`` has a row a block, also where nothing is left (an empty
+    array) and where nothing was seen; ``unseen`` is in item order. Seen items that are
+    not among ``items`` and users that are not among ``users`` don't count; null ids are left out.
+
+    Items are numbered, a user's seen items of a block are one bitmap, and the
+    difference is taken on its longs, so no array is longer than ``BITMAP``.
+    """
+    known = items.select(item).where(F.col(item).isNotNull()).distinct()
+    numbered = pin(number_rows(known, [item], name="__number"), "items")
+    names = numbered.withColumn("block", F.bitmap_bucket_number("__number")).groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("__number", item))).alias("__names"))
+    names = pin(names.withColumn("__names", F.transform("__names", lambda n: n[item])), "blocks")
+    blocks = names.count()
+    wanted = users.select(user).where(F.col(user).isNotNull()).distinct()
+    every = wanted.withColumn("block", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(blocks).cast("bigint")))) if blocks else (
+        wanted.withColumn("block", F.lit(1).cast("bigint")).limit(0))
+    rated = bitmaps(join_lookup(seen.select(user, item), numbered, item), [user], "__number")
+    words = every.join(rated, [user, "block"], "left").withColumn(
+        "__words", F.when(F.col("bits").isNull(), F.array_repeat(F.lit(0).cast("bigint"), BITMAP // WORD)).otherwise(bitmap_words("bits")))
+    # A block's names are small enough to be sent to all users of it where all blocks are.
+    few = numbered.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(item).cast("string")))).first()
+    side = F.broadcast(names) if few[0] <= BROADCAST_ROWS and (few[1] or 0) <= BROADCAST_TEXT else names
+    joined = words.join(side, "block")
+    left = F.filter("__names", lambda name, n: F.bit_get(
+        F.bitwise_not(F.get("__words", F.shiftright(n, 6))), (7 - F.shiftright(n, 3) % 8) * 8 + n % 8) == 1)
+    return joined.select(user, "block", left.alias("unseen")).select(user, "block", F.size("unseen").cast("bigint").alias("n_unseen"), "unseen")
+
+
 def attach_by_key(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Put two outputs side by side by a carried key instead of by position."""
     return left.join(right, key if isinstance(key, str) else list(key))

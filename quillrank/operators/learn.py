@@ -7,12 +7,13 @@ for a search: two numbers are the ends of a range, a longer list are the choices
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
@@ -25,15 +26,22 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import FMRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillrank.functions.encode import interact, interact_self, unsigned_label
+from quillrank.functions.encode import FEATURE, interact, interact_self, unsigned_label
 from quillrank.operators.features import hash_group
 from quillrank.operators.recommend import fit_ratings
 from quillrank.operators.splits import random_split
 from quillrank.session import pin, shared_dir
 
-# Steps of a searched range of real numbers (between its ends, evenly in the logarithm).
+# Values of a searched range that are tried side by side (real numbers evenly in the logarithm, ends included), and
+# how often the range is narrowed to the neighbours of the best value so far.
 RANGE_STEPS = 5
+NARROWINGS = 3
+
+# Up to this many whole numbers of a range are all tried.
+ALL_TRIED = 8
 
 
 @dataclass(frozen=True)
@@ -44,9 +52,10 @@ class ModelSpec:
     params: dict[str, Any]
     name: str = "model"
     searched: dict[str, list] = field(default_factory=dict)
+    ranges: frozenset[str] = frozenset()
 
     def using(self, **params: Any) -> ModelSpec:
-        return replace(self, params={**self.params, **params}, searched={})
+        return replace(self, params={**self.params, **params}, searched={}, ranges=frozenset())
 
 
 def logistic_regression(name: str = "model", **params: Any) -> ModelSpec:
@@ -84,18 +93,34 @@ def _spec(kind: str, name: str, defaults: dict, params: dict) -> ModelSpec:
         raise TypeError("a hidden layer takes no penalty: leave out l1 and l2")
     searched = {k: choices(v) for k, v in values.items() if isinstance(v, (list, tuple))}
     start = {k: searched[k][0] for k in searched}
-    return ModelSpec(kind, {**values, **start}, name, searched)
+    ranges = frozenset(k for k in searched if _is_range(values[k]))
+    return ModelSpec(kind, {**values, **start}, name, searched, ranges)
+
+
+def _is_range(values: Sequence) -> bool:
+    return len(values) == 2 and all(isinstance(v, (int, float)) for v in values)
 
 
 def choices(values: Sequence) -> list:
-    """The values to try for a searched parameter."""
-    values = list(values)
-    if len(values) != 2 or not all(isinstance(v, (int, float)) for v in values):
-        return values
-    low, high = sorted(values)
-    if all(isinstance(v, int) for v in values):
-        return list(range(low, high + 1))
-    return [float(v) for v in np.geomspace(low, high, RANGE_STEPS)]
+    """The values to try for a searched parameter, for a range those that are tried first."""
+    return _between(*sorted(values)) if _is_range(values) else list(values)
+
+
+def _between(low: float, high: float) -> list:
+    if isinstance(low, int) and isinstance(high, int):
+        if high - low < ALL_TRIED:
+            return list(range(low, high + 1))
+        return sorted({round(v) for v in np.linspace(low, high, RANGE_STEPS)})
+    spaced = np.geomspace(low, high, RANGE_STEPS) if low > 0 else np.linspace(low, high, RANGE_STEPS)
+    return [float(low), *(float(v) for v in spaced[1:-1]), float(high)]
+
+
+def narrowed(tried: Sequence, best: float) -> list:
+    """Values between the tried neighbours of the best one that have not been tried."""
+    ordered = sorted(tried)
+    at = ordered.index(best)
+    low, high = ordered[max(at - 1, 0)], ordered[min(at + 1, len(ordered) - 1)]
+    return [v for v in _between(low, high) if v not in tried]
 
 
 # Numbers of a dense block of a hidden-layer fit.
@@ -170,6 +195,41 @@ def featurize(df: DataFrame, groups: dict[str, Column], label: Column | None = N
     return df.select(*columns)
 
 
+def featurize_rows(df: DataFrame, rule: Callable[[dict[str, Any]], dict[str, Any] | None], groups: Sequence[str], labeled: bool = True,
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """:func:`featurize` by a Python rule, for what no column expression can say.
+
+    ``rule`` takes a row as a dictionary and returns its groups, each a list of
+    names, (name, value) pairs or missing values, and its ``label``; or None to leave the row out.
+    It runs over Arrow batches; the same rule serves training and scoring, where
+    ``labeled`` is off and a label, if given, is not looked at. A name stands for an indicator of 1.
+    """
+    kept = df.select(*keep).schema
+    schema = T.StructType([*kept, *(T.StructField(g, T._parse_datatype_string(f"array<{FEATURE}>")) for g in groups)])
+    if labeled:
+        schema = schema.add("label", "double")
+    arrow = to_arrow_schema(schema)
+
+    def feature(given: Any) -> dict[str, Any] | None:
+        name, value = (given, 1.0) if isinstance(given, str) else given or (None, None)
+        return None if name is None or value is None else {"name": name, "value": float(value)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                made = rule(row)
+                if made is not None:
+                    out = {c: row[c] for c in keep}
+                    out |= {g: [f for f in map(feature, made.get(g) or ()) if f] for g in groups}
+                    if labeled:
+                        out["label"] = 1.0 if made.get("label") is not None and float(made["label"]) == 1 else 0.0
+                    rows.append(out)
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def _groups(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.dataType.simpleString() == "array<struct<name:string,value:double>>"]
 
@@ -195,7 +255,7 @@ def fit(spec: ModelSpec, train: DataFrame) -> Model:
 
 
 def prepare(spec: ModelSpec, examples: DataFrame) -> DataFrame:
-    """What ``fit`` and ``predict`` read: vectors for a binary model, triples as they are for ratings."""
+    """What ``fit`` and ``predict`` read: a pinned table of vectors for a binary model, triples as they are for ratings."""
     if spec.kind == "ratings":
         return examples
     return vectorize(examples, spec.params["bits"], spec.params["quadratic"])
@@ -217,6 +277,8 @@ def search(spec: ModelSpec, examples: DataFrame, key: str | Column, metric: Colu
     at a time, the others stay, so the fits add up instead of multiplying. The
     fits for one parameter share the cluster, ``parallelism`` at a time. Examples
     are made into vectors once for each form of them that a parameter asks for.
+    A range is tried at its ends and between, then again and again between the
+    neighbours of the best value (``NARROWINGS`` times, or until no whole number is left).
     """
     current = spec.using()
     forms: dict[tuple, tuple[DataFrame, DataFrame]] = {}
@@ -224,7 +286,9 @@ def search(spec: ModelSpec, examples: DataFrame, key: str | Column, metric: Colu
     def parts(candidate: ModelSpec) -> tuple[DataFrame, DataFrame]:
         form = tuple(candidate.params.get(p) for p in ("bits", "quadratic"))
         if form not in forms:
-            forms[form] = random_split(pin(prepare(candidate, examples), "examples"), key, share, seed)
+            whole = prepare(candidate, examples)
+            whole = pin(whole, "examples") if spec.kind == "ratings" else whole
+            forms[form] = random_split(whole, key, share, seed)
         return forms[form]
 
     for name, values in spec.searched.items():
@@ -235,12 +299,16 @@ def search(spec: ModelSpec, examples: DataFrame, key: str | Column, metric: Colu
             scored = predict(fit(candidate, train), candidate, held)
             return scored.agg(metric).first()[0], value
 
-        for value in values:
-            parts(current.using(**{name: value}))
-        with ThreadPoolExecutor(parallelism) as pool:
-            results = list(pool.map(inheritable_thread_target(examples.sparkSession)(trial), values))
-        results = [r for r in results if r[0] is not None and not np.isnan(r[0])]
-        best = (max if larger_is_better else min)(results, key=lambda r: r[0])
+        results, best = [], None
+        for _ in range(1 + NARROWINGS if name in spec.ranges else 1):
+            for value in values:
+                parts(current.using(**{name: value}))
+            with ThreadPoolExecutor(parallelism) as pool:
+                results += pool.map(inheritable_thread_target(examples.sparkSession)(trial), values)
+            best = (max if larger_is_better else min)((r for r in results if r[0] is not None and not np.isnan(r[0])), key=lambda r: r[0])
+            values = narrowed([r[1] for r in results], best[1]) if name in spec.ranges else []
+            if not values:
+                break
         current = current.using(**{name: best[1]})
     return current
 
@@ -268,7 +336,8 @@ def run(spec: ModelSpec, train: DataFrame, predict_on: DataFrame | None = None,
         if metric is None:
             raise ValueError("a searched parameter needs a metric")
         spec = search(spec, train, key, metric, larger_is_better, share, seed + 1)
-    prepared, target = pin(prepare(spec, train), "examples"), prepare(spec, target)
+    prepared, target = prepare(spec, train), prepare(spec, target)
+    prepared = pin(prepared, "examples") if spec.kind == "ratings" else prepared
     model = fit(spec, prepared)
     return RunResult(predict(model, spec, target), model, spec)
 

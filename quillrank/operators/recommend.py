@@ -187,17 +187,27 @@ def recommend(
     ratings. Item tiles of a checked total size are broadcast; larger ones are
     sent to the user tiles in two steps, so that no task copies a tile to all.
     """
+    return recommend_by_vectors(model.userFactors, model.itemFactors, model.rank, ratings, k, users, score_range,
+                                user_tile, item_tile, broadcast_bytes)
+
+
+def recommend_by_vectors(
+    user_vectors: DataFrame, item_vectors: DataFrame, rank: int, ratings: DataFrame, k: int = 10,
+    users: DataFrame | None = None, score_range: tuple[float, float] | None = None,
+    user_tile: int = USER_TILE, item_tile: int = ITEM_TILE, broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """:func:`recommend` for any model whose scores are inner products of (id, features) vectors of ``rank`` numbers."""
     rated = ratings.select(
         F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id")
     )
-    chosen = model.userFactors
+    chosen = user_vectors
     if users is not None:
         wanted = pin(users.select(F.col("user_id").cast("int").alias("id")).distinct(), "users")
         chosen = join_lookup(chosen, wanted, "id")
         rated = join_lookup(rated, wanted.withColumnRenamed("id", "user_id"), "user_id")
 
     slots = ratings.sparkSession.sparkContext.defaultParallelism
-    n_items = model.itemFactors.count()
+    n_items = item_vectors.count()
     user_parts, item_parts = tiling(chosen.count(), n_items, rated.count(), slots, user_tile, item_tile)
     tiles = ["user_part", "item_part"]
     width = min(user_parts * item_parts, MOST_TASKS)
@@ -218,8 +228,8 @@ def recommend(
 
     left = packed(chosen, user_parts, "user").withColumn("item_part", F.explode(numbers(item_parts)))
     left = left.repartition(width, *tiles)
-    right = packed(model.itemFactors, item_parts, "item")
-    if n_items * 4 * (model.rank + 1) <= broadcast_bytes:
+    right = packed(item_vectors, item_parts, "item")
+    if n_items * 4 * (rank + 1) <= broadcast_bytes:
         work = left.join(F.broadcast(right), "item_part")
     else:
         fan = math.isqrt(user_parts - 1) + 1

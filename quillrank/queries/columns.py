@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions import encode, text
-from quillrank.operators import categories, features, impute
+from quillrank.operators import categories, features, impute, learn
 from quillrank.plans import clicks, passengers, tournament, wide
 from quillrank.plans.fixtures import view
 from quillrank.queries.registry import query
@@ -197,6 +197,18 @@ def dummy_columns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""
+WITH lv AS (SELECT 0 AS nr, CAST(item_id AS VARCHAR) AS level FROM {ratings} UNION SELECT 1, CAST(supp_key AS VARCHAR) FROM {ratings}),
+p AS (SELECT nr, level, row_number() OVER (ORDER BY nr, level) - 1 AS place, count(*) OVER () AS size FROM lv)
+SELECT order_key, CAST(line_no AS BIGINT) AS line_no, item_id, supp_key, a.size, concat(a.place, ' ', b.place) AS entries
+FROM {ratings} JOIN p a ON a.nr = 0 AND a.level = CAST(item_id AS VARCHAR) JOIN p b ON b.nr = 1 AND b.level = CAST(supp_key AS VARCHAR)""")
+def dummy_vector_levels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "ratings").select("order_key", F.col("line_no").cast("bigint").alias("line_no"), "item_id", "supp_key")
+    coded, _ = categories.dummy_vector(rows, ["item_id", "supp_key"])
+    stored = F.unwrap_udt("features")
+    return coded.select(*rows.columns, stored["size"].cast("bigint").alias("size"), F.array_join(stored["indices"], " ").alias("entries"))
+
+
 @query("""
 SELECT passenger_id, CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS slot,
        unnest([CAST(pclass AS DOUBLE), CAST(sibsp AS DOUBLE), CAST(parch AS DOUBLE), fare]) AS value FROM {passengers}""")
@@ -252,16 +264,30 @@ def cross_pairs(spark: SparkSession, sf: str) -> DataFrame:
 _I = ", ".join(f"CASE WHEN i{n} IS NOT NULL THEN concat('i{n}:', CAST(i{n} AS VARCHAR)) END" for n in range(13))
 
 
-@query(f"""
+CLICK_FEATURES = f"""
 SELECT id, concat_ws(' ', {_I}) AS i,
        concat_ws(' ', concat('c13_', c13, ':1'), CASE WHEN c14 IS NOT NULL THEN concat('c14_', c14, ':1') END,
                  concat('c15_', c15, ':1')) AS c
-FROM {{clicks}}""")
+FROM {{clicks}}"""
+
+
+@query(CLICK_FEATURES)
 def click_features(spark: SparkSession, sf: str) -> DataFrame:
     groups = clicks.examples(view(spark, sf, "clicks"), keep=["id"])
     return groups.select("id", encode.group_text(F.col("i")).alias("i"), encode.group_text(F.col("c")).alias("c"))
 
 
+@query(CLICK_FEATURES)
+def click_features_by_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows by a Python rule over whole click rows."""
+    def rule(row):
+        return {"i": [(c, v) for c, v in row.items() if c[0] == "i" and c[1:].isdigit()],
+                "c": [v and f"{c}_{v}" for c, v in row.items() if c[0] == "c"], "label": row["label"]}
+
+    groups = learn.featurize_rows(view(spark, sf, "clicks"), rule, ["i", "c"], keep=["id"])
+    return groups.select("id", encode.group_text(F.col("i")).alias("i"), encode.group_text(F.col("c")).alias("c"))
+
+
 @query(f"""
 SELECT passenger_id, CAST(survived AS DOUBLE) AS label, concat_ws(' ',
   concat('passenger_class_', CAST(pclass AS VARCHAR), ':1'), concat('last_name_', lower(split_part(name, ',', 1)), ':1'),
@@ -276,10 +302,28 @@ def passenger_features(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("passenger_id", "label", encode.group_text(F.col("f")).alias("f"))
 
 
-@query(WIDE_FIELDS + f"""
+WIDE_FEATURES = WIDE_FIELDS + f"""
 SELECT id, CASE WHEN {NUMERIC} THEN concat('i', CAST(pos AS VARCHAR)) ELSE concat('c_', CAST(pos AS VARCHAR), '_', value) END AS name,
-       CASE WHEN {NUMERIC} THEN CAST(value AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS value FROM fields""")
+       CASE WHEN {NUMERIC} THEN CAST(value AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS value FROM fields"""
+
+
+@query(WIDE_FEATURES)
 def wide_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = wide.examples(view(spark, sf, "wide_lines"))
     named = rows.select("id", F.explode(F.concat("i", "c")).alias("f"))
     return named.select("id", "f.name", "f.value")
+
+
+@query(WIDE_FEATURES)
+def wide_features_by_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows by a Python rule over whole lines."""
+    def rule(row):
+        text = row["line"].lower().replace("true", "1").replace("false", "0").translate({ord(c): None for c in '" :'})
+        fields = text.split(",")[1:-1]
+        numeric = lambda v: (plain := v.replace("-", "").replace(".", "")).isascii() and plain.isdigit()
+        return {"i": [(f"i{n}", v) for n, v in enumerate(fields) if numeric(v)],
+                "c": [f"c_{n}_{v}" for n, v in enumerate(fields) if not numeric(v)]}
+
+    lines = view(spark, sf, "wide_lines").withColumn("id", F.col("id").cast("string"))
+    rows = learn.featurize_rows(lines, rule, ["i", "c"], labeled=False, keep=["id"])
+    return rows.select("id", F.explode(F.concat("i", "c")).alias("f")).select("id", "f.name", "f.value")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions import encode, metrics, text
-from quillrank.operators import features, joins, learn, recommend, splits
+from quillrank.operators import features, group_factors, joins, learn, rating_ids, recommend, splits
 from quillrank.plans import clicks, passengers, tournament
 from quillrank.plans import ratings as rating_plans
 from quillrank.plans.fixtures import view
@@ -59,7 +59,7 @@ def als_recommend_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"""
+PREDICTED = f"""
 WITH last AS (SELECT user_id, item_id, rating FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, item_id
                                ORDER BY rated_at DESC, order_key DESC, line_no DESC, supp_key DESC, rating DESC) AS rn
@@ -67,7 +67,14 @@ WITH last AS (SELECT user_id, item_id, rating FROM (
 b AS (SELECT *, {HASHED.replace('{key}', "concat_ws('-', user_id, item_id)")} AS bucket FROM last),
 t AS (SELECT * FROM b WHERE bucket < {FOUR_FIFTHS})
 SELECT user_id, item_id, rating FROM b
-WHERE bucket >= {FOUR_FIFTHS} AND user_id IN (SELECT user_id FROM t) AND item_id IN (SELECT item_id FROM t)""")
+WHERE bucket >= {FOUR_FIFTHS} AND user_id IN (SELECT user_id FROM t) AND item_id IN (SELECT item_id FROM t)"""
+
+
+#: The same without the condition that user and item are known.
+PREDICTED_ALL = PREDICTED[:PREDICTED.index(" AND user_id IN")]
+
+
+@query(PREDICTED)
 def als_predicted_keys(spark: SparkSession, sf: str) -> DataFrame:
     train, test = splits.random_split(triples(spark, sf), F.concat_ws("-", "user_id", "item_id"), 0.8)
     scored = recommend.predict_pairs(recommend.fit_ratings(train, rank=5, iterations=3), test)
@@ -76,6 +83,39 @@ def als_predicted_keys(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _renamed(spark: SparkSession, sf: str, user: Column, item: Column) -> tuple[DataFrame, DataFrame]:
+    """Training and test ratings, split by the plain ids, under ids of another type."""
+    rows = splits.random_split(triples(spark, sf), F.concat_ws("-", "user_id", "item_id"), 0.8)
+    return tuple(part.select(user.alias("user_id"), item.alias("item_id"), "rating") for part in rows)
+
+
+def _predicted(train: DataFrame, test: DataFrame) -> DataFrame:
+    scored = rating_ids.predict_pairs(rating_ids.fit(train, rank=5, iterations=3), test)
+    return scored.filter(F.col("prediction").isNotNull()).select("user_id", "item_id", "rating")
+
+
+@query("SELECT 'u' || user_id AS user_id, 'i' || item_id AS item_id, rating FROM (" + PREDICTED + ") AS plain")
+def als_predicted_text_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return _predicted(*_renamed(spark, sf, encode.indicator("u", F.col("user_id")), encode.indicator("i", F.col("item_id"))))
+
+
+@query("SELECT user_id + 10000000000 AS user_id, item_id + 20000000000 AS item_id, rating FROM (" + PREDICTED + ") AS plain")
+def als_predicted_long_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return _predicted(*_renamed(spark, sf, F.col("user_id") + 10**10, F.col("item_id") + 2 * 10**10))
+
+
+@query("""
+WITH n AS (SELECT count(DISTINCT item_id) AS items FROM {ratings})
+SELECT 'u' || user_id AS user_id, least(10, items - count(DISTINCT item_id)) AS recs, CAST(0 AS BIGINT) AS already_rated
+FROM {ratings} CROSS JOIN n GROUP BY user_id, items""")
+def als_recommend_text_ids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = triples(spark, sf).withColumns({"user_id": encode.indicator("u", F.col("user_id")), "item_id": encode.indicator("i", F.col("item_id"))})
+    recs = rating_ids.recommend(rating_ids.fit(rows, rank=5, iterations=3), rows, 10)
+    known = rows.select("user_id", "item_id", F.lit(1).alias("known"))
+    return recs.join(known, ["user_id", "item_id"], "left").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("recs"), F.count("known").alias("already_rated"))
+
+
 @query()
 def als_recommend_subset(spark: SparkSession, sf: str) -> DataFrame:
     rows = triples(spark, sf)
@@ -166,6 +206,34 @@ def fm_low_rank(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _pair_groups(rows: DataFrame) -> DataFrame:
+    """Ratings with the user's and the item's features as two groups."""
+    groups = {"u": encode.group([encode.token("u", F.col("user_id"))]), "i": encode.group([encode.token("i", F.col("item_id"))])}
+    return rows.withColumns(groups).withColumn("label", F.col("rating").cast("double"))
+
+
+@query(PREDICTED_ALL)
+def group_factors_keys(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = splits.random_split(_pair_groups(triples(spark, sf)), F.concat_ws("-", "user_id", "item_id"), 0.8)
+    model = group_factors.fit(train, "u", "i", bits=18, rank=7)
+    scored = group_factors.predict(model, test, "u", "i")
+    return scored.filter(F.col("prediction").isNotNull()).select("user_id", "item_id", "rating")
+
+
+@query("""
+WITH n AS (SELECT count(DISTINCT item_id) AS items FROM {ratings})
+SELECT CAST(user_id AS BIGINT) AS user_id, least(10, items - count(DISTINCT item_id)) AS recs, CAST(0 AS BIGINT) AS already_rated
+FROM {ratings} CROSS JOIN n GROUP BY user_id, items""")
+def group_factors_recommend(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pin(_pair_groups(triples(spark, sf)), "pairs")
+    model = group_factors.fit(rows, "u", "i", bits=18, rank=7)
+    users, items = (rows.select(c, g).distinct() for c, g in (("user_id", "u"), ("item_id", "i")))
+    recs = group_factors.recommend(model, users, items, rows, "u", "i", 10)
+    known = rows.select("user_id", "item_id", F.lit(1).alias("known"))
+    return recs.join(known, ["user_id", "item_id"], "left").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("recs"), F.count("known").alias("already_rated"))
+
+
 @query()
 def gbt_binary(spark: SparkSession, sf: str) -> DataFrame:
     named = splits.three_way(text_vectors(spark, sf, bits=8), "doc_id")

@@ -10,6 +10,8 @@ from quillrank.operators import categories, evaluate, impute, joins, ordered, re
 from quillrank.plans.fixtures import view
 from quillrank.queries.registry import query
 from quillrank.queries.scans import BASELINE_RECS, WIDE_FIELDS, baseline_recs, wide_fields
+from quillrank.session import scratch_path
+from quillrank.sources import writers
 
 LINE_KEY = ["order_key", "line_no", "item_id", "supp_key"]
 
@@ -181,6 +183,28 @@ def profile_counts(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.counts(view(spark, sf, "ratings"))
 
 
+@query("""
+SELECT count(*) AS ratings, count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items,
+  TRUE AS users_within, TRUE AS items_within, TRUE AS merged_equal FROM {ratings}""")
+def sketched_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of four parts of the ratings, stored and merged, against exact counts and the sketch of the whole."""
+    rows, columns = view(spark, sf, "ratings"), ["user_id", "item_id"]
+    path = scratch_path(spark, "sketches")
+    for part in range(4):
+        writers.append_sketches(evaluate.distinct_sketches(rows.where(F.col("order_key") % 4 == part), columns), path, f"part {part}")
+    merged = evaluate.sketched_counts(evaluate.merged_sketches(spark.read.parquet(path), columns), columns)
+    whole = evaluate.sketched_counts(evaluate.distinct_sketches(rows, columns), columns)
+    exact, near = evaluate.counts(rows), evaluate.SKETCH_ERROR
+    found = merged.select("rows", *[F.col(c).alias(f"m_{c}") for c in columns]).join(whole, "rows")
+    # One row each; the number of ratings must agree exactly.
+    joined = exact.join(found, exact["ratings"] == found["rows"])
+    within = lambda c, n: F.abs(F.col(f"m_{c}") - F.col(n)) <= near * F.col(n)
+    # Merging may estimate with a little less precision than counting in one go.
+    equal = F.greatest(*[F.abs(F.col(f"m_{c}") - F.col(c)) / F.col(c) for c in columns]) <= near
+    return joined.select("ratings", "users", "items", within("user_id", "users").alias("users_within"),
+                         within("item_id", "items").alias("items_within"), equal.alias("merged_equal"))
+
+
 @query("SELECT DISTINCT user_id FROM {ratings}")
 def distinct_users(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "ratings").select("user_id").distinct()
@@ -335,6 +359,25 @@ def except_ids(spark: SparkSession, sf: str) -> DataFrame:
     return joins.except_ids(catalogue, rated, "item_id")
 
 
+@query("""
+WITH i AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_partkey) AS n FROM {part}),
+s AS (SELECT user_id, item_id FROM {ratings} UNION SELECT 0, p_partkey FROM {part}),
+u AS (SELECT c_custkey AS user_id FROM {customer} UNION SELECT 0),
+b AS (SELECT DISTINCT (n - 1) // 32768 + 1 AS block FROM i),
+l AS (SELECT u.user_id, (n - 1) // 32768 + 1 AS block, i.item_id FROM u CROSS JOIN i
+      WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = u.user_id AND s.item_id = i.item_id))
+SELECT u.user_id, b.block, count(l.item_id) AS n_unseen,
+  coalesce(string_agg(CAST(l.item_id AS VARCHAR), ' ' ORDER BY l.item_id), '') AS unseen
+FROM u CROSS JOIN b LEFT JOIN l ON l.user_id = u.user_id AND l.block = b.block GROUP BY u.user_id, b.block""")
+def array_unseen_items(spark: SparkSession, sf: str) -> DataFrame:
+    # All customers, those without a rating too, and user 0, who has rated everything.
+    catalogue = view(spark, sf, "part").select(F.col("p_partkey").alias("item_id"))
+    all_rated = catalogue.select(F.lit(0).cast("bigint").alias("user_id"), "item_id")
+    seen = view(spark, sf, "ratings").select("user_id", "item_id").union(all_rated)
+    users = view(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")).union(spark.range(1).toDF("user_id"))
+    return joins.unseen_items(users, catalogue, seen).withColumn("unseen", F.array_join("unseen", " "))
+
+
 @query(f"""
 SELECT o_orderkey, CASE WHEN {HASHED.replace('{key}', 'o_orderkey')} < {FOUR_FIFTHS} THEN 'train' ELSE 'test' END AS split FROM {{orders}}""")
 def split_hash_80_20(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,6 +55,12 @@ def append_metrics(record: DataFrame, path: str) -> None:
     record.write.mode("append").parquet(path)
 
 
+def append_sketches(sketches: DataFrame, path: str, run: str, at: datetime | None = None) -> None:
+    """Add a run's sketches of distinct values to a table beside its run records."""
+    stamp = F.lit(at or datetime.now()).cast("timestamp")
+    sketches.withColumns({"run": F.lit(run), "at": stamp}).write.mode("append").parquet(path)
+
+
 def save_model(model: Model, path: str) -> None:
     model.write().overwrite().save(path)
 
