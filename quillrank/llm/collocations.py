@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ NO_LANG = "und"
 ROW_BITS = 31
 #: Shards of one task at most.
 PER_TASK_BITS = 12
+#: Shards of one part of the rounds, about.
+SHARDS = 4
 #: Parts that a language's phrases are ranked in first.
 PARTS = 64
 
@@ -138,7 +140,7 @@ class Index:
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """(shard, lang, words, before): the index of each shard, ``before`` compressed. A shard has one language."""
+    """(shard, lang, n, words, before): the index of each shard, ``before`` compressed and ``n`` the number of words. A shard has one language."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.Array]] = {}
@@ -154,9 +156,9 @@ def indexed(docs: DataFrame) -> DataFrame:
                 if made >> PER_TASK_BITS:
                     raise ValueError("too many shards in one task; read the table in smaller splits")
                 packed = zstandard.ZstdCompressor(level=3).compress(Index.of(ids).before.tobytes())
-                row = [pa.array([task + made]), pa.array([lang]), pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), pa.array([packed])]
+                row = [pa.array([task + made]), pa.array([lang]), pa.array([int((ids > 0).sum())]), pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), pa.array([packed])]
                 made += 1
-                yield pa.RecordBatch.from_arrays(row, names=["shard", "lang", "words", "before"])
+                yield pa.RecordBatch.from_arrays(row, names=["shard", "lang", "n", "words", "before"])
 
         for batch in batches:
             for number, lang in enumerate(batch["lang"].unique().to_pylist()):
@@ -178,7 +180,7 @@ def indexed(docs: DataFrame) -> DataFrame:
             yield from close(lang)
 
     docs = docs.select("text", F.coalesce("lang", F.lit(NO_LANG)).alias("lang"))
-    return docs.mapInArrow(build, "shard long, lang string, words array<string>, before binary")
+    return docs.mapInArrow(build, "shard long, lang string, n long, words array<string>, before binary")
 
 
 def _unpacked(column: pa.Array) -> Iterator[Index]:
@@ -187,14 +189,18 @@ def _unpacked(column: pa.Array) -> Iterator[Index]:
         yield Index(np.frombuffer(raw, np.int32))
 
 
+def _place(batch: pa.RecordBatch, row: int) -> int:
+    """What is added to a row of a shard's index to tell it from those of other shards."""
+    return batch["shard"][row].as_py() << ROW_BITS
+
+
 def _single_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, index in enumerate(_unpacked(batch["before"])):
             words = batch["words"][row].values
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(words), batch["shard"][row].as_py())), pa.array([batch["lang"][row].as_py()] * len(words)), words,
-                 pa.array(index.first[1:].astype(np.int64)), pa.array(index.counts[1:].astype(np.int64))],
-                names=["shard", "lang", "word", "start", "size"])
+                [pa.array([batch["lang"][row].as_py()] * len(words)), words, pa.array(_place(batch, row) + index.first[1:].astype(np.int64)),
+                 pa.array(index.counts[1:].astype(np.int32))], names=["lang", "word", "place", "size"])
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +210,20 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, size, phrase = (np.asarray(known.field(k)) for k in range(3))
             at, sizes, left, right = index.extend(start, size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), batch["shard"][row].as_py())), pa.array(at), pa.array(sizes), pa.array(phrase[left]), pa.array(phrase[right])],
-                names=["shard", "start", "size", "head", "tail"])
+                [pa.array(_place(batch, row) + at), pa.array(sizes.astype(np.int32)), pa.array(phrase[left]), pa.array(phrase[right])],
+                names=["place", "size", "head", "tail"])
 
 
 def _frequent(rows: DataFrame, *keys: str) -> DataFrame:
     """Intervals of phrases with ``LEAST`` occurrences in all shards, with their count and number.
 
-    A phrase has one row a shard. Its number is the smallest place of any of its intervals.
+    A phrase has one row a shard. Its number is the smallest place of any of its
+    intervals; only the row of that place keeps the keys.
     """
     own = Window.partitionBy(*keys)
-    place = F.shiftleft("shard", ROW_BITS) + F.col("start")
-    rows = rows.withColumn("count", F.sum("size").over(own)).withColumn("phrase", F.min(place).over(own))
-    return rows.where(F.col("count") >= LEAST)
+    rows = rows.withColumn("count", F.sum("size").over(own)).withColumn("phrase", F.min("place").over(own)).where(F.col("count") >= LEAST)
+    first = F.col("phrase") == F.col("place")
+    return rows.select("place", "size", "phrase", *(F.when(first, F.col(c)).alias(c) for c in ("count", *keys)))
 
 
 def score(count: Column | str, left: Column | str, right: Column | str) -> Column:
@@ -233,27 +240,30 @@ def phrases(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     the phrases without the last and without the first word.
     """
     shards = pin(indexed(docs), "phrase-index")
-    words = shards.mapInArrow(_single_words, "shard long, lang string, word string, start long, size long")
-    words = pin(words, "phrase-words")
-    totals = words.groupBy("lang").agg(F.sum("size").alias("n"))
+    totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
+    words = shards.mapInArrow(_single_words, "lang string, word string, place long, size int")
     found = pin(_frequent(words, "lang", "word"), "phrase-rows")
-    single = found.where(F.col("phrase") == F.shiftleft("shard", ROW_BITS) + F.col("start"))
     listed = F.array("count")
-    levels = [single.select("phrase", "lang", F.col("word").alias("text"), F.col("word").alias("last"), "count", listed.alias("heads"), listed.alias("tails"))]
-    indexes = shards.select("shard", "before")
+    single = found.where("phrase = place")
+    levels = [single.select("phrase", "lang", F.col("word").alias("text"), F.col("word").alias("last"), listed.alias("heads"), listed.alias("tails"), "count")]
+    # All rounds meet the indexes where one shuffle has put them.
+    parts = max(1, -(-shards.count() // SHARDS))
+    indexes = shards.select("shard", "before").repartition(parts, "shard").persist(StorageLevel.DISK_ONLY)
     for _ in range(1, WORDS):
-        known = found.groupBy("shard").agg(F.collect_list(F.struct("start", "size", "phrase")).alias("known"))
+        shard, start = F.shiftright("place", ROW_BITS).alias("shard"), F.col("place").bitwiseAND((1 << ROW_BITS) - 1).alias("start")
+        known = found.select(shard, F.struct(start, "size", "phrase").alias("known")).repartition(parts, "shard")
+        known = known.groupBy("shard").agg(F.collect_list("known").alias("known"))
         longer = indexes.join(known.hint("shuffle_hash"), "shard").select("shard", "before", "known")
-        longer = longer.mapInArrow(_extended, "shard long, start long, size long, head long, tail long")
+        longer = longer.mapInArrow(_extended, "place long, size int, head long, tail long")
         found = pin(_frequent(longer, "head", "tail"), "phrase-rows")
-        single = found.where(F.col("phrase") == F.shiftleft("shard", ROW_BITS) + F.col("start")).select("phrase", "head", "tail", "count")
         before = levels[-1]
         front = before.select(F.col("phrase").alias("head"), "lang", F.col("text").alias("front"), "heads")
         back = before.select(F.col("phrase").alias("tail"), "last", "tails")
-        longer = single.join(front, "head").join(back, "tail").select(
+        longer = found.where("phrase = place").select("phrase", "head", "tail", "count").join(front, "head").join(back, "tail").select(
             "phrase", "lang", F.concat_ws(" ", "front", "last").alias("text"), "last", "count",
             F.concat("heads", F.array("count")).alias("heads"), F.concat("tails", F.array("count")).alias("tails"), "head", "tail")
         levels.append(pin(longer, "phrases"))
+    indexes.unpersist()
     return levels, totals
 
 
