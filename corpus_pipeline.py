@@ -12,7 +12,7 @@ from quillrank.llm import mixing, toxicity
 from quillrank.llm.common import table
 from quillrank.llm.jaccard_join import jaccard_components
 from quillrank.llm.sentence_pieces import encode_pieces
-from quillrank.llm.suffix_dedup import without_repeats
+from quillrank.llm.suffix_dedup import keyed, without_repeats
 from quillrank.session import pin
 
 #: Units of text whose pieces a worker keeps; other stages run in the same workers.
@@ -28,14 +28,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of alike ones, and those without an id."""
-    found = pin(jaccard_components(docs), "alike")
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    chosen = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("chosen")).distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen"]), "left_semi")
-    if twice:
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
-    return kept
+    """The document with the smallest id of each group of alike ones.
+
+    Rows that share an id are documents of their own, in the order of their texts, and
+    those without an id come before all others; so a row goes only if its own text is
+    alike to one that stays. Null and empty texts are alike to nothing. An empty table gives none.
+    """
+    rows = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), F.col("text"))
+    found = jaccard_components(rows.select(F.col("key").alias("doc_id"), "text"))
+    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("key"))
+    return rows.join(chosen, "key", "left_semi").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
