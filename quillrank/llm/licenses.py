@@ -35,7 +35,7 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "gpl-3.0": (
-        "This work is licensed under the GNU General Public License, version 3",
+        "licensed under the GNU General Public License, version 3",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
         "Free Software Foundation, either version 3 of the License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
@@ -119,6 +119,8 @@ MARKS = (
 #: Most words of an n-gram, features at most, penalty; probability and shared part of a template that confirm a family.
 WORDS, FEATURES, PENALTY = 3, 4_096, 1e-3
 PROBABILITY, SHARED = 0.5, 0.75
+#: Share of a template's words from which another family's template is close: the words it lacks must then be found.
+CLOSE = 0.75
 #: What the logits may be divided by to calibrate the probabilities.
 HEATS = (0.25, 0.5, 0.7, 1.0, 1.5, 2.0, 3.0)
 
@@ -186,7 +188,9 @@ class Scanner:
         self.weights = spark.createDataFrame(table, "gram string, weights array<double>")
         texts = [(f, n, t) for f, own in TEMPLATES.items() for n, t in enumerate(own)]
         self.templates = spark.createDataFrame(texts, "family string, template int, text string")
-        self.templates = with_grams(self.templates).select("family", "template", F.col("grams").alias("wanted")).where("size(wanted) > 0")
+        known = with_grams(self.templates).withColumn("words", words(F.col("text"))).collect()
+        rows = [(t.family, t.template, t.grams, sorted(g for g in t.grams if _telling(t, known) & set(g.split(" ")))) for t in known if t.grams]
+        self.templates = spark.createDataFrame(rows, "family string, template int, wanted array<string>, needed array<string>")
 
     @staticmethod
     def _heat(scored: DataFrame) -> float:
@@ -208,19 +212,20 @@ class Scanner:
         probability is against the unknown class, so that one text can have several;
         one whose n-grams all belong to a surer family's match is left out.
         """
-        lines = with_grams(paragraphs(docs))
         key = ["doc_id", "row", "paragraph", "line"]
-        hits = lines.withColumn("gram", F.explode("grams")).join(F.broadcast(self.weights), "gram")
+        # Written once: a filter on the n-grams would otherwise be pushed below the words and work them out for each one.
+        lines = pin(with_grams(paragraphs(docs)).select(*key, "grams").withColumn("number", F.monotonically_increasing_id()), "notices")
+        hits = lines.select("number", F.explode_outer("grams").alias("gram")).join(F.broadcast(self.weights), "gram")
         size = len(self.families)
         sums = [F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(size)]
-        scored = hits.groupBy(*key, "grams").agg(*sums)
+        scored = hits.groupBy("number").agg(*sums).join(lines, "number")
         logit = [(F.col(f"s{k}") + F.lit(self.bias[k])) / F.lit(self.heat) for k in range(size)]
         sure = [F.struct(F.lit(f).alias("family"), (1 / (1 + F.exp(logit[-1] - z))).alias("probability")) for f, z in zip(TEMPLATES, logit)]
         good = F.filter(F.array(*sure), lambda f: f["probability"] >= PROBABILITY)
         scored = scored.select(*key, "grams", F.explode_outer(good).alias("own")).select(*key, "grams", "own.*")
         found = scored.join(F.broadcast(self.templates), "family", "left")
         found = found.withColumn("matched", F.array_intersect("grams", "wanted"))
-        confirmed = F.try_divide(F.size("matched"), F.size("wanted")) >= SHARED
+        confirmed = (F.try_divide(F.size("matched"), F.size("wanted")) >= SHARED) & (F.size(F.array_except("needed", "matched")) == 0)
         found = found.groupBy(*key, "family", "probability").agg(
             F.array_distinct(F.flatten(F.collect_list(F.when(confirmed, F.col("matched"))))).alias("matched"))
         own = F.struct(F.size("matched").alias("size"), "probability", "family", "matched")
@@ -231,6 +236,13 @@ class Scanner:
         return found.withColumn("found", F.filter("found", lambda f: ~F.exists("found", lambda o: within(f, o))))
 
 
+def _telling(template, known: list) -> set[str]:
+    """The words of a template that close templates of other families lack, such as the number of a version."""
+    own = set(template.words)
+    others = (set(t.words) for t in known if t.family != template.family)
+    return set().union(*(own - other for other in others if len(own & other) >= CLOSE * len(own)))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_notices, families, probability, other) of every document.
 

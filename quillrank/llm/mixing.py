@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ SAMPLE = 4_000
 FEATURES, PASSES, RATE, SHRINK = 1 << 14, 80, 0.5, 0.1
 #: Steps of the rate fit at most, and the share of all tokens by which a domain may miss its target.
 STEPS, MISS = 60, 1e-3
+#: Added to ids before they are hashed, so that 0 is drawn like any other.
+DRAW = np.uint64(0x9E3779B97F4A7C15)
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -256,7 +259,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Sequence[float]) -
 def sampled(docs: DataFrame, labels: DataFrame, targets: Sequence[float]) -> DataFrame:
     """The rows of ``docs`` that are kept when each is with its rate as probability, by a hash of its doc_id.
 
-    ``targets`` are multiples of each domain's words, at most 1. All columns stay.
+    A row without an id goes by a hash of its text. A null text is an empty one. ``targets`` are
+    multiples of each domain's words, at most 1. All columns stay; an empty table gives none.
     """
     classifier = fit_domains(docs, labels)
     rates = fit_rates(pin(memberships(docs, classifier), "memberships"), targets, relative=True, most=1.0)
@@ -270,7 +274,8 @@ def sampled(docs: DataFrame, labels: DataFrame, targets: Sequence[float]) -> Dat
                 part = batch.slice(start, 256)
                 ids, texts, sources = (part.column(p).to_pylist() for p in places)
                 own, _ = known.posteriors([t or "" for t in texts], sources)
-                chance = mix(np.array([i or 0 for i in ids], np.int64).view(np.uint64)) / 2.0**64
+                keys = [zlib.crc32((t or "").encode()) if i is None else i for i, t in zip(ids, texts)]
+                chance = mix(np.array(keys, np.int64).view(np.uint64) + DRAW) / 2.0**64
                 yield part.filter(pa.array(chance < rate.of(own)))
 
     return docs.mapInArrow(keep, schema)

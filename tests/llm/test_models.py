@@ -1,7 +1,9 @@
 """Toxicity, mixing and licences: planted signals, held-out rows, calibration."""
 
 import random
+import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -142,6 +144,16 @@ def test_mixing_keeps_columns_and_handles_nothing(labelled, spark):
     assert mixing.mixing_rates(none, labels, (1.0, 0.0, 0.0)).count() == 0
 
 
+def test_ids_of_sampled_rows(spark, labelled):
+    """Ids 0 and null are drawn by chance as all others are."""
+    docs, labels = labelled
+    rows = [(None if n % 2 else 0, f"w{n} w{n % 7} j{n % 30}", "src1") for n in range(600)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string").union(docs.select("doc_id", "text", "source"))
+    kept = mixing.sampled(odd, labels, (0.5, 0.5, 0.5)).toPandas()
+    assert 0.3 < kept.doc_id.isna().sum() / 301 < 0.7
+    assert len(kept[kept.doc_id == 0]) in (0, 1, 300, 301)
+
+
 def test_licences(spark, no_docs):
     notice = licenses.TEMPLATES["bsd"][1]
     texts = [
@@ -165,6 +177,33 @@ def test_licences(spark, no_docs):
     assert licenses.license_scan(no_docs).count() == 0
 
 
+def test_versions_are_told_apart(spark):
+    gpl = "licensed under the GNU General Public License, version {}"
+    cc = "licensed under a Creative Commons Attribution{} 4.0 International License"
+    given = [(gpl.format(2), "gpl-2.0"), (gpl.format(3), "gpl-3.0"), (cc.format(""), "cc-by-4.0"), (cc.format("-ShareAlike"), "cc-by-sa-4.0"),
+             (cc.format("-NonCommercial"), "cc-by-nc-4.0"), ("licensed under the GNU Lesser General Public License, version 2.1", "lgpl"),
+             ("licensed under the GNU Lesser General Public License, version 3", "lgpl"), ("licensed under the GNU Affero General Public License, version 3", "agpl-3.0"),
+             ("Licensed under CC BY 4.0", "cc-by-4.0"), ("Licensed under CC BY-SA 4.0", "cc-by-sa-4.0"), ("Licensed under CC BY-NC 4.0", "cc-by-nc-4.0")]
+    texts = [(before + text + ".", family) for text, family in given for before in ("", "This work is ", "All of it is ")]
+    frame = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.families for r in licenses.license_scan(frame).collect()}
+    assert [found[n] for n in range(len(texts))] == [[family] for _, family in texts]
+
+
+def test_ngrams_of_long_paragraphs(spark):
+    """Against plain n-grams; 50,000 words of one paragraph take time in proportion to their number."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["License", "version", "2.0", "the", "gnu-x", "of", "permitted", "(c)", "a"]) for _ in range(n)) for n in (0, 1, 2, 3, 40, 50_000)]
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: set(r.grams) for r in licenses.with_grams(frame).collect()}
+    assert time.time() - start < 60
+    for n, text in enumerate(texts):
+        words = re.findall(r"[a-z]+[0-9]*(?:-[a-z0-9.]*[a-z0-9])*|[0-9]+(?:\.[0-9]+)*", text.lower())
+        plain = {" ".join(words[k : k + size]) for size in (1, 2, 3) for k in range(len(words) - size + 1)}
+        assert got[n] == {g for g in plain if re.search(f"(?:^| |-)(?:{licenses.MARKS})", g)}
+
+
 def test_every_family_has_a_notice_that_is_found(spark):
     notices = [(f, t) for f, texts in licenses.TEMPLATES.items() for t in texts]
     frame = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(notices)], "doc_id long, text string")

@@ -42,9 +42,21 @@ def test_stages(spark, sf):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, rows[5].values()))
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{n}" for n in range(40)) for x in "abc")
+    rows = [(2, a, "x"), (2, b, "x"), (3, b, "x"), (4, a + " more", "x"), (2, a, "y"), (None, c, "x"), (None, c, "z"), (9, c, "x"), (5, None, "x"), (6, "", "x"), (6, "", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_alike(spark, frame, "").collect()), key=str)
+    assert kept == sorted([(2, a), (2, b), (None, c), (5, None), (6, ""), (6, "")], key=str)
+    whole = frame.where("doc_id >= 3 AND doc_id <> 6")
+    kept = corpus_pipeline.one_of_alike(spark, whole, "")
+    assert kept.columns == whole.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 9]
+    assert corpus_pipeline.one_of_alike(spark, frame.limit(0), "").count() == 0
+
+
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(queries.CHECKS))
