@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,12 @@ from quillrank.session import pin
 BITS, CHARACTERS, WORDS, REPEATS = 18, 3, 2, 4
 #: Added to the counts of both classes together.
 SMOOTH = 2.0
-#: Labelled rows of each class that the hinge-loss model is fitted on at most, and features of all of them together.
-PER_CLASS, FEATURES = 3_000, 12_000_000
+#: Labelled rows of each class that the hinge-loss model is fitted on at most, and bytes of their texts together.
+PER_CLASS, SAMPLE_BYTES = 3_000, 8 << 20
+#: Labels up to so many rows are sent to the texts; above, texts are shuffled to their labels.
+BROADCAST = 2_000_000
+#: Slots that are counted together.
+BLOCK = 1 << 14
 #: Cost of an error, rounds of coordinate descent at most, change of a dual variable at which it ends.
 COST, ROUNDS, CLOSE = 1.0, 30, 1e-2
 #: Share of the fitted weights; the rest is their mean size, the same for all n-grams.
@@ -193,16 +198,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Log-count ratios are counted over all of these; the hinge-loss model is
     fitted on ``PER_CLASS`` rows of each class at most, those with the smallest hashes, and fewer
-    where they have more than ``FEATURES`` n-grams together. Rows without a text, id or label 0
+    where their texts have more than ``SAMPLE_BYTES``. Rows without a text, id or label 0
     or 1 teach nothing; an id with several labels or texts counts with each. With one class only,
     every score is that class's smoothed share; without labels it is 1/2.
     """
     labels = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").distinct()
+    labels = pin(labels, "quality-labels")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(~held_out(key) & F.col(text).isNotNull())
-    rows = rows.join(labels, "id").select(F.xxhash64("id", "text").alias("code"), "text", "label").withColumn("fold", F.pmod("code", F.lit(FOLDS)).cast("int"))
-    rows = pin(rows.mapInArrow(_featured, "code long, label int, fold int, size int, slots array<int>"), "quality-rows")
+    small = labels.count() <= BROADCAST
+    rows = rows.join(F.broadcast(labels) if small else labels, "id").withColumn("code", F.xxhash64("id"))
+    rows = rows.select("text", "label", "code", F.pmod("code", F.lit(FOLDS)).cast("int").alias("fold"), F.octet_length("text").alias("bytes"))
+    rows = rows if small else pin(rows, "quality-rows")
     # 2**BITS slots by FOLDS parts and 2 classes, whatever the number of rows.
-    counts = rows.select("label", "fold", "slots").mapInArrow(_counted, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.select("text", "label", "fold").mapInArrow(_counted, "part int, packed binary")
+    counts = counts.repartition(2 * FOLDS * max(1, (1 << BITS) // BLOCK), "part").mapInArrow(_summed, "kind int, slot int, n long").toArrow()
     table = np.zeros((2 * FOLDS, 1 << BITS))
     if counts.num_rows:
         table[np.asarray(counts["kind"]), np.asarray(counts["slot"])] = np.asarray(counts["n"])
@@ -212,15 +221,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         share = (of_class[1] + 1) / (sum(of_class) + 2)
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     chosen = []
-    for c, total in enumerate(of_class):
-        ordered = rows.where(F.col("label") == c).select("code", "size").orderBy("code", "size").limit(PER_CLASS).collect()
-        room = np.cumsum([r["size"] for r in ordered])
-        keep = max(1, int(np.searchsorted(room, FEATURES // 2, side="right")))
-        chosen.append((c, ordered[min(keep, len(ordered)) - 1].code))
-    picked = rows.where(F.lit(False))
-    for c, last in chosen:
-        picked = picked.union(rows.where((F.col("label") == c) & (F.col("code") <= last)).limit(PER_CLASS))
-    sample = picked.select("code", "label", "fold", "slots").toArrow().sort_by([("code", "ascending"), ("label", "ascending")])
+    for c in (0, 1):
+        ordered = rows.where(F.col("label") == c).select("code", "bytes").orderBy("code", "bytes").limit(PER_CLASS).collect()
+        keep = int(np.searchsorted(np.cumsum([r["bytes"] for r in ordered]), SAMPLE_BYTES, side="right"))
+        chosen.append((F.col("label") == c) & (F.col("code") <= ordered[min(max(keep, 1), len(ordered)) - 1].code))
+    picked = rows.where(chosen[0] | chosen[1]).select("code", "text", "label", "fold")
+    sample = picked.mapInArrow(_featured, "code long, label int, fold int, slots array<int>").toArrow()
+    sample = sample.sort_by([("code", "ascending"), ("label", "ascending")])
     label_of, fold_of = np.asarray(sample["label"]), np.asarray(sample["fold"])
     listed = sample["slots"].combine_chunks()
     flat, ends = np.asarray(listed.flatten()), np.asarray(listed.offsets)
@@ -253,25 +260,37 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slots_of = Slots()
     for code, text, label, fold in pieces(batches):
         slots = [slots_of(t) for t in text]
-        size = [len(s) for s in slots]
-        ends = np.cumsum([0, *size], dtype=np.int32)
+        ends = np.cumsum([0, *map(len, slots)], dtype=np.int32)
         listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*slots, np.zeros(0, np.int32)])))
-        columns = [pa.array(code, pa.int64()), pa.array(label, pa.int32()), pa.array(fold, pa.int32()), pa.array(size, pa.int32()), listed]
-        yield pa.RecordBatch.from_arrays(columns, names=["code", "label", "fold", "size", "slots"])
+        columns = [pa.array(code, pa.int64()), pa.array(label, pa.int32()), pa.array(fold, pa.int32()), listed]
+        yield pa.RecordBatch.from_arrays(columns, names=["code", "label", "fold", "slots"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((2 * FOLDS, 1 << BITS), np.int64)
+    """How many texts of each class and part have each slot, a packed row for each block of slots."""
+    table, slots_of, seen = np.zeros((2 * FOLDS, 1 << BITS), np.int32), Slots(), False
+    for texts, label, fold in pieces(batches, 0):
+        seen = True
+        for text, c, f in zip(texts, label, fold):
+            table[c * FOLDS + f, slots_of(text)] += 1
+    if seen:
+        rows = [(n, row) for n, row in enumerate(table.reshape(-1, min(BLOCK, 1 << BITS))) if row.any()]
+        packed = [zstandard.ZstdCompressor(level=3).compress(row.tobytes()) for _, row in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int32()), pa.array(packed, pa.binary())], names=["part", "packed"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = min(BLOCK, 1 << BITS)
+    totals: dict[int, np.ndarray] = {}
     for batch in batches:
-        kind = np.asarray(batch["label"]) * FOLDS + np.asarray(batch["fold"])
-        long = np.diff(np.asarray(batch["slots"].offsets))
-        code = np.repeat(kind.astype(np.int64), long) << BITS | np.asarray(batch["slots"].flatten())
-        table += np.bincount(code, minlength=table.size).reshape(table.shape)
-    for kind, own in enumerate(table):
-        slot = np.flatnonzero(own)
-        if len(slot):
-            columns = [pa.array(np.full(len(slot), kind, np.int32)), pa.array(slot.astype(np.int32)), pa.array(own[slot])]
-            yield pa.RecordBatch.from_arrays(columns, names=["kind", "slot", "n"])
+        for part, packed in zip(batch["part"].to_pylist(), batch["packed"].to_pylist()):
+            row = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int32)
+            totals[part] = totals.get(part, 0) + row.astype(np.int64)
+    for part, total in totals.items():
+        kind, first = divmod(part * size, 1 << BITS)
+        slot = np.flatnonzero(total)
+        columns = [pa.array(np.full(len(slot), kind, np.int32)), pa.array((slot + first).astype(np.int32)), pa.array(total[slot])]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "slot", "n"])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
