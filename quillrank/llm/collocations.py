@@ -28,6 +28,10 @@ ROW_BITS = 31
 PER_TASK_BITS = 12
 #: Shards of one part of the rounds, about.
 SHARDS = 4
+#: Buckets of hashed pairs for each word of the corpus, at least, and about how many of them are added up together.
+BUCKETS, TOGETHER = 2, 1 << 24
+#: Odd multipliers of the hash of a pair.
+SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Parts that a language's phrases are ranked in first.
 PARTS = 64
 
@@ -203,15 +207,92 @@ def _single_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                  pa.array(index.counts[1:].astype(np.int32))], names=["lang", "word", "place", "size"])
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, index in enumerate(_unpacked(batch["before"])):
-            known = batch["known"][row].values
-            start, size, phrase = (np.asarray(known.field(k)) for k in range(3))
-            at, sizes, left, right = index.extend(start, size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_place(batch, row) + at), pa.array(sizes.astype(np.int32)), pa.array(phrase[left]), pa.array(phrase[right])],
-                names=["place", "size", "head", "tail"])
+def _extensions(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, start, size, head, tail) of each shard's longer phrases."""
+    for row, index in enumerate(_unpacked(batch["before"])):
+        known = batch["known"][row].values
+        start, size, phrase = (np.asarray(known.field(k)) for k in range(3))
+        at, sizes, left, right = index.extend(start, size)
+        yield row, at, sizes, phrase[left], phrase[right]
+
+
+def buckets_of(head: np.ndarray, tail: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket of each pair."""
+    mixed = (head.astype(np.uint64) * SPREAD[0] + tail.astype(np.uint64)) * SPREAD[1]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * SPREAD[0]
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places, compressed."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
+
+
+def _hashed(bits: int, parts: int):
+    """(shard, part, buckets, sizes): how often each bucket occurs in a shard, by runs of buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = -(-(1 << bits) // parts)
+        for batch in batches:
+            for row, _, sizes, head, tail in _extensions(batch):
+                bucket, own = np.unique(buckets_of(head, tail, bits), return_inverse=True)
+                total = np.minimum(np.bincount(own, sizes, len(bucket)), LEAST).astype(np.int64)
+                edges = np.searchsorted(bucket, np.arange(parts + 1) * width)
+                used = [p for p in range(parts) if edges[p] < edges[p + 1]]
+                steps = [pack(np.diff(bucket[edges[p] : edges[p + 1]], prepend=p * width)) for p in used]
+                counts = [pack(total[edges[p] : edges[p + 1]]) for p in used]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(used), batch["shard"][row].as_py())), pa.array(used, pa.int32()), pa.array(steps, pa.binary()),
+                     pa.array(counts, pa.binary())], names=["shard", "part", "steps", "counts"])
+
+    return run
+
+
+def _promising(bits: int, parts: int):
+    """(shard, part, hits): which buckets of each shard, in order, have ``LEAST`` occurrences in all shards."""
+    width = -(-(1 << bits) // parts)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        held: list[tuple[int, int, bytes]] = []
+        for batch in rows:
+            for shard, part, steps, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                total = totals.setdefault(part, np.zeros(width, np.uint8))
+                at = np.cumsum(unpack(steps))
+                total[at] = np.minimum(total[at] + unpack(counts), LEAST)
+                held.append((shard, part, steps))
+        for shard, part, steps in held:
+            hits = np.packbits(totals[part][np.cumsum(unpack(steps))] >= LEAST).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([part], pa.int32()), pa.array([zstandard.compress(hits)])], names=["shard", "part", "hits"])
+
+    return run
+
+
+def _extended(bits: int = 0, parts: int = 1):
+    """Rows of all longer phrases; with ``bits``, of those in a promising bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = -(-(1 << bits) // parts)
+        for batch in batches:
+            for row, at, sizes, head, tail in _extensions(batch):
+                if bits:
+                    bucket, own = np.unique(buckets_of(head, tail, bits), return_inverse=True)
+                    edges = np.searchsorted(bucket, np.arange(parts + 1) * width)
+                    hit = np.zeros(len(bucket), bool)
+                    for given in batch["hits"][row].as_py() or ():
+                        first, last = edges[given["part"]], edges[given["part"] + 1]
+                        hit[first:last] = np.unpackbits(np.frombuffer(zstandard.decompress(given["hits"]), np.uint8), count=last - first)
+                    keep = hit[own]
+                    at, sizes, head, tail = at[keep], sizes[keep], head[keep], tail[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_place(batch, row) + at), pa.array(sizes.astype(np.int32)), pa.array(head), pa.array(tail)],
+                    names=["place", "size", "head", "tail"])
+
+    return run
 
 
 def _frequent(rows: DataFrame, *keys: str) -> DataFrame:
@@ -249,12 +330,22 @@ def phrases(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     # All rounds meet the indexes where one shuffle has put them.
     parts = max(1, -(-shards.count() // SHARDS))
     indexes = shards.select("shard", "before").repartition(parts, "shard").persist(StorageLevel.DISK_ONLY)
-    for _ in range(1, WORDS):
+    n = shards.agg(F.sum("n")).first()[0] or 0
+    bits = max(10, int(BUCKETS * n).bit_length())
+    runs = max(1, (1 << bits) // TOGETHER)
+    for words in range(2, WORDS + 1):
         shard, start = F.shiftright("place", ROW_BITS).alias("shard"), F.col("place").bitwiseAND((1 << ROW_BITS) - 1).alias("start")
         known = found.select(shard, F.struct(start, "size", "phrase").alias("known")).repartition(parts, "shard")
         known = known.groupBy("shard").agg(F.collect_list("known").alias("known"))
         longer = indexes.join(known.hint("shuffle_hash"), "shard").select("shard", "before", "known")
-        longer = longer.mapInArrow(_extended, "place long, size int, head long, tail long")
+        kept = _extended()
+        if words == 2:
+            # Pairs of words are many and mostly rare: first only their hashed counts are added up.
+            seen = longer.mapInArrow(_hashed(bits, runs), "shard long, part int, steps binary, counts binary").repartition(runs, "part")
+            hits = pin(seen.mapInArrow(_promising(bits, runs), "shard long, part int, hits binary"), "phrase-buckets")
+            hits = hits.repartition(parts, "shard").groupBy("shard").agg(F.collect_list(F.struct("part", "hits")).alias("hits"))
+            longer, kept = longer.join(hits.hint("shuffle_hash"), "shard").select("shard", "before", "known", "hits"), _extended(bits, runs)
+        longer = longer.mapInArrow(kept, "place long, size int, head long, tail long")
         found = pin(_frequent(longer, "head", "tail"), "phrase-rows")
         before = levels[-1]
         front = before.select(F.col("phrase").alias("head"), "lang", F.col("text").alias("front"), "heads")
@@ -283,7 +374,8 @@ def collocations(docs: DataFrame, most: int = 2000) -> DataFrame:
 
     Each shard of about ``SHARD_BYTES`` holds a suffix array's FM-index in memory; a
     phrase sends one row a shard, however often it stands there, and only phrases
-    whose two parts are frequent in all shards together are formed at all.
+    whose two parts are frequent in all shards together are formed at all. Pairs of
+    words are sent only where the hashed counts of all shards let them be frequent.
     """
     levels, totals = phrases(docs.select("text", "lang"))
     every = None
