@@ -11,7 +11,7 @@ from quillrank.operators import categories, features, impute, learn
 from quillrank.plans import clicks, passengers, tournament, wide
 from quillrank.plans.fixtures import view
 from quillrank.queries.registry import query
-from quillrank.queries.scans import WIDE_FIELDS, wide_fields
+from quillrank.queries.scans import NUMBERS, TEXTS, WIDE_FIELDS, wide_fields
 
 
 @query(r"""
@@ -96,13 +96,10 @@ def dense_to_named(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", "f.name", "f.value")
 
 
-@query("""
-SELECT id, unnest(['i3', 'i4', 'i5']) AS name, CAST(unnest([i3, i4, i5]) AS DOUBLE) AS value FROM {clicks}""")
+@query(f"""
+SELECT id, unnest({NUMBERS}) AS name, CAST(unnest([{', '.join(NUMBERS)}]) AS DOUBLE) AS value FROM {{clicks}}""")
 def build_feature_map(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["i3", "i4", "i5"]
-    built = encode.feature_map(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names])
-    )
+    built = encode.feature_map(F.array(*map(F.lit, NUMBERS)), F.array(*[F.col(n).cast("double") for n in NUMBERS]))
     return view(spark, sf, "clicks").select("id", F.explode(built).alias("name", "value"))
 
 
@@ -151,11 +148,10 @@ def coerce_mixed(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH m AS (SELECT CAST(median(age) AS DOUBLE) AS age FROM {passengers}),
 e AS (SELECT embarked FROM {passengers} WHERE embarked IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-SELECT passenger_id, pclass, sex, coalesce(p.age, m.age) AS age, fare, coalesce(p.embarked, e.embarked) AS embarked
+SELECT passenger_id, survived, pclass, name, sex, coalesce(p.age, m.age) AS age, sibsp, parch, fare, coalesce(p.embarked, e.embarked) AS embarked
 FROM {passengers} p CROSS JOIN m CROSS JOIN e""")
 def impute_table(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "passengers").select("passenger_id", "pclass", "sex", "age", "fare", "embarked")
-    return impute.impute(rows)
+    return impute.impute(view(spark, sf, "passengers"))
 
 
 INDEXED = f"""
@@ -248,13 +244,13 @@ def quadratic_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("vec_id", "p.name", "p.value")
 
 
-@query("""
-WITH i AS (SELECT c13, c15, unnest(['i3', 'i4', 'i5']) AS a, unnest([i3, i4, i5]) AS v FROM {clicks}),
-p AS (SELECT a, v, unnest([concat('c13_', c13), concat('c15_', c15)]) AS b FROM i)
-SELECT concat(a, '^', b) AS name, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM p GROUP BY 1""")
+@query(f"""
+WITH i AS (SELECT c13, c14, c15, unnest({NUMBERS}) AS a, unnest([{', '.join(NUMBERS)}]) AS v FROM {{clicks}}),
+p AS (SELECT a, v, unnest([concat('c13_', c13), CASE WHEN c14 IS NOT NULL THEN concat('c14_', c14) END, concat('c15_', c15)]) AS b FROM i)
+SELECT concat(a, '^', b) AS name, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM p WHERE v IS NOT NULL AND b IS NOT NULL GROUP BY 1""")
 def cross_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    left = encode.group([encode.amount(c, F.col(c)) for c in ("i3", "i4", "i5")])
-    right = encode.group([encode.token(f"{c}_", F.col(c)) for c in ("c13", "c15")])
+    left = encode.group([encode.amount(c, F.col(c)) for c in NUMBERS])
+    right = encode.group([encode.token(f"{c}_", F.col(c)) for c in TEXTS])
     pairs = view(spark, sf, "clicks").select(F.explode(encode.interact(left, right)).alias("p"))
     return pairs.groupBy(F.col("p.name").alias("name")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("p.value").alias("total")

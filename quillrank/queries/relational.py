@@ -9,7 +9,7 @@ from quillrank.functions import encode, text
 from quillrank.operators import categories, evaluate, impute, joins, ordered, recommend, splits
 from quillrank.plans.fixtures import view
 from quillrank.queries.registry import query
-from quillrank.queries.scans import BASELINE_RECS, WIDE_FIELDS, baseline_recs, wide_fields
+from quillrank.queries.scans import BASELINE_RECS, NUMBERS, TEXTS, WIDE_FIELDS, baseline_recs, wide_fields
 from quillrank.session import scratch_path
 from quillrank.sources import writers
 
@@ -51,16 +51,13 @@ def drop_null_rows(spark: SparkSession, sf: str) -> DataFrame:
     return joins.drop_nulls(rows, ["age", "embarked"])
 
 
-@query("""
-SELECT id, concat_ws(' ', CASE WHEN i0 IS NOT NULL THEN concat('i0:', CAST(i0 AS VARCHAR)) END,
-         CASE WHEN i1 IS NOT NULL THEN concat('i1:', CAST(i1 AS VARCHAR)) END,
-         CASE WHEN i2 IS NOT NULL THEN concat('i2:', CAST(i2 AS VARCHAR)) END,
-         CASE WHEN c14 IS NOT NULL THEN concat('c14_', c14, ':1') END) AS features
-FROM {clicks}""")
+_PRESENT = ", ".join([f"CASE WHEN {c} IS NOT NULL THEN concat('{c}:', CAST({c} AS VARCHAR)) END" for c in NUMBERS]
+                     + [f"CASE WHEN {c} IS NOT NULL THEN concat('{c}_', {c}, ':1') END" for c in TEXTS])
+
+
+@query(f"SELECT id, concat_ws(' ', {_PRESENT}) AS features FROM {{clicks}}")
 def emit_present_features(spark: SparkSession, sf: str) -> DataFrame:
-    made = encode.group([
-        *[encode.amount(c, F.col(c)) for c in ("i0", "i1", "i2")], encode.token("c14_", F.col("c14"))
-    ])
+    made = encode.group([*[encode.amount(c, F.col(c)) for c in NUMBERS], *[encode.token(f"{c}_", F.col(c)) for c in TEXTS]])
     return view(spark, sf, "clicks").select("id", encode.group_text(made).alias("features"))
 
 
@@ -231,12 +228,10 @@ def mode_per_column(spark: SparkSession, sf: str) -> DataFrame:
     return impute.exact_mode(view(spark, sf, "passengers"), ["embarked", "sex"])
 
 
-@query("""
-SELECT count(*) FILTER (WHERE i0 IS NULL) AS i0, count(*) FILTER (WHERE i1 IS NULL) AS i1,
-       count(*) FILTER (WHERE i2 IS NULL) AS i2, count(*) FILTER (WHERE i3 IS NULL) AS i3,
-       count(*) FILTER (WHERE c13 IS NULL) AS c13, count(*) FILTER (WHERE c14 IS NULL) AS c14 FROM {clicks}""")
+@query("SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in ["id", "label", *NUMBERS, *TEXTS]) + " FROM {clicks}")
 def null_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return impute.null_profile(view(spark, sf, "clicks"), ["i0", "i1", "i2", "i3", "c13", "c14"])
+    rows = view(spark, sf, "clicks")
+    return impute.null_profile(rows, rows.columns)
 
 
 @query("""
@@ -346,17 +341,9 @@ def shuffle_by_hash(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.shuffle_rows(view(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 7)
 
 
-@query("""
-SELECT p_partkey AS item_id FROM {part} EXCEPT
-SELECT item_id FROM {ratings} JOIN {customer} ON user_id = c_custkey WHERE c_nationkey = 0""")
+@query("SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}")
 def except_ids(spark: SparkSession, sf: str) -> DataFrame:
-    # Items that no customer of the first nation has rated.
-    catalogue = view(spark, sf, "part").select(F.col("p_partkey").alias("item_id"))
-    nation = view(spark, sf, "customer").filter("c_nationkey = 0").select(
-        F.col("c_custkey").alias("user_id")
-    )
-    rated = joins.join_lookup(view(spark, sf, "ratings").select("user_id", "item_id"), nation, "user_id")
-    return joins.except_ids(catalogue, rated, "item_id")
+    return joins.except_ids(view(spark, sf, "documents"), view(spark, sf, "labels"), "doc_id")
 
 
 @query("""

@@ -94,6 +94,9 @@ def limit_first_n(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Number and category columns of the click view.
+NUMBERS, TEXTS = [f"i{n}" for n in range(13)], ["c13", "c14", "c15"]
+
 WIDE_FIELDS = """
 WITH cut AS (
   SELECT string_split(replace(replace(line, 'false', '0'), 'true', '1'), ',') AS parts FROM {wide_lines}
