@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from quillrank.plans import ratings as rating_plans
 from quillrank.plans.fixtures import view
 from quillrank.queries.registry import query
 from quillrank.queries.relational import FOUR_FIFTHS, HASHED
-from quillrank.session import pin
-from quillrank.streaming import scoring
+from quillrank.session import pin, scratch_path
+from quillrank.streaming import published, scoring
 
 ORDER = ["rated_at", "order_key", "line_no", "supp_key", "rating"]
 
@@ -306,3 +307,21 @@ def score_stream(spark: SparkSession, sf: str) -> DataFrame:
 
     scores = scoring.score_available(scoring.score_stream(model, stream, _event_vectors, finish))
     return scores.select("event_id", F.col("score").between(0, 1).cast("int").alias("scored"))
+
+
+@query("SELECT event_id, CAST(2 AS BIGINT) AS version, 1 AS scored FROM {events}")
+def score_stream_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Events scored by the newer of two published models."""
+    events = view(spark, sf, "events")
+    labeled = _event_vectors(events.withColumn("label", encode.binary(F.col("event_type"), "click").cast("double")))
+    vectors = pin(labeled.select("label", "features"), "events")
+    models = published.Published(spark, scratch_path(spark, "models"), LogisticRegressionModel)
+    for l2 in (1.0, 0.01):
+        models.publish(learn.fit_logistic(vectors, l2=l2, iterations=5))
+    stream = scoring.arriving(spark, f"{sf}/event[s].parquet", events.schema)
+    out = scratch_path(spark, "scores")
+    published.score_with_published(
+        models, stream, _event_vectors, lambda scored: scored.select("event_id", vector_to_array("probability")[1].alias("score")), out,
+        scratch_path(spark, "progress")).awaitTermination()
+    scores = spark.read.parquet(out)
+    return scores.select("event_id", "version", F.col("score").between(0, 1).cast("int").alias("scored"))
