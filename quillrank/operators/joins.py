@@ -15,8 +15,9 @@ from quillrank.session import pin
 BROADCAST_ROWS = 1_000_000
 BROADCAST_TEXT = 64 << 20
 
-# A key is hot when it holds more than one in HOT_SHARE rows, so at most HOT_SHARE keys are hot.
-HOT_SHARE = 1_000
+# Rows that one task is to get of one key; a key with more is dealt out to several tasks, at most MOST_COPIES.
+HOT_ROWS = 1_000_000
+MOST_COPIES = 4_096
 
 # Spark's default spark.sql.optimizer.windowGroupLimitThreshold.
 PARTIAL_LIMIT = 1_000
@@ -36,32 +37,33 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: int =
 
 
 def join_lookup(
-    fact: DataFrame, lookup: DataFrame, key: str, how: str = "inner", rows: int = BROADCAST_ROWS
+    fact: DataFrame, lookup: DataFrame, key: str, how: str = "inner", rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Join a large frame to a lookup that is unique on ``key`` (inner or left).
 
-    A small lookup is broadcast. With a large one the hot keys of ``fact`` are
-    found by a pre-aggregated count; their lookup rows (at most ``HOT_SHARE``)
-    are broadcast, so hot rows stay where they are, and only the others shuffle.
+    A small lookup is broadcast. With a large one the keys of ``fact`` that hold
+    more than ``hot_rows`` rows are found by a pre-aggregated count. Their rows are dealt out by a
+    hash of the whole row, and the lookup's row is copied for each share, so that the join
+    stays one shuffle in which no task gets a whole hot key. Null keys match nothing and are dealt out too.
     """
     if fits_broadcast(lookup, rows):
         return fact.join(F.broadcast(lookup), key, how)
-    hot = hot_keys(fact, key)
-    if not hot:
-        return fact.join(lookup, key, how)
-    # A null key can never match; it goes with the hot part so that nulls do not share one task.
-    is_hot = F.col(key).isin(hot) | F.col(key).isNull()
-    return fact.filter(is_hot).join(
-        F.broadcast(lookup.filter(F.col(key).isin(hot))), key, how
-    ).unionByName(fact.filter(~is_hot).join(lookup, key, how))
+    hot = pin(hot_keys(fact, key, hot_rows), "hot")
+    if hot.isEmpty():
+        return fact.filter(F.col(key).isNotNull()).join(lookup, key, how) if how == "inner" else fact.join(lookup, key, how)
+    # The hot keys are few: each stands for ``hot_rows`` rows.
+    side = F.broadcast(hot) if fits_broadcast(hot, rows) else hot
+    share = F.pmod(F.xxhash64(*[c for c in fact.columns if not isinstance(fact.schema[c].dataType, T.MapType)]), F.coalesce("__copies", F.lit(1)))
+    many = F.when(F.col(key).isNull(), F.lit(MOST_COPIES)).otherwise(F.col("__copies"))
+    dealt = fact.join(side, key, "left").withColumn("__copies", many).withColumn("__share", share.cast("int"))
+    copied = lookup.join(side, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1)))
+    return dealt.drop("__copies").join(copied.drop("__copies"), [key, "__share"], how).drop("__share")
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
-    """Keys that hold more than one in ``share`` rows (never more than ``share`` values)."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1))).first()[0]
-    rows = counts.filter(F.col("__n") > max(total // share, 1)).select(key).collect()
-    return [row[0] for row in rows]
+def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """(key, __copies): keys with more than ``rows`` rows and how many tasks are to share them; one pass over ``df``."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows)
+    return counts.select(key, F.least(F.ceil(F.col("__n") / rows), F.lit(MOST_COPIES)).cast("int").alias("__copies"))
 
 
 def drop_known(candidates: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -202,6 +204,12 @@ def top_k_merge(parts: Sequence[DataFrame], group: str, order: Sequence[Column],
     return top_k(union_all(partial), group, order, k)
 
 
+def top_k_tiled(df: DataFrame, tile: Column, group: str, order: Sequence[Column], k: int) -> DataFrame:
+    """Top ``k`` of each tile and group, then of each group: one pass, and no task sees a whole hot group."""
+    partial = top_k(df.withColumn("__tile", tile), ["__tile", group], order, k).drop("rank", "__tile")
+    return top_k(partial, group, order, k)
+
+
 def top_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     """The first ``n`` rows overall."""
     return first_rows(df, n, order)

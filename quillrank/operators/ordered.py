@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillrank.session import pin
 
@@ -29,7 +30,9 @@ Order = Sequence[Column | str]
 
 def sorted_runs(df: DataFrame, order: Order) -> DataFrame:
     """``df`` range-sorted by ``order`` with the run number and position in the run, pinned."""
-    ordered = df.orderBy(*order).withColumn(_SEQ, F.monotonically_increasing_id())
+    # Rows that tie in ``order`` are sorted by their content, so that numbers repeat and ties are not one partition.
+    content = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    ordered = df.orderBy(*order, F.xxhash64(*content)).withColumn(_SEQ, F.monotonically_increasing_id())
     seq = F.col(_SEQ)
     return pin(
         ordered.withColumns(

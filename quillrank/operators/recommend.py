@@ -70,15 +70,13 @@ def unseen_by_rank(ratings: DataFrame, ranked_items: DataFrame, k: int = 10,
     n_items = ranked_items.count()
     head_size = min(block_size, n_items)
     head = ranked_items.filter(F.col("position") <= block_size)
-    marked = ratings.select("user_id", "item_id").join(
-        F.broadcast(head.select("item_id", "position")), "item_id", "left"
-    )
+    marked = join_lookup(ratings.select("user_id", "item_id"), head.select("item_id", "position"), "item_id", "left")
     # A left join leaves the position empty outside the first block, and sets skip empty values.
     per_user = pin(marked.groupBy("user_id").agg(F.collect_set("position").alias("taken")), "head")
     enough = (F.size("taken") + k <= head_size) if n_items > block_size else F.lit(True)
     free = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.lit(head_size).cast("bigint")), F.col("taken"))
     light = per_user.filter(enough).select("user_id", F.posexplode(F.slice(free, 1, k)).alias("pos", "position"))
-    recs = light.join(F.broadcast(head), "position").select(
+    recs = join_lookup(light, head, "position").select(
         "user_id", "item_id", "score", (F.col("pos") + 1).cast("bigint").alias("rank")
     )
     heavy = per_user.filter(~enough).select("user_id")

@@ -304,9 +304,7 @@ def top_k_per_user(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT * FROM ({RANKED}) WHERE rank <= 10")
 def top_k_two_phase(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _predictions(spark, sf)
-    tiles = [rows.filter(joins.bucket_of("item_id", 4) == n) for n in range(4)]
-    return joins.top_k_merge(tiles, "user_id", _rank_order(), 10)
+    return joins.top_k_tiled(_predictions(spark, sf), joins.bucket_of("item_id", 4), "user_id", _rank_order(), 10)
 
 
 @query("""

@@ -10,7 +10,7 @@ from quillrank.operators import joins, ordered, recommend
 from quillrank.plans.fixtures import view
 from quillrank.plans.passengers import text_example
 from quillrank.queries.registry import query
-from quillrank.session import scratch_path
+from quillrank.session import pin, scratch_path
 from quillrank.sources import readers, writers
 
 RATING_ORDER = ["order_key", "line_no", "item_id", "supp_key", "rating"]
@@ -200,7 +200,7 @@ unseen AS (
 
 
 def baseline_recs(spark: SparkSession, sf: str) -> DataFrame:
-    ratings = view(spark, sf, "ratings")
+    ratings = pin(view(spark, sf, "ratings").select("user_id", "item_id", "rating"), "ratings")
     return recommend.unseen_by_rank(ratings, recommend.item_means(ratings), 10)
 
 

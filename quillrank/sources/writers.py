@@ -9,10 +9,10 @@ from pyspark.ml.util import JavaMLReadable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.functions.metrics import micros_per_row
 from quillrank.operators.recommend import recs_as_arrays
 
-RUN_SCHEMA = ("run string, at timestamp, metric string, value double, secs double, rows bigint, "
-              "us_per_row double")
+RUN_SCHEMA = "run string, at timestamp, metric string, value double, secs double, rows bigint"
 
 
 def write_sparse_text(df: DataFrame, example: Column, path: str) -> None:
@@ -46,8 +46,9 @@ def write_recs(recs: DataFrame, path: str) -> None:
 def run_record(spark: SparkSession, run: str, metric: str, value: float, secs: float, rows: int,
                at: datetime | None = None) -> DataFrame:
     """One row on a finished run, with its time per row."""
-    row = (run, at or datetime.now(), metric, float(value), float(secs), int(rows), secs * 1e6 / max(rows, 1))
-    return spark.createDataFrame([row], RUN_SCHEMA)
+    row = (run, at or datetime.now(), metric, float(value), float(secs), int(rows))
+    record = spark.createDataFrame([row], RUN_SCHEMA)
+    return record.withColumn("us_per_row", micros_per_row(F.col("secs"), F.greatest("rows", F.lit(1))))
 
 
 def append_metrics(record: DataFrame, path: str) -> None:

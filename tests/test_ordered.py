@@ -145,8 +145,19 @@ def test_lookup_join_is_the_same_with_hot_keys_split_off(spark, rows):
         .alias("k"), "id")
     lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left"):
-        got = joins.join_lookup(fact, lookup, "k", how, rows).select("id", "k", "v").collect()
-        assert sorted(map(str, got)) == sorted(map(str, fact.join(lookup, "k", how).select("id", "k", "v").collect()))
+        for hot_rows in (100, joins.HOT_ROWS):
+            found = joins.join_lookup(fact, lookup, "k", how, rows, hot_rows)
+            assert set(found.columns) == {"id", "k", "v"}
+            got = found.select("id", "k", "v").collect()
+            assert sorted(map(str, got)) == sorted(map(str, fact.join(lookup, "k", how).select("id", "k", "v").collect()))
+    assert {tuple(r) for r in joins.hot_keys(fact, "k", 100).collect()} == {(7, 11)}
+
+
+def test_numbers_of_tied_rows_repeat(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), "id")
+    first, second = (ordered.number_rows(df.repartition(n), ["g"]) for n in (3, 11))
+    assert sorted(first.collect()) == sorted(second.collect())
+    assert [r.rn for r in first.orderBy("rn").collect()] == list(range(1, 4001))
 
 
 def test_two_phase_top_k_equals_one_phase(skewed):
@@ -155,6 +166,7 @@ def test_two_phase_top_k_equals_one_phase(skewed):
     tiles = [df.filter(F.pmod("id", F.lit(3)) == n) for n in range(3)]
     once = joins.top_k(df, "g", order, 4).collect()
     assert sorted(joins.top_k_merge(tiles, "g", order, 4).collect()) == sorted(once)
+    assert sorted(joins.top_k_tiled(df, F.pmod("id", F.lit(3)), "g", order, 4).collect()) == sorted(once)
 
 
 def test_top_k_beyond_the_partial_limit(skewed):
