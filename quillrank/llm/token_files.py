@@ -28,7 +28,7 @@ FRAME_IDS = 1 << 16
 #: Units that the library encodes in one text.
 JOINED = 8_192
 #: Units whose ids a Python worker remembers between batches.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: Fixed values of the seekable zstandard format: numbers at the start of its last, skippable frame and at its end.
 SKIPPABLE, SEEK_TABLE = 0x184D2A5E, 0x8F92EAB1
 #: Fixed value: the descriptor of a seek table whose entries have checksums.
