@@ -18,7 +18,7 @@ SPACE = "▁"
 #: Fixed value: how the piece of a single byte is written.
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Units of text a Python worker remembers between batches.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
 #: Stands in the prefix table for a character that is in no piece.
 ALONE = -1
 
