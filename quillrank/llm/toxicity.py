@@ -80,19 +80,20 @@ class Index:
         self.place = np.full(terms, -1, np.int32)
         self.place[common] = np.arange(len(common))
         dense = self.place[term] >= 0
-        table = np.zeros((len(ids), len(common)))
-        table[row[dense], self.place[term[dense]]] = weight[dense]
+        at, column, value = row[dense], self.place[term[dense]], weight[dense]
         # Alike examples stand together, so that few blocks have a large bound.
-        strongest = table.argmax(1) if len(common) else np.zeros(len(ids), np.int64)
+        strongest = np.zeros(len(ids), np.int64)
+        by_weight = np.lexsort((-column, value, at))
+        strongest[at[by_weight]] = column[by_weight]
         order = np.lexsort((ids, strongest, labels))
         self.ids, self.labels = ids[order], labels[order]
         self.blocks = max(1, -(-len(ids) // BLOCK))
-        padded = np.zeros((self.blocks * BLOCK, len(common)))
-        padded[: len(ids)] = table[order]
-        self.tables = np.ascontiguousarray(padded.reshape(self.blocks, BLOCK, len(common)).transpose(0, 2, 1))
-        self.largest = np.ascontiguousarray(self.tables.max(2).T)
         to = np.empty(len(ids), np.int32)
         to[order] = np.arange(len(ids))
+        # Filled in place: the table is large, and each worker has one.
+        self.tables = np.zeros((self.blocks, len(common), BLOCK))
+        self.tables[to[at] // BLOCK, column, to[at] % BLOCK] = value
+        self.largest = np.ascontiguousarray(self.tables.max(2).T)
         term, row, weight = term[~dense], to[row[~dense]], weight[~dense]
         by_term = np.argsort(term, kind="stable")
         self.row, self.weight = row[by_term], weight[by_term]
