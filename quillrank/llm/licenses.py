@@ -119,7 +119,7 @@ MARKS = (
 #: Most words of an n-gram, features at most, penalty; probability and shared part of a template that confirm a family.
 WORDS, FEATURES, PENALTY = 3, 4_096, 1e-3
 PROBABILITY, SHARED = 0.5, 0.75
-#: Share of a template's words from which another family's template is close: the words it lacks must then be found.
+#: Share of a template's words from which another family's template is close: the n-grams it lacks must then be found.
 CLOSE = 0.75
 #: What the logits may be divided by to calibrate the probabilities.
 HEATS = (0.25, 0.5, 0.7, 1.0, 1.5, 2.0, 3.0)
@@ -189,7 +189,7 @@ class Scanner:
         texts = [(f, n, t) for f, own in TEMPLATES.items() for n, t in enumerate(own)]
         self.templates = spark.createDataFrame(texts, "family string, template int, text string")
         known = with_grams(self.templates).withColumn("words", words(F.col("text"))).collect()
-        rows = [(t.family, t.template, t.grams, sorted(g for g in t.grams if _telling(t, known) & set(g.split(" ")))) for t in known if t.grams]
+        rows = [(t.family, t.template, t.grams, _telling(t, known)) for t in known if t.grams]
         self.templates = spark.createDataFrame(rows, "family string, template int, wanted array<string>, needed array<string>")
 
     @staticmethod
@@ -236,11 +236,11 @@ class Scanner:
         return found.withColumn("found", F.filter("found", lambda f: ~F.exists("found", lambda o: within(f, o))))
 
 
-def _telling(template, known: list) -> set[str]:
-    """The words of a template that close templates of other families lack, such as the number of a version."""
+def _telling(template, known: list) -> list[str]:
+    """The n-grams of a template that close templates of other families lack, such as the number of a version."""
     own = set(template.words)
-    others = (set(t.words) for t in known if t.family != template.family)
-    return set().union(*(own - other for other in others if len(own & other) >= CLOSE * len(own)))
+    close = (t for t in known if t.family != template.family and len(own & set(t.words)) >= CLOSE * len(own))
+    return sorted(set().union(*(set(template.grams) - set(t.grams) for t in close)))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
