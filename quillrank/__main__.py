@@ -20,7 +20,7 @@ def _ratings(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _recommend(spark: SparkSession, a: argparse.Namespace) -> None:
     print(ratings.recommend_all(spark, a.input, a.output, a.k, a.rank, a.passes, num_ratings=a.num_ratings,
-                                mode=a.evaluate))
+                                mode=a.evaluate, evaluate_only=a.evaluate_only))
 
 
 def _clicks(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -81,7 +81,8 @@ def parser() -> argparse.ArgumentParser:
         ("--search", {"action": "store_true"}), ("--title", {"default": "ratings"}))
     job("recommend", _recommend, ("--input", needed), ("--output", needed), ("--num_ratings", count),
         ("--k", {**count, "default": 10}), ("--rank", {**count, "default": 25}),
-        ("--passes", {**count, "default": 40}), ("--evaluate", {"choices": ["random", "in_order"]}))
+        ("--passes", {**count, "default": 40}), ("--evaluate", {"choices": ["random", "in_order"]}),
+        ("--evaluate_only", {"action": "store_true"}))
     job("clicks", _clicks, ("--train", needed), ("--test", needed), ("--output", needed),
         ("--bits", {**count, "default": 23}))
     job("tournament", _tournament, *files)

@@ -42,14 +42,16 @@ def text_example() -> Column:
     )
 
 
-def feature_group(strict_digits: bool = True) -> Column:
+def feature_group(strict_digits: bool = True, strict_fare: bool = False) -> Column:
     """Class, last name, title, gender, family, fare, port, and the age.
 
-    With ``strict_digits`` an age with a fraction counts as missing.
+    With ``strict_digits`` an age with a fraction counts as missing, with ``strict_fare`` a fare too.
     """
-    age = F.col("age")
+    age, fare = F.col("age"), F.col("fare")
     if strict_digits:
         age = F.when(age == F.floor(age), age)
+    if strict_fare:
+        fare = F.when(fare == F.floor(fare), fare)
     return encode.group([
         encode.token("passenger_class_", F.col("pclass")),
         encode.token("last_name_", text.clean(text.last_name(F.col("name")))),
@@ -57,16 +59,16 @@ def feature_group(strict_digits: bool = True) -> Column:
         encode.amount("gender", encode.binary(F.col("sex"), "male", hit=0)),
         encode.amount("siblings_onboard", F.col("sibsp")),
         encode.amount("family_members_onboard", F.col("parch")),
-        encode.amount("fare", F.col("fare")),
+        encode.amount("fare", fare),
         encode.token("embarked_", text.clean(F.col("embarked"))),
         encode.amount("age", age),
     ])
 
 
-def examples(passengers: DataFrame, labeled: bool = True) -> DataFrame:
-    """Passengers as examples with one feature group ``f``."""
+def examples(passengers: DataFrame, labeled: bool = True, strict_digits: bool = True, strict_fare: bool = False) -> DataFrame:
+    """Passengers as examples with one feature group ``f``; whole ages and fares only, as :func:`feature_group` says."""
     label = F.col("survived") if labeled else None
-    return learn.featurize(passengers, {"f": feature_group()}, label, keep=["passenger_id"])
+    return learn.featurize(passengers, {"f": feature_group(strict_digits, strict_fare)}, label, keep=["passenger_id"])
 
 
 def online_spec(search: bool = False) -> ModelSpec:
@@ -85,11 +87,12 @@ def fit_interactions(passengers: DataFrame, spec: ModelSpec | None = None) -> Ru
     return learn.run(spec or online_spec(), examples(passengers), key="passenger_id", metric=metric)
 
 
-def survivors(train: DataFrame, test: DataFrame, spec: ModelSpec | None = None, cut: float = 0.5
-              ) -> DataFrame:
-    """Fit on one file and decide 0/1 for another: (PassengerId, Survived)."""
+def survivors(train: DataFrame, test: DataFrame, spec: ModelSpec | None = None, cut: float = 0.5, strict_digits: bool = True,
+              strict_fare: bool = True) -> DataFrame:
+    """Fit on one file and decide 0/1 for another: (PassengerId, Survived). Ages and fares with a fraction count as missing."""
     spec = spec or learn.logistic_regression("passengers", passes=3, quadratic="ff", bits=14)
-    result = learn.run(spec, examples(train), examples(test, labeled=False), key="passenger_id")
+    known, asked = (examples(t, labeled, strict_digits, strict_fare) for t, labeled in ((train, True), (test, False)))
+    result = learn.run(spec, known, asked, key="passenger_id")
     decided = encode.threshold(F.col("score"), cut)
     return result.scored.select(
         F.col("passenger_id").alias("PassengerId"), decided.alias("Survived")

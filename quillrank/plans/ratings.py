@@ -83,20 +83,24 @@ def _pair_key():
 
 def recommend_all(spark: SparkSession, ratings_path: str, recs_path: str, k: int = 10, rank: int = 25,
                   iterations: int = 40, reg: float = 0.05, num_ratings: int | None = None,
-                  mode: str | None = None, score_range: tuple[float, float] | None = (0.0, 5.0)
+                  mode: str | None = None, score_range: tuple[float, float] | None = (0.0, 5.0), evaluate_only: bool = False,
                   ) -> Evaluation | None:
     """Headed CSV ratings: fit on all, best unseen items of every user to JSON records.
 
     A repeated pair keeps its last rating in file order. With ``mode`` (``random``
-    or ``in_order``) the error on a tenth is measured too.
+    or ``in_order``) the error on a tenth is measured too, with ``evaluate_only`` that alone and
+    no model of all ratings is fitted.
     """
+    if evaluate_only and mode is None:
+        raise ValueError("choose a mode to evaluate with")
     rows = readers.with_file_order(readers.read_ratings(spark, ratings_path, sep=",", header=True))
     if num_ratings:
         rows = ordered.first_rows(rows, num_ratings, readers.FILE_ORDER)
     rows = pin(rows, "ratings")
-    ratings = pin(joins.latest(rows, PAIR, readers.FILE_ORDER, ["rating"]), "ratings")
-    model = fit_ratings(ratings, rank, iterations, reg)
-    writers.write_recs(recommend.recommend(model, ratings, k, score_range=score_range), recs_path)
+    if not evaluate_only:
+        ratings = pin(joins.latest(rows, PAIR, readers.FILE_ORDER, ["rating"]), "ratings")
+        model = fit_ratings(ratings, rank, iterations, reg)
+        writers.write_recs(recommend.recommend(model, ratings, k, score_range=score_range), recs_path)
     if mode is None:
         return None
     return evaluate_model(*split_ratings(rows, readers.FILE_ORDER, mode), rank=rank, iterations=iterations,

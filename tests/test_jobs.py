@@ -178,6 +178,10 @@ def test_recommendation_job(spark, tmp_path, rating_rows):
         result = ratings.recommend_all(spark, str(path), str(tmp_path / "recs"), k=10, rank=4, iterations=5,
                                        mode=mode, score_range=None)
         assert result.rmse > 0
+    alone = ratings.recommend_all(spark, str(path), str(tmp_path / "none"), rank=4, iterations=5, mode="in_order", evaluate_only=True)
+    assert alone.rmse == pytest.approx(result.rmse, rel=1e-3) and not (tmp_path / "none").exists()
+    with pytest.raises(ValueError):
+        ratings.recommend_all(spark, str(path), str(tmp_path / "none"), evaluate_only=True)
     records = [json.loads(t) for t in text_of(tmp_path / "recs")]
     seen = {(u, i) for u, i, _, _ in rating_rows}
     assert len(records) == 40
