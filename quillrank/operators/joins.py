@@ -97,11 +97,10 @@ def bitmaps(df: DataFrame, group: Sequence[str], number: str) -> DataFrame:
         F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
 
 
-def bitmap_words(bits: str | Column) -> Column:
-    """A bitmap as longs; number ``n`` of the block, from 0, is bit ``(7 - n / 8 % 8) * 8 + n % 8`` of long ``n / 64``."""
-    digits = F.hex(bits)
-    return F.transform(F.sequence(F.lit(0), F.lit(BITMAP // WORD - 1)),
-                       lambda k: F.conv(F.substring(digits, k * 16 + 1, F.lit(16)), 16, -10).cast("bigint"))
+def bitmap_words(bits: str, size: int = BITMAP) -> Column:
+    """The first ``size`` numbers of a bitmap as longs; number ``n`` from 0 is bit ``(7 - n / 8 % 8) * 8 + n % 8`` of long ``n / 64``."""
+    eight = lambda k: F.substring(bits, k * 8 + 1, F.lit(8))
+    return F.transform(F.sequence(F.lit(0), F.lit(-(-size // WORD) - 1)), lambda k: F.conv(F.hex(eight(k)), 16, -10).cast("bigint"))
 
 
 def unseen_items(users: DataFrame, items: DataFrame, seen: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
@@ -124,10 +123,11 @@ def unseen_items(users: DataFrame, items: DataFrame, seen: DataFrame, user: str
     every = wanted.withColumn("block", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(blocks).cast("bigint")))) if blocks else (
         wanted.withColumn("block", F.lit(1).cast("bigint")).limit(0))
     rated = bitmaps(join_lookup(seen.select(user, item), numbered, item), [user], "__number")
-    words = every.join(rated, [user, "block"], "left").withColumn(
-        "__words", F.when(F.col("bits").isNull(), F.array_repeat(F.lit(0).cast("bigint"), BITMAP // WORD)).otherwise(bitmap_words("bits")))
     # A block's names are small enough to be sent to all users of it where all blocks are.
     few = numbered.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(item).cast("string")))).first()
+    size = max(1, min(BITMAP, few[0]))
+    words = every.join(rated, [user, "block"], "left").withColumn(
+        "__words", F.when(F.col("bits").isNull(), F.array_repeat(F.lit(0).cast("bigint"), -(-size // WORD))).otherwise(bitmap_words("bits", size)))
     side = F.broadcast(names) if few[0] <= BROADCAST_ROWS and (few[1] or 0) <= BROADCAST_TEXT else names
     joined = words.join(side, "block")
     left = F.filter("__names", lambda name, n: F.bit_get(
