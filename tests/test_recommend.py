@@ -141,3 +141,44 @@ def test_pair_space_adds_up(spark):
     items = spark.range(5).toDF("item_id")
     rows = {r.user_id: (r["items"], r.rated, r.unrated) for r in recommend.pair_space(ratings, items).collect()}
     assert rows == {1: (5, 2, 3), 2: (5, 1, 4)}
+
+
+def test_most_pairs_are_never_scored(spark, monkeypatch):
+    """Users are done long before the last item, and the lists are those of all pairs."""
+    from quillrank.functions.tiles import Shape, best_of_tile
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    users, items = rng.normal(size=(40, 4)).astype("f4"), (rng.normal(size=(6000, 4)) * [3, 1, 1, .2] + [5, 0, 0, 1]).astype("f4")
+    tables = [spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(t)], "id int, features array<float>") for t in (users, items)]
+    scores = users.astype("f8") @ items.T
+    seen = {(u, int(i)) for u in range(40) for i in np.argsort(-scores[u])[: u % 5]}
+    rated = spark.createDataFrame(sorted(seen), "user_id int, item_id int")
+    asked = []
+    inner = recommend._by_tiles
+    monkeypatch.setattr(recommend, "_by_tiles", lambda people, block, n, *more: asked.append((people.count(), n)) or inner(people, block, n, *more))
+    got = {}
+    for r in recommend.recommend_by_vectors(*tables, 4, rated, 5, item_tile=400, user_tile=16).orderBy("rank").collect():
+        got.setdefault(r.user_id, []).append(r.item_id)
+    for u in range(40):
+        assert got[u] == [int(i) for i in np.argsort(-scores[u]) if (u, int(i)) not in seen][:5]
+    assert sum(n * m for n, m in asked) < 0.6 * 40 * 6000
+    # Inside a tile too: without the last items the lists are the same.
+    shape = Shape.of(len(items), items.sum(0, dtype="f8"), items.T.astype("f8") @ items, float(np.linalg.norm(items, axis=1).max()))
+    tile = pd.DataFrame([{"user_ids": np.arange(40), "user_factors": users.ravel(), "item_ids": np.arange(6000), "item_factors": items.ravel()}])
+    none = pd.DataFrame({"user_id": [], "item_id": []}, dtype="i4")
+    whole, cut = (best_of_tile(tile, none, 5, -np.inf, np.inf, s).sort_values(["user_id", "score"]) for s in (None, shape))
+    assert list(whole.item_id) == list(cut.item_id)
+
+
+def test_odd_vectors_are_not_lost(spark):
+    """Equal items, items that differ in nothing and fewer items than asked for."""
+    users = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, -1.0])], "id int, features array<float>")
+    items = spark.createDataFrame([(n, [1.0, float(n // 4)]) for n in range(12)], "id int, features array<float>")
+    rated = spark.createDataFrame([(1, 11), (2, 3)], "user_id int, item_id int")
+    for tile in (3, 100):
+        rows = recommend.recommend_by_vectors(users, items, 2, rated, 4, item_tile=tile).orderBy("user_id", "rank").collect()
+        assert [(r.user_id, r.item_id) for r in rows] == [(1, 10), (1, 9), (1, 8), (1, 7), (2, 2), (2, 1), (2, 0), (2, 7)]
+    flat = spark.createDataFrame([(n, [1.0, 1.0]) for n in range(12)], "id int, features array<float>")
+    rows = recommend.recommend_by_vectors(users, flat, 2, rated, 20, item_tile=3).collect()
+    assert len(rows) == 22
