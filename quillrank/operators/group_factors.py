@@ -17,6 +17,8 @@ from quillrank.session import pin
 SIDES = ("left", "right")
 #: Spread of the first factors, decays and least denominator of the steps.
 SPREAD, DECAY, LEAST = 0.1, (0.9, 0.999), 1e-8
+#: Rows whose gradients a task works out at a time, and gradient rows that it hands on at a time.
+POOL, OUT = 200_000, 32_768
 
 
 @dataclass
@@ -40,8 +42,11 @@ class GroupFactors:
 
     def sums(self, side: int, slots: np.ndarray, values: np.ndarray, rows: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         """Weighted features and summed factors of each row of one side."""
-        linear = np.bincount(rows, self.weights[side, slots] * values, count)
+        linear = self.weights[side, slots] * values
         own = self.factors[side, slots] * values[:, None]
+        if len(rows) == count and np.array_equal(rows, np.arange(count)):
+            return linear, own
+        linear = np.bincount(rows, linear, count)
         return linear, np.stack([np.bincount(rows, own[:, k], count) for k in range(self.rank)], 1)
 
     def scores(self, left: tuple, right: tuple) -> np.ndarray:
@@ -73,7 +78,7 @@ def fit(examples: DataFrame, left: str, right: str, label: str = "label", bits:
         step: float = 0.1, reg: float = 1e-4, classify: bool = False, seed: int = 7) -> GroupFactors:
     """Fit squared error, or log loss over labels 0 and 1 with ``classify``, by gradients of the whole table.
 
-    Each step is one pass: tasks add up the gradients of the slots in a batch,
+    Each step is one pass: tasks add up the gradients of the slots over all their rows,
     Spark adds these up by slot, and adaptive steps move the touched slots. ``reg`` pulls
     them to 0. Rows without a label teach nothing; an empty table gives a model that scores 0.
     """
@@ -116,25 +121,46 @@ def fit(examples: DataFrame, left: str, right: str, label: str = "label", bits:
     return model
 
 
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``POOL`` rows, but for the last one."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= POOL:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _gradients(shared):
+    """Gradients of the slots that a task's rows touch, added up over all its rows: one row a slot and side."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = ["side", "slot", *[f"g{k}" for k in range(model.rank + 1)]]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        size = 1 << model.bits
+        gradient, touched, total = np.zeros((len(SIDES), model.rank + 1, size)), np.zeros((len(SIDES), size), bool), 0.0
+        for batch in _pooled(batches):
             given = [_side(batch, s) for s in SIDES]
             sums = [model.sums(n, *g, batch.num_rows) for n, g in enumerate(given)]
             error = model.scores(*sums) - np.asarray(batch["label"])
             for n, (slots, values, rows) in enumerate(given):
-                places, own = np.unique(slots, return_inverse=True)
                 pull = values * error[rows]
-                other = sums[1 - n][1][rows]
-                columns = [np.bincount(own, pull, len(places)), *(np.bincount(own, pull * other[:, k], len(places)) for k in range(model.rank))]
+                other = sums[1 - n][1]
+                touched[n, slots] = True
+                gradient[n, 0] += np.bincount(slots, pull, size)
+                for k in range(model.rank):
+                    gradient[n, k + 1] += np.bincount(slots, pull * other[rows, k], size)
+            total += float(error.sum())
+        for n in range(len(SIDES)):
+            places = np.flatnonzero(touched[n])
+            for first in range(0, len(places), OUT):
+                at = places[first : first + OUT]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(places), n, np.int32)), pa.array(places.astype(np.int32)), *map(pa.array, columns)], names=names)
-            total = [pa.array([float(error.sum())]), *[pa.array([0.0])] * model.rank]
-            yield pa.RecordBatch.from_arrays([pa.array([len(SIDES)], pa.int32()), pa.array([0], pa.int32()), *total], names=names)
+                    [pa.array(np.full(len(at), n, np.int32)), pa.array(at.astype(np.int32)), *map(pa.array, gradient[n][:, at])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([len(SIDES)], pa.int32()), pa.array([0], pa.int32()), pa.array([total]),
+                                          *[pa.array([0.0])] * model.rank], names=names)
 
     return run
 

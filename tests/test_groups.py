@@ -189,3 +189,33 @@ def test_group_factors_of_classes_and_nothing(spark, groups):
     none = group_factors.fit(labelled.where("label > 5"), "u", "i", bits=8)
     assert none.bias == 0 and group_factors.predict(none, labelled.limit(3).select("u", "i"), "u", "i").count() == 3
     assert group_factors.predict(model, labelled.limit(0), "u", "i").count() == 0
+
+
+def test_a_task_hands_on_one_gradient_per_slot():
+    """Whatever the number of batches, and the same sums as row by row."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quillrank.operators import group_factors as gf
+
+    rng = np.random.default_rng(4)
+    model = gf.GroupFactors(3, False, 0.5, rng.normal(size=(2, 8)), rng.normal(size=(2, 8, 2)))
+    rows = [([int(a)], [1.0], sorted({int(b), int(c)}), [2.0] * len({int(b), int(c)}), float(y))
+            for a, b, c, y in zip(*rng.integers(0, 8, (3, 50)), rng.normal(size=50))]
+    names = ["__left_slots", "__left_values", "__right_slots", "__right_values", "label"]
+    types = [pa.list_(pa.int32()), pa.list_(pa.float64())] * 2 + [pa.float64()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    parts = [whole.slice(n, 10) for n in range(0, 50, 10)]
+    out = [r for b in gf._gradients(SimpleNamespace(value=model))(iter(parts)) for r in b.to_pylist()]
+    assert len({(r["side"], r["slot"]) for r in out}) == len(out)
+    want = np.zeros((2, 8, 3))
+    for ls, lv, rs, rv, y in rows:
+        one = [(model.weights[n, s] @ np.array(v), np.array(v) @ model.factors[n, s]) for n, (s, v) in enumerate(((ls, lv), (rs, rv)))]
+        error = model.bias + one[0][0] + one[1][0] + one[0][1] @ one[1][1] - y
+        for n, (s, v) in enumerate(((ls, lv), (rs, rv))):
+            for slot, value in zip(s, v):
+                want[n, slot] += value * error * np.r_[1, one[1 - n][1]]
+    for r in out:
+        if r["side"] < 2:
+            assert np.allclose([r["g0"], r["g1"], r["g2"]], want[r["side"], r["slot"]])
