@@ -31,6 +31,8 @@ NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.5
 ONE_IN, DENSE = 12, 512
 #: Documents searched at a time, blocks that give the first k-th best cosine, words whose terms a worker keeps.
 TOGETHER, FIRST, REMEMBERED = 256, 4, 200_000
+#: Examples whose terms are worked on at a time when an index is made.
+AT_ONCE = 500
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
@@ -73,31 +75,51 @@ class Index:
         return index
 
     def _build(self, ids, labels, sizes, term, weight, terms: int) -> None:
-        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        number = np.bincount(term, minlength=terms)
+        # Worked out for some examples after the other: each worker has an index, and copies of all weights would be larger than it.
+        ends = np.cumsum(np.asarray(sizes, np.int64))
+        some = [(a, min(a + AT_ONCE, len(ids))) for a in range(0, len(ids), AT_ONCE)]
+        some = [(a, b, slice(int(ends[a - 1]) if a else 0, int(ends[b - 1]))) for a, b in some]
+        rows = lambda a, b: np.repeat(np.arange(a, b, dtype=np.int32), np.asarray(sizes[a:b]))
+        number = np.zeros(terms, np.int64)
+        for _, _, own in some:
+            number += np.bincount(term[own], minlength=terms)
         common = np.argsort(-number, kind="stable")[:DENSE]
         common = common[(number[common] > 0) & (number[common] * ONE_IN >= len(ids))]
         self.place = np.full(terms, -1, np.int32)
         self.place[common] = np.arange(len(common))
-        dense = self.place[term] >= 0
-        at, column, value = row[dense], self.place[term[dense]], weight[dense]
         # Alike examples stand together, so that few blocks have a large bound.
         strongest = np.zeros(len(ids), np.int64)
-        by_weight = np.lexsort((-column, value, at))
-        strongest[at[by_weight]] = column[by_weight]
+        for a, b, own in some:
+            column = self.place[term[own]]
+            dense = column >= 0
+            at, column, value = rows(a, b)[dense], column[dense], weight[own][dense]
+            by_weight = np.lexsort((-column, value, at))
+            strongest[at[by_weight]] = column[by_weight]
         order = np.lexsort((ids, strongest, labels))
         self.ids, self.labels = ids[order], labels[order]
         self.blocks = max(1, -(-len(ids) // BLOCK))
         to = np.empty(len(ids), np.int32)
         to[order] = np.arange(len(ids))
-        # Filled in place: the table is large, and each worker has one.
+        # Postings by term, of one term in the order of the examples.
+        number[common] = 0
+        self.starts = np.concatenate(([0], np.cumsum(number)))
+        self.row, self.weight = np.empty(self.starts[-1], np.int32), np.empty(self.starts[-1])
+        free = self.starts[:-1].copy()
         self.tables = np.zeros((self.blocks, len(common), BLOCK))
-        self.tables[to[at] // BLOCK, column, to[at] % BLOCK] = value
+        for a, b, own in some:
+            column, row = self.place[term[own]], to[rows(a, b)]
+            dense = column >= 0
+            at = row[dense]
+            self.tables[at // BLOCK, column[dense], at % BLOCK] = weight[own][dense]
+            rare = term[own][~dense]
+            by_term = np.argsort(rare, kind="stable")
+            rare = rare[by_term]
+            first = np.flatnonzero(np.r_[True, rare[1:] != rare[:-1]]) if len(rare) else np.zeros(0, np.int64)
+            each = np.diff(np.r_[first, len(rare)])
+            at = np.arange(len(rare)) + np.repeat(free[rare[first]] - first, each)
+            free[rare[first]] += each
+            self.row[at], self.weight[at] = row[~dense][by_term], weight[own][~dense][by_term]
         self.largest = np.ascontiguousarray(self.tables.max(2).T)
-        term, row, weight = term[~dense], to[row[~dense]], weight[~dense]
-        by_term = np.argsort(term, kind="stable")
-        self.row, self.weight = row[by_term], weight[by_term]
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=terms))))
 
     def nearest(self, query: dict[int, float], k: int) -> Vector:
         """Places and cosines of the k nearest examples with a term in common; ties to the smaller id."""
@@ -209,9 +231,14 @@ class Model:
     @cached_property
     def index(self) -> Index:
         own = self.examples
-        weight = (1 + np.log(own.counts.astype(np.float64))) * self.idf[own.terms]
-        row = np.repeat(np.arange(len(own.ids)), own.sizes)
-        weight /= np.sqrt(np.bincount(row, weight * weight, len(own.ids)))[row]
+        weight = np.empty(len(own.terms))
+        ends = np.cumsum(own.sizes)
+        for a in range(0, len(own.ids), AT_ONCE):
+            sizes = own.sizes[a : a + AT_ONCE]
+            part = slice(int(ends[a - 1]) if a else 0, int(ends[a + len(sizes) - 1]))
+            weight[part] = (1 + np.log(own.counts[part].astype(np.float64))) * self.idf[own.terms[part]]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            weight[part] /= np.sqrt(np.bincount(row, weight[part] * weight[part], len(sizes)))[row]
         return Index.of(own.ids, own.labels, own.sizes, own.terms, weight, max(1, len(self.idf)))
 
     @cached_property

@@ -4,6 +4,7 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -223,3 +224,19 @@ def test_wrapped_and_double_notices(spark):
     frame = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.families for r in licenses.license_scan(frame).collect()}
     assert got == {n: want for n, (_, want) in enumerate(rows)}
+
+
+def test_memory_of_the_toxicity_index():
+    """Making an index takes a small part more than the index; copies of all weights would take several times as much."""
+    rng = np.random.default_rng(3)
+    own = [np.unique((20_000 * rng.random(300) ** 4).astype(np.int32)) for _ in range(4_000)]
+    sizes, terms = np.array([len(t) for t in own]), np.concatenate(own)
+    examples = toxicity.Examples(np.arange(4_000), rng.integers(0, 2, 4_000), sizes, terms, rng.integers(1, 9, len(terms)).astype(np.uint16))
+    model = toxicity.Model({}, np.ones(20_000), examples, (1.0, 1.0), 0.5, 0.5)
+    tracemalloc.start()
+    index = model.index
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    kept = sum(getattr(index, name).nbytes for name in ("tables", "row", "weight", "starts"))
+    assert most < kept + 32 * len(terms), (most, kept, len(terms))
+    assert (np.diff(index.row)[np.setdiff1d(np.arange(len(index.row) - 1), index.starts[1:] - 1)] != 0).all()
