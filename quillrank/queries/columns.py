@@ -251,7 +251,7 @@ SELECT concat(a, '^', b) AS name, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total
 def cross_pairs(spark: SparkSession, sf: str) -> DataFrame:
     left = encode.group([encode.amount(c, F.col(c)) for c in NUMBERS])
     right = encode.group([encode.token(f"{c}_", F.col(c)) for c in TEXTS])
-    pairs = view(spark, sf, "clicks").select(F.explode(encode.interact(left, right)).alias("p"))
+    pairs = encode.interact_rows(view(spark, sf, "clicks").select(left.alias("left"), right.alias("right")), "left", "right")
     return pairs.groupBy(F.col("p.name").alias("name")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("p.value").alias("total")
     )
