@@ -209,23 +209,36 @@ def featurize_rows(df: DataFrame, rule: Callable[[dict[str, Any]], dict[str, Any
     if labeled:
         schema = schema.add("label", "double")
     arrow = to_arrow_schema(schema)
-
-    def feature(given: Any) -> dict[str, Any] | None:
-        name, value = (given, 1.0) if isinstance(given, str) else given or (None, None)
-        return None if name is None or value is None else {"name": name, "value": float(value)}
+    names, inputs = list(keep), df.columns
+
+    def column(lists: list[list], kind: pa.DataType) -> pa.Array:
+        """The features of all rows one after the other, cut into rows again by Arrow."""
+        ends, name, value = [0], [], []
+        for given in lists:
+            for f in given:
+                n, v = (f, 1.0) if isinstance(f, str) else f or (None, None)
+                if n is not None and v is not None:
+                    name.append(n)
+                    value.append(float(v))
+            ends.append(len(name))
+        fields = pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(value, pa.float64())], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields, type=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                made = rule(row)
-                if made is not None:
-                    out = {c: row[c] for c in keep}
-                    out |= {g: [f for f in map(feature, made.get(g) or ()) if f] for g in groups}
-                    if labeled:
-                        out["label"] = 1.0 if made.get("label") is not None and float(made["label"]) == 1 else 0.0
-                    rows.append(out)
-            yield pa.RecordBatch.from_pylist(rows, arrow)
+            chosen, made = [], []
+            # A row is a dictionary only while the rule looks at it.
+            for n, values in enumerate(zip(*(c.to_pylist() for c in batch.columns)) if inputs else ((),) * batch.num_rows):
+                found = rule(dict(zip(inputs, values)))
+                if found is not None:
+                    chosen.append(n)
+                    made.append(found)
+            left = batch if len(made) == batch.num_rows else batch.take(pa.array(chosen, pa.int64()))
+            out = [left.column(inputs.index(c)).cast(arrow.field(c).type) for c in names]
+            out += [column([m.get(g) or () for m in made], arrow.field(g).type) for g in groups]
+            if labeled:
+                out.append(pa.array([1.0 if m.get("label") is not None and float(m["label"]) == 1 else 0.0 for m in made], pa.float64()))
+            yield pa.RecordBatch.from_arrays(out, schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -18,3 +18,18 @@ def test_products_are_rows_at_once(spark):
     want = rows.select("k", F.explode(encode.interact(F.col("u"), F.col("v"))).alias("p"))
     got = encode.interact_rows(rows, "u", "v")
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
+
+
+def test_rule_rows(spark):
+    rows = spark.createDataFrame([(1, "a", 2.5), (2, None, None), (3, "", 1.0), (4, "skip", 0.0), (1, "a", 2.5)], "k long, t string, x double")
+
+    def rule(row):
+        if row["t"] == "skip":
+            return None
+        return {"g": [row["t"], ("x", row["x"]), None, (None, 1.0), ("n", 7)], "h": None if row["k"] == 3 else ["only"], "label": row["x"] and int(row["x"] == 1)}
+
+    got = sorted(map(tuple, learn.featurize_rows(rows, rule, ["g", "h"], keep=["k"]).collect()))
+    first = (1, [("a", 1.0), ("x", 2.5), ("n", 7.0)], [("only", 1.0)], 0.0)
+    assert got == [first, first, (2, [("n", 7.0)], [("only", 1.0)], 0.0), (3, [("", 1.0), ("x", 1.0), ("n", 7.0)], [], 1.0)]
+    unlabeled = learn.featurize_rows(rows.where("k = 4"), rule, ["g", "h"], labeled=False)
+    assert unlabeled.columns == ["g", "h"] and unlabeled.count() == 0
