@@ -86,7 +86,7 @@ FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
 
 
 # Tables whose rows take real work; their scans are spread over all task slots.
-SPREAD = {"lineitem": ("l_orderkey", "l_partkey"), "documents": ("doc_id",)}
+SPREAD = {"lineitem": ("l_orderkey", "l_partkey"), "documents": ("doc_id",), "customer": ("c_custkey",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,6 +10,11 @@ from quillrank.queries import load
 SF = "/root/testdata/sf0.001"
 
 
+def test_customers_use_all_slots(spark):
+    for name in ("customer", "passengers"):
+        assert view(spark, SF, name).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_products_are_rows_at_once(spark):
     assert "flatten" not in _plan(load()[0]["cross_pairs"](spark, SF))
     feature = "array<struct<name:string,value:double>>"
