@@ -37,7 +37,8 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: int =
 
 
 def join_lookup(
-    fact: DataFrame, lookup: DataFrame, key: str, how: str = "inner", rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS
+    fact: DataFrame, lookup: DataFrame, key: str, how: str = "inner", rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large frame to a lookup that is unique on ``key`` (inner or left).
 
@@ -45,10 +46,12 @@ def join_lookup(
     more than ``hot_rows`` rows are found by a pre-aggregated count. Their rows are dealt out by a
     hash of the whole row, and the lookup's row is copied for each share, so that the join
     stays one shuffle in which no task gets a whole hot key. Null keys match nothing and are dealt out too.
+    Where ``fact`` is a join itself, give the table it comes from as ``counted``, so that the
+    join isn't worked out a second time for that count; it has to hold no fewer rows of any key.
     """
     if fits_broadcast(lookup, rows):
         return fact.join(F.broadcast(lookup), key, how)
-    hot = pin(hot_keys(fact, key, hot_rows), "hot")
+    hot = pin(hot_keys(fact if counted is None else counted, key, hot_rows), "hot")
     if hot.isEmpty():
         return fact.filter(F.col(key).isNotNull()).join(lookup, key, how) if how == "inner" else fact.join(lookup, key, how)
     # The hot keys are few: each stands for ``hot_rows`` rows.

@@ -44,7 +44,7 @@ class KeyedModel:
         users = self.users.select(F.col(self.user).alias("__user"), F.col("number").alias("__u"))
         items = self.items.select(F.col(self.item).alias("__item"), F.col("number").alias("__i"))
         rows = rows.withColumnsRenamed({self.user: "__user", self.item: "__item"})
-        rows = join_lookup(join_lookup(rows, users, "__user", how), items, "__item", how)
+        rows = join_lookup(join_lookup(rows, users, "__user", how), items, "__item", how, counted=rows)
         number = lambda c: F.coalesce(c, F.lit(-1)).cast("int")
         return rows.withColumns({"user_id": number("__u"), "item_id": number("__i")}).drop("__u", "__i")
 

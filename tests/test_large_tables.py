@@ -38,3 +38,16 @@ def test_rule_rows(spark):
     assert got == [first, first, (2, [("n", 7.0)], [("only", 1.0)], 0.0), (3, [("", 1.0), ("x", 1.0), ("n", 7.0)], [], 1.0)]
     unlabeled = learn.featurize_rows(rows.where("k = 4"), rule, ["g", "h"], labeled=False)
     assert unlabeled.columns == ["g", "h"] and unlabeled.count() == 0
+
+
+def test_a_second_lookup_counts_the_plain_table(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df, *a: False)
+    monkeypatch.setattr(joins, "hot_keys", lambda df, *a, f=joins.hot_keys: counted.append(_plan(df)) or f(df, *a))
+    rows = spark.createDataFrame([("u", "i", 1), ("v", "j", 2), ("x", "i", 3), ("u", "q", 4)], "user_id string, item_id string, rating int")
+    users, items = (spark.createDataFrame(given, f"{c}_id string, number int") for given, c in (([("u", 0), ("v", 1)], "user"), ([("i", 0), ("j", 1)], "item")))
+    model = rating_ids.KeyedModel(None, users, items)
+    assert sorted(map(tuple, model.numbered(rows).select("user_id", "item_id", "rating").collect())) == [(0, 0, 1), (1, 1, 2)]
+    left = model.numbered(rows, "left").select("user_id", "item_id", "rating").collect()
+    assert sorted(map(tuple, left)) == [(-1, 0, 3), (0, -1, 4), (0, 0, 1), (1, 1, 2)]
+    assert len(counted) == 4 and not any("Join" in plan for plan in counted)
