@@ -123,6 +123,9 @@ def narrowed(tried: Sequence, best: float) -> list:
     return [v for v in _between(low, high) if v not in tried]
 
 
+# Rows that a task of a fit of low-rank interactions reads, about.
+FM_ROWS = 500_000
+
 # Numbers of a dense block of a hidden-layer fit.
 MLP_BLOCK = 1 << 20
 
@@ -156,8 +159,14 @@ def fit_mlp(df: DataFrame, hidden: int, inputs: int, iterations: int = 50, seed:
 
 def fit_fm(df: DataFrame, factors: int = 7, iterations: int = 50, step: float = 0.05, reg: float = 0.0,
            classify: bool = False, seed: int = 7, features: str = "features", label: str = "label") -> Model:
-    """Low-rank interactions of all slots with ``factors`` factors."""
+    """Low-rank interactions of all slots with ``factors`` factors.
+
+    The fit keeps its rows as objects, several times as large as in a written table; a task reads at most about ``FM_ROWS`` of them.
+    """
     kind = FMClassifier if classify else FMRegressor
+    parts = -(-df.count() // FM_ROWS)
+    if parts > df.rdd.getNumPartitions():
+        df = df.repartition(parts)
     return kind(featuresCol=features, labelCol=label, factorSize=factors, maxIter=iterations,
                 stepSize=step, regParam=reg, seed=seed).fit(df)
 

@@ -10,6 +10,10 @@ from quillrank.queries import load
 SF = "/root/testdata/sf0.001"
 
 
+def _plan(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
 def test_customers_use_all_slots(spark):
     for name in ("customer", "passengers"):
         assert view(spark, SF, name).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
@@ -51,3 +55,22 @@ def test_a_second_lookup_counts_the_plain_table(spark, monkeypatch):
     left = model.numbered(rows, "left").select("user_id", "item_id", "rating").collect()
     assert sorted(map(tuple, left)) == [(-1, 0, 3), (0, -1, 4), (0, 0, 1), (1, 1, 2)]
     assert len(counted) == 4 and not any("Join" in plan for plan in counted)
+
+
+def test_a_low_rank_fit_reads_few_rows_a_task(spark, monkeypatch):
+    parts = []
+
+    class Fit:
+        def __init__(self, **given):
+            pass
+
+        def fit(self, df):
+            parts.append((df.rdd.getNumPartitions(), df.count()))
+
+    monkeypatch.setattr(learn, "FMRegressor", Fit)
+    monkeypatch.setattr(learn, "FM_ROWS", 100, raising=False)
+    rows = spark.range(1_000, numPartitions=2)
+    learn.fit_fm(rows)
+    monkeypatch.setattr(learn, "FM_ROWS", 10_000)
+    learn.fit_fm(rows)
+    assert parts == [(10, 1_000), (2, 1_000)]
