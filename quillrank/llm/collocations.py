@@ -16,6 +16,8 @@ from quillrank.session import pin
 
 #: Bytes of text of a shard, about. A shard ends at the end of a document.
 SHARD_BYTES = 1 << 24
+#: Bytes of text that are cut into words at a time, about.
+SLICE_BYTES = 1 << 21
 #: Longest phrase, least count, share of a phrase's count from which a longer phrase stands for it, in hundredths.
 WORDS, LEAST, COVERED = 4, 30, 80
 #: Scores are shares of this.
@@ -39,52 +41,87 @@ MAPPED[9] = 32
 
 
 def symbols(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Words of all texts as numbers from 1 with a 0 after each piece, and the words by number."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    """Words of all texts as numbers from 1 with a 0 after each piece, and the words by number.
+
+    Texts are cut into words by slices of about ``SLICE_BYTES``; what stays of a slice are numbers and its distinct words.
+    """
+    texts = texts.cast(pa.large_string())
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
+    coded, sizes, start = [], [], 0
+    while start < len(texts):
+        done = int(ends[start - 1]) if start else 0
+        stop = int(np.searchsorted(ends, done + SLICE_BYTES)) + 1
+        words, per_piece = _words(texts.slice(start, stop - start))
+        coded.append(words.dictionary_encode())
+        sizes.append(per_piece)
+        start = stop
+    if not coded:
+        return np.zeros(0, np.int32), pa.array([], pa.large_string())
+    coded = pa.chunked_array(coded).unify_dictionaries()
+    parts = []
+    for chunk, per_piece in zip(coded.chunks, sizes):
+        ids = np.zeros(len(chunk) + len(per_piece), np.int32)
+        is_word = np.ones(len(ids), bool)
+        is_word[np.cumsum(per_piece + 1) - 1] = False
+        ids[is_word] = np.asarray(chunk.indices, dtype=np.int32) + 1
+        parts.append(ids)
+    return np.concatenate(parts), coded.chunk(0).dictionary
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of some texts in order, and how many of them each piece has that has any."""
+    texts = pc.fill_null(texts, "")
     _, offsets, data = texts.buffers()
-    mapped = MAPPED[np.frombuffer(data, np.uint8)] if data is not None and data.size else np.zeros(0, np.uint8)
-    texts = pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer(mapped), offset=texts.offset)
-    pieces = pc.split_pattern(texts, "\n").flatten()
-    split = pc.split_pattern(pieces, " ")
+    first, last = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)[[0, -1]]
+    mapped = MAPPED[np.frombuffer(data, np.uint8, last - first, first)] if last > first else np.zeros(0, np.uint8)
+    offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8) - first
+    texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(mapped))
+    split = pc.split_pattern(pc.split_pattern(texts, "\n").flatten(), " ")
     words = split.flatten()
-    real = np.asarray(pc.not_equal(words, ""))
-    per_piece = np.add.reduceat(np.r_[real, False].astype(np.int64), np.asarray(split.offsets)[:-1]) if len(split) else np.zeros(0, np.int64)
-    per_piece = per_piece[per_piece > 0]
-    coded = words.filter(pa.array(real)).dictionary_encode()
-    ids = np.zeros(int(per_piece.sum()) + len(per_piece), np.int32)
-    is_word = np.ones(len(ids), bool)
-    is_word[np.cumsum(per_piece + 1) - 1] = False
-    ids[is_word] = np.asarray(coded.indices, dtype=np.int32) + 1
-    return ids, coded.dictionary
+    real = pc.not_equal(words, "")
+    per_piece = np.add.reduceat(np.r_[np.asarray(real), False].astype(np.int64), np.asarray(split.offsets)[:-1]) if len(split) else np.zeros(0, np.int64)
+    return words.filter(real), per_piece[per_piece > 0]
 
 
 def suffix_array(ids: np.ndarray) -> np.ndarray:
-    """Places of all suffixes in order. Every 0 is a symbol of its own, before all words, earlier ones first."""
+    """Places of all suffixes in order. Every 0 is a symbol of its own, before all words, earlier ones first.
+
+    Places and ranks have 32 bits, as a row of the index has at most ``ROW_BITS``.
+    """
     n = len(ids)
+    if n >> ROW_BITS:
+        raise ValueError("too many words in one shard")
     ends = int((ids == 0).sum())
-    rank = ids.astype(np.int64) + ends
-    rank[ids == 0] = np.arange(ends)
+    rank = ids.astype(np.int32) + np.int32(ends)
+    rank[ids == 0] = np.arange(ends, dtype=np.int32)
     # Ranks of one symbol are made ranks of two, four, ...; only suffixes that still tie are sorted again.
-    order = np.argsort(rank, kind="stable")
-    rank = _ranks(rank[order], order, np.zeros(n, np.int64), np.arange(n))
-    length, tied = 1, _tied(rank, order, np.arange(n))
+    order = np.argsort(rank, kind="stable").astype(np.int32)
+    tied = np.arange(n, dtype=np.int32)
+    _rank(rank[order], order, rank, tied)
+    length, tied = 1, _tied(rank, order, tied)
     while len(tied):
         places = order[tied]
-        following = np.where(places + length < n, rank[np.minimum(places + length, n - 1)], -1)
-        key = rank[places] * (n + 1) + following + 1
+        key = rank[places].astype(np.int64)
+        key *= n + 1
+        inside = places < n - length
+        key[inside] += rank[places[inside] + np.int32(length)]
+        key[inside] += 1
+        del inside
         by = np.argsort(key, kind="stable")
+        key = key[by]
         order[tied] = places[by]
-        rank = _ranks(key[by], order[tied], rank, tied)
+        del by, places
+        _rank(key, order[tied], rank, tied)
+        del key
         tied = _tied(rank, order, tied)
         length *= 2
     return order
 
 
-def _ranks(keys: np.ndarray, places: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rank of a suffix: the row of the first one with its key."""
-    fresh = np.r_[True, keys[1:] != keys[:-1]]
-    rank[places] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))]
-    return rank
+def _rank(keys: np.ndarray, places: np.ndarray, rank: np.ndarray, at: np.ndarray) -> None:
+    """Put in the rank of each suffix: the row of the first one with its key."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    rank[places] = np.repeat(at[first], np.diff(np.r_[first, len(keys)]))
 
 
 def _tied(rank: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:

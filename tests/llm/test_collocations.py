@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillrank.llm import collocations
@@ -96,3 +98,22 @@ def test_scores_of_counts_beyond_64_bits(spark):
 def test_no_documents(spark):
     assert collocations.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
     assert collocations.collocations(spark.createDataFrame([(None, None)], "text string, lang string")).count() == 0
+
+
+def test_memory_of_an_index():
+    """Bytes for each word and each byte of text, beside the results, stay below bounds that 64-bit copies of all words pass."""
+    ids = np.random.default_rng(5).integers(0, 3_000, 300_000).astype(np.int32)
+    tracemalloc.start()
+    collocations.suffix_array(ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * len(ids)
+
+
+def test_words_by_slices(monkeypatch):
+    texts = ["A b. c", None, "", "b\tA,, x  y", " . ", "é c!A"] * 5
+    whole = collocations.symbols(pa.array(texts))
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 3)
+    ids, words = collocations.symbols(pa.array(texts))
+    assert ids.tolist() == whole[0].tolist() and words.to_pylist() == whole[1].to_pylist() == ["a", "b", "c", "x", "y", "é"]
+    assert ids[:10].tolist() == [1, 2, 0, 3, 0, 2, 1, 0, 4, 5]
