@@ -74,3 +74,10 @@ def test_a_low_rank_fit_reads_few_rows_a_task(spark, monkeypatch):
     monkeypatch.setattr(learn, "FM_ROWS", 10_000)
     learn.fit_fm(rows)
     assert parts == [(10, 1_000), (2, 1_000)]
+
+
+def test_tiles_work_out_the_join_once(spark):
+    tiles = load()[0]["union_tiles"](spark, SF)
+    assert "Join" not in _plan(tiles)
+    want = view(spark, SF, "ratings").selectExpr("user_id", "item_id", "rating", "order_key", "pmod(user_id, 4) AS tile")
+    assert sorted(tiles.collect()) == sorted(want.collect())
