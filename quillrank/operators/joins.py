@@ -69,9 +69,15 @@ def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
     return counts.select(key, F.least(F.ceil(F.col("__n") / rows), F.lit(MOST_COPIES)).cast("int").alias("__copies"))
 
 
-def drop_known(candidates: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Candidates whose key is not in ``known`` (left anti join on the whole key)."""
-    return candidates.join(known.select(*keys).distinct(), list(keys), "left_anti")
+def drop_known(candidates: DataFrame, known: DataFrame, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """Candidates whose key is not in ``known`` (left anti join on the whole key).
+
+    With ``tasks`` both sides are dealt out to so many tasks by the key (see :func:`~quillrank.session.tasks_for`).
+    """
+    known = known.select(*keys)
+    if tasks:
+        candidates, known = candidates.repartition(tasks, *keys), known.repartition(tasks, *keys)
+    return candidates.join(known.distinct(), list(keys), "left_anti")
 
 
 def known_only(test: DataFrame, train: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from quillrank.operators import categories, evaluate, impute, joins, ordered, re
 from quillrank.plans.fixtures import view
 from quillrank.queries.registry import query
 from quillrank.queries.scans import BASELINE_RECS, NUMBERS, TEXTS, WIDE_FIELDS, baseline_recs, wide_fields
-from quillrank.session import scratch_path
+from quillrank.session import pin, scratch_path, tasks_for
 from quillrank.sources import writers
 
 LINE_KEY = ["order_key", "line_no", "item_id", "supp_key"]
@@ -126,11 +126,14 @@ SELECT DISTINCT r.user_id, r.item_id + 1 AS item_id FROM {ratings} r JOIN {part}
 WHERE NOT EXISTS (SELECT 1 FROM {ratings} k WHERE k.user_id = r.user_id AND k.item_id = r.item_id + 1)""")
 def unseen_pairs(spark: SparkSession, sf: str) -> DataFrame:
     # Candidates: the item next in the catalogue to each rated one.
-    ratings = view(spark, sf, "ratings").select("user_id", "item_id")
-    following = ratings.select("user_id", (F.col("item_id") + 1).alias("item_id")).distinct()
+    pair = ["user_id", "item_id"]
+    ratings = pin(view(spark, sf, "ratings").select(*pair), "ratings")
+    tasks = tasks_for(spark, ratings.count())
+    # The next items of distinct pairs are distinct too.
+    rated = pin(ratings.repartition(tasks, *pair).distinct(), "rated")
+    following = rated.select("user_id", (F.col("item_id") + 1).alias("item_id"))
     catalogue = view(spark, sf, "part").select(F.col("p_partkey").alias("item_id"))
-    return joins.drop_known(joins.join_lookup(following, catalogue, "item_id"), ratings,
-                            ["user_id", "item_id"])
+    return joins.drop_known(joins.join_lookup(following, catalogue, "item_id"), rated, pair, tasks)
 
 
 @query("""

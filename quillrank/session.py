@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows that a task sorts or gathers at a time.
+TASK_ROWS = 500_000
+
 _local_dirs: list[tempfile.TemporaryDirectory] = []
 
 
@@ -79,6 +82,14 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(slots, *keys) if scan.rdd.getNumPartitions() < slots else scan
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """Tasks for ``rows`` rows that sort or gather them: ``each`` rows a task at most on average, no fewer tasks than slots.
+
+    Adaptive execution makes few tasks of a shuffle whose bytes are few; their rows in memory are many times as large.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's part of the shared folder once its results are written."""
     folder = spark.sparkContext.getCheckpointDir()

@@ -6,6 +6,7 @@ from quillrank.functions import encode
 from quillrank.operators import joins, learn, rating_ids
 from quillrank.plans.fixtures import view
 from quillrank.queries import load
+from quillrank.session import tasks_for
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,15 @@ def test_tiles_work_out_the_join_once(spark):
     assert "Join" not in _plan(tiles)
     want = view(spark, SF, "ratings").selectExpr("user_id", "item_id", "rating", "order_key", "pmod(user_id, 4) AS tile")
     assert sorted(tiles.collect()) == sorted(want.collect())
+
+
+def test_unseen_pairs_come_from_one_join_in_many_tasks(spark):
+    pairs = load()[0]["unseen_pairs"](spark, SF)
+    assert not [f for f in pairs.inputFiles() if "lineitem" in f]
+    assert tasks_for(spark, 36_000_000) == 72 and tasks_for(spark, 3) == spark.sparkContext.defaultParallelism
+    some = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (None, 1), (2, None)], "u long, i long")
+    known = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 1)], "u long, i long")
+    key = lambda r: tuple((v is not None, v) for v in r)
+    want = [(None, 1), (1, 2), (2, None), (2, 1)]
+    for tasks in (None, 3):
+        assert sorted(map(tuple, joins.drop_known(some, known, ["u", "i"], tasks).collect()), key=key) == want
