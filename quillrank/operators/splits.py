@@ -12,6 +12,8 @@ from quillrank.operators.ordered import Order, number_rows, seeded_hash, shuffle
 
 # Places of the hash space; shares are cut to one of so many.
 _PLACES = 2**32
+# Hexadecimal digits of a hash that rows are counted by.
+_DIGITS = 4
 
 
 def hash_place(key: Column, seed: int = 0) -> Column:
@@ -49,11 +51,26 @@ def three_way(df: DataFrame, key: str, test: float = 0.1, validation: float = 0.
 
 def exact_split(df: DataFrame, key: str | Column, share: float, seed: int = 0, name: str = "split"
                 ) -> DataFrame:
-    """Shuffle by hash and name exactly ``ceil(share * rows)`` rows ``train``, the others ``test``."""
-    shuffled = shuffle_rows(df, key, seed, name="__n")
-    take = math.ceil(round(share * df.count(), 6))
-    part = F.when(F.col("__n") <= take, "train").otherwise("test")
-    return shuffled.withColumn(name, part).drop("__n")
+    """Shuffle by hash and name exactly ``ceil(share * rows)`` rows ``train``, the others ``test``.
+
+    Rows are counted by the first digits of their hash; only those with the digits
+    at which the share is reached are sorted. ``df`` is read three times: give a scan or a pinned table.
+    """
+    key = F.col(key) if isinstance(key, str) else key
+    # A null key has no hash and comes first, as in a sort.
+    digits = F.coalesce(F.substring(seeded_hash(key, seed), 1, _DIGITS), F.lit(""))
+    # At most 16 ** _DIGITS rows, and one for null keys.
+    counts = sorted(df.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
+    take = math.ceil(round(share * sum(n for _, n in counts), 6))
+    before, border = 0, None
+    for border, n in counts:
+        if before + n >= take:
+            break
+        before += n
+    clear = df.filter(digits != F.lit(border)).withColumn(name, F.when(digits < F.lit(border), "train").otherwise("test"))
+    shuffled = shuffle_rows(df.filter(digits == F.lit(border)), key, seed, name="__n")
+    part = F.when(F.col("__n") <= take - before, "train").otherwise("test")
+    return clear.unionByName(shuffled.withColumn(name, part).drop("__n"))
 
 
 def ordered_split(df: DataFrame, order: Order, head: int, tail: int, name: str = "split") -> DataFrame:

@@ -117,6 +117,20 @@ def test_auc_counts_pairs(spark, rows):
     assert flipped == pytest.approx(1 - auc)
 
 
+def test_exact_split_sorts_few_rows(spark, monkeypatch):
+    rows = [(k, n) for n, k in enumerate([*map(str, range(300)), *["hot"] * 40, None, None])]
+    df = spark.createDataFrame(rows, "k string, n long")
+    numbered = ordered.shuffle_rows(df, "k", 5, name="rn").collect()
+    sizes, plain = [], ordered.shuffle_rows
+    monkeypatch.setattr(splits, "shuffle_rows", lambda d, *a, **k: (sizes.append(d.count()), plain(d, *a, **k))[1])
+    hot = min(r.rn for r in numbered if r.k == "hot")
+    for take in (0, 1, hot + 7, 342):
+        got = {r.n: r.split for r in splits.exact_split(df, "k", take / 342, 5).collect()}
+        assert got == {r.n: "train" if r.rn <= take else "test" for r in numbered}
+    assert max(sizes) <= 42
+    assert splits.exact_split(df.limit(0), "k", 0.5).collect() == []
+
+
 def test_splits_are_disjoint_complete_and_exact(spark):
     df = spark.range(1000)
     train, test = splits.random_split(df, "id", 0.8)
