@@ -92,8 +92,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    return toxicity.rated(_documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 @query

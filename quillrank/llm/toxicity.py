@@ -7,14 +7,15 @@ factor, which neither order nor votes depend on, so the vocabulary is that of th
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +26,17 @@ from quillrank.session import pin
 PER_CLASS = 8_000
 #: Beginnings of words that are terms beside the words; sizes of the character n-grams where words have no spaces.
 BEGINNINGS, GRAMS = (4, 5), (2, 3)
-#: Nearest examples that vote, examples of an index block, votes that the share of a class counts for.
+#: Nearest examples that vote, examples of a block, votes that the share of a class counts for.
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.5
 #: Terms in at least one of so many examples have a dense row, the commonest ones, at most so many.
-ONE_IN, DENSE = 12, 512
-#: Documents searched at a time, blocks that give the first k-th best cosine, words whose terms a worker keeps.
-TOGETHER, FIRST, REMEMBERED = 256, 4, 200_000
+ONE_IN, DENSE = 16, 1024
+#: Counts from 1 on that a posting itself tells.
+FEW = 4
+#: Documents searched at a time, words whose terms a worker keeps.
+TOGETHER, REMEMBERED = 128, 200_000
 #: Examples whose terms are worked on at a time when an index is made.
 AT_ONCE = 500
+SCORED = "doc_id long, score double, predicted int, evidence array<long>"
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
@@ -57,69 +61,84 @@ Vector = tuple[np.ndarray, np.ndarray]
 
 
 class Index:
-    """Examples in blocks: a dense row for each common term, postings of the others, each common term's largest weights.
+    """Examples with a dense row for each common term in single precision and postings of the others.
 
-    Rows are (id, label, weight by term); ``Index.of`` takes the same as arrays.
+    A term's weight in an example is idf * (1 + excess) * scale, with one idf a term and one
+    scale an example. Terms that stand once in an example have no excess, those that stand
+    twice or three times one of a few. So a posting is one number, its example's place and
+    which of the ``few`` excesses it has; another list has those with other excesses.
+    Rows are (id, label, weight by term); ``Index.of`` takes counts as arrays.
     """
 
     def __init__(self, rows: list[tuple[int, int, dict[int, float]]], terms: int):
         sizes = [len(r[2]) for r in rows]
         term = np.fromiter((t for r in rows for t in r[2]), np.int64, sum(sizes))
         weight = np.fromiter((w for r in rows for w in r[2].values()), np.float64, sum(sizes))
-        self._build(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), sizes, term, weight, terms)
+        ids, labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        self._build(ids, labels, sizes, term, weight, np.ones(terms), np.ones(len(rows)), lambda w: w - 1)
 
     @classmethod
-    def of(cls, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> Index:
+    def of(cls, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> Index:
+        """The index of unit vectors with the weights idf * (1 + log(count))."""
+        excess = lambda n: np.log(n.astype(np.float64))
+        scale = np.ones(len(ids))
+        for a, b, own in _some(np.cumsum(np.asarray(sizes, np.int64))):
+            weight = (1 + excess(count[own])) * idf[term[own]]
+            scale[a:b] = 1 / np.sqrt(np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), weight * weight, b - a))
         index = cls.__new__(cls)
-        index._build(ids, labels, sizes, term, weight, terms)
+        index._build(ids, labels, sizes, term, count, idf, scale, excess)
         return index
 
-    def _build(self, ids, labels, sizes, term, weight, terms: int) -> None:
+    def _build(self, ids, labels, sizes, term, value, idf, scale, excess) -> None:
         # Worked out for some examples after the other: each worker has an index, and copies of all weights would be larger than it.
-        ends = np.cumsum(np.asarray(sizes, np.int64))
-        some = [(a, min(a + AT_ONCE, len(ids))) for a in range(0, len(ids), AT_ONCE)]
-        some = [(a, b, slice(int(ends[a - 1]) if a else 0, int(ends[b - 1]))) for a, b in some]
+        some, terms = _some(np.cumsum(np.asarray(sizes, np.int64))), len(idf)
         rows = lambda a, b: np.repeat(np.arange(a, b, dtype=np.int32), np.asarray(sizes[a:b]))
-        number = np.zeros(terms, np.int64)
+        self.few = excess(np.arange(1, 1 + FEW))
+        number, other = np.zeros(terms, np.int64), np.zeros(terms, np.int64)
         for _, _, own in some:
             number += np.bincount(term[own], minlength=terms)
+            other += np.bincount(term[own][~np.isin(excess(value[own]), self.few)], minlength=terms)
         common = np.argsort(-number, kind="stable")[:DENSE]
         common = common[(number[common] > 0) & (number[common] * ONE_IN >= len(ids))]
-        self.place = np.full(terms, -1, np.int32)
+        self.place = np.full(terms, -1, np.int16)
         self.place[common] = np.arange(len(common))
-        # Alike examples stand together, so that few blocks have a large bound.
-        strongest = np.zeros(len(ids), np.int64)
-        for a, b, own in some:
-            column = self.place[term[own]]
-            dense = column >= 0
-            at, column, value = rows(a, b)[dense], column[dense], weight[own][dense]
-            by_weight = np.lexsort((-column, value, at))
-            strongest[at[by_weight]] = column[by_weight]
-        order = np.lexsort((ids, strongest, labels))
-        self.ids, self.labels = ids[order], labels[order]
+        order = np.lexsort((ids, labels))
+        self.ids, self.labels, self.idf = ids[order], labels[order], idf
         self.blocks = max(1, -(-len(ids) // BLOCK))
+        self.room = self.blocks * BLOCK
+        self.scale = np.ones(self.room)
+        self.scale[: len(ids)] = scale[order]
         to = np.empty(len(ids), np.int32)
         to[order] = np.arange(len(ids))
-        # Postings by term, of one term in the order of the examples.
+        # Postings by term, of one term in the order of the examples; and the common terms of each example.
+        each = np.bincount(np.repeat(to, sizes), self.place[term] >= 0, len(ids)).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         number[common] = 0
-        self.starts = np.concatenate(([0], np.cumsum(number)))
-        self.row, self.weight = np.empty(self.starts[-1], np.int32), np.empty(self.starts[-1])
-        free = self.starts[:-1].copy()
-        self.tables = np.zeros((self.blocks, len(common), BLOCK))
+        number -= np.where(number > 0, other, 0)
+        other[common] = 0
+        ends = lambda n: np.concatenate(([0], np.cumsum(n))).astype(np.int32 if n.sum() < 1 << 31 else np.int64)
+        self.starts, self.starts_other, self.starts_common = ends(number), ends(other), ends(each)
+        self.row = np.empty(self.starts[-1], np.uint16 if self.room * FEW <= 1 << 16 else np.int32)
+        self.row_other, self.weight = np.empty(self.starts_other[-1], np.int32), np.empty(self.starts_other[-1])
+        self.common, self.common_weight = np.empty(self.starts_common[-1], np.int16), np.empty(self.starts_common[-1])
+        free, free_other = self.starts[:-1].copy(), self.starts_other[:-1].copy()
+        self.tables = np.zeros((len(common), self.room), np.float32)
         for a, b, own in some:
-            column, row = self.place[term[own]], to[rows(a, b)]
+            column, row, more = self.place[term[own]], to[rows(a, b)], excess(value[own])
             dense = column >= 0
-            at = row[dense]
-            self.tables[at // BLOCK, column[dense], at % BLOCK] = weight[own][dense]
-            rare = term[own][~dense]
-            by_term = np.argsort(rare, kind="stable")
-            rare = rare[by_term]
-            first = np.flatnonzero(np.r_[True, rare[1:] != rare[:-1]]) if len(rare) else np.zeros(0, np.int64)
-            each = np.diff(np.r_[first, len(rare)])
-            at = np.arange(len(rare)) + np.repeat(free[rare[first]] - first, each)
-            free[rare[first]] += each
-            self.row[at], self.weight[at] = row[~dense][by_term], weight[own][~dense][by_term]
-        self.largest = np.ascontiguousarray(self.tables.max(2).T)
+            at, weight = row[dense], idf[term[own][dense]] * (1 + more[dense]) * self.scale[row[dense]]
+            self.tables[column[dense], at] = weight
+            by_row = np.argsort(at, kind="stable")
+            put = _next(self.starts_common[:-1].copy(), at[by_row])
+            self.common[put], self.common_weight[put] = column[dense][by_row], weight[by_row]
+            by_term = np.lexsort((row[~dense], term[own][~dense]))
+            rare, row, more = (x[~dense][by_term] for x in (term[own], row, more))
+            kind = np.full(len(rare), -1, np.int32)
+            for k, one in enumerate(self.few):
+                kind[more == one] = k
+            known = kind >= 0
+            self.row[_next(free, rare[known])] = row[known] + self.room * kind[known]
+            at = _next(free_other, rare[~known])
+            self.row_other[at], self.weight[at] = row[~known], more[~known] + 1
 
     def nearest(self, query: dict[int, float], k: int) -> Vector:
         """Places and cosines of the k nearest examples with a term in common; ties to the smaller id."""
@@ -129,78 +148,114 @@ class Index:
     def search(self, queries: list[Vector], k: int) -> list[Vector]:
         """``nearest`` of several documents.
 
-        Postings give the part of all uncommon terms. Blocks with the largest bounds
-        are then scored for a first k-th best cosine, and after them every block whose
-        bound reaches it.
+        Postings give the part of all uncommon terms, one product in single precision that
+        of all common ones. Examples whose sum comes within its rounding of the k-th best
+        get the exact part of their common terms.
         """
-        total = np.zeros((len(queries), self.blocks * BLOCK))
-        own = np.zeros((len(queries), len(self.largest)))
+        total = np.zeros((len(queries), self.room))
+        own = np.zeros((len(queries), len(self.tables)))
+        factors = 1 + self.few
         for n, (terms, weights) in enumerate(queries):
             place = self.place[terms]
-            own[n, place[place >= 0]] = weights[place >= 0]
-            terms, weights = terms[place < 0], weights[place < 0]
+            common = place >= 0
+            own[n, place[common]] = weights[common]
+            terms = terms[~common]
+            weights = weights[~common] * self.idf[terms]
             a, b = self.starts[terms], self.starts[terms + 1]
+            if len(found := _joined(self.row, a, b)):
+                total[n] = factors @ np.bincount(found, np.repeat(weights, b - a), FEW * self.room).reshape(FEW, self.room)
+            a, b = self.starts_other[terms], self.starts_other[terms + 1]
             sizes = b - a
             if sizes.any():
                 at = np.arange(sizes.sum()) + np.repeat(a - (np.cumsum(sizes) - sizes), sizes)
-                total[n] = np.bincount(self.row[at], np.repeat(weights, sizes) * self.weight[at], total.shape[1])
-        cells = total.reshape(len(queries), self.blocks, BLOCK)
-        bound = own @ self.largest + cells.max(2)
-        some = min(self.blocks, max(FIRST, -(-k // BLOCK)))
-        first = np.argpartition(-bound, some - 1, axis=1)[:, :some]
-        seen = np.zeros(bound.shape, bool)
-        np.put_along_axis(seen, first, True, 1)
-        self._add(cells, own, seen)
-        held = np.take_along_axis(cells, first[:, :, None], 1).reshape(len(queries), -1)
-        least = np.partition(held, held.shape[1] - k, axis=1)[:, held.shape[1] - k] if held.shape[1] >= k else np.zeros(len(queries))
-        more = (bound >= least[:, None] - 1e-12) & ~seen
-        self._add(cells, own, more)
-        cells[~(seen | more)] = 0
-        best = cells.max(2)
+                total[n] += np.bincount(self.row_other[at], np.repeat(weights, sizes) * self.weight[at], self.room)
+        total *= self.scale
+        about = total + own.astype(np.float32) @ self.tables
+        # The k-th largest of the blocks' largest sums is at most the k-th largest sum.
+        best = about.reshape(len(queries), self.blocks, BLOCK).max(2)
         low = np.partition(best, self.blocks - k, axis=1)[:, self.blocks - k] if self.blocks >= k else np.zeros(len(queries))
-        return [self._first(total[n], low[n], k) for n in range(len(queries))]
-
-    def _add(self, cells: np.ndarray, own: np.ndarray, chosen: np.ndarray) -> None:
-        """The common terms' part of the chosen blocks."""
-        for block in np.flatnonzero(chosen.any(0)) if own.shape[1] else ():
-            who = np.flatnonzero(chosen[:, block])
-            cells[who, block] += own[who] @ self.tables[block]
-
-    def _first(self, sums: np.ndarray, low: float, k: int) -> Vector:
-        found = np.flatnonzero((sums >= low - 1e-11) & (sums > 0))
-        score = np.minimum(sums[found], 1.0)
+        margin = 2 * (len(self.tables) + 8) * 2.0**-24
+        return [self._first(total[n], about[n], own[n], low[n] - margin, k) for n in range(len(queries))]
+
+    def _first(self, rare: np.ndarray, about: np.ndarray, own: np.ndarray, low: float, k: int) -> Vector:
+        found = np.flatnonzero((about >= low) & (about > 0))
+        a, b = self.starts_common[found], self.starts_common[found + 1]
+        products = own[_joined(self.common, a, b)] * _joined(self.common_weight, a, b)
+        score = np.minimum(rare[found] + np.bincount(np.repeat(np.arange(len(found)), b - a), products, len(found)), 1.0)
         best = np.lexsort((self.ids[found], -np.round(score, 12)))[:k]
         return found[best], score[best]
 
 
+def _some(ends: np.ndarray) -> list[tuple[int, int, slice]]:
+    """First and last of ``AT_ONCE`` examples after the other, and where their terms are."""
+    some = [(a, min(a + AT_ONCE, len(ends))) for a in range(0, len(ends), AT_ONCE)]
+    return [(a, b, slice(int(ends[a - 1]) if a else 0, int(ends[b - 1]))) for a, b in some]
+
+
+def _next(free: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Places for sorted ``terms``: the next free ones of each, which are taken."""
+    first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, np.int64)
+    each = np.diff(np.r_[first, len(terms)])
+    at = np.arange(len(terms)) + np.repeat(free[terms[first]] - first, each)
+    free[terms[first]] += each.astype(free.dtype)
+    return at
+
+
+def _joined(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` one after the other."""
+    return np.concatenate([values[:0], *[values[a:b] for a, b in zip(starts.tolist(), ends.tolist())]])
+
+
 class Known(dict):
-    """Numbers of the terms of words, worked out when a word is met and kept for ``REMEMBERED`` words."""
+    """Numbers of words; the terms of a word are worked out when it is met."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.terms, self.sizes = vocabulary, array("i"), array("i")
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
         vocabulary = self.vocabulary
-        numbers = self[word] = tuple([vocabulary[t] for t in terms_of(word) if t in vocabulary])
-        return numbers
+        found = [vocabulary[t] for t in terms_of(word) if t in vocabulary]
+        self.terms.extend(found)
+        self.sizes.append(len(found))
+        return number
 
 
 class Finder:
-    """Finds the terms of a vocabulary in texts."""
+    """Finds the terms of a vocabulary in texts; about ``REMEMBERED`` words are kept, also from task to task where it is sent to them."""
 
     def __init__(self, vocabulary: dict[str, int]):
         self.known = Known(vocabulary)
 
-    def __call__(self, text: str) -> Counter:
-        """How often each term stands in ``text``."""
-        return Counter(chain.from_iterable(map(self.known.__getitem__, WORD.findall(text.lower()))))
+    def __reduce__(self):
+        return Finder, (self.known.vocabulary,)
 
-    def distinct(self, text: str) -> set[int]:
-        """Terms that stand in ``text``."""
-        return set(chain.from_iterable(map(self.known.__getitem__, set(WORD.findall(text.lower())))))
+    def __call__(self, text: str) -> dict[int, int]:
+        """How often each term stands in ``text``."""
+        _, terms, counts = self.table([text])
+        return dict(zip(terms.tolist(), counts.tolist()))
+
+    def table(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many terms each text has, and the terms with their counts, one text's after the other's."""
+        if len(self.known) >= REMEMBERED:
+            self.known = Known(self.known.vocabulary)
+        known = self.known
+        words = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (WORD.findall(t.lower()) for t in texts)]
+        text = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        one = max(1, len(known))
+        key, number = np.unique(text * one + np.concatenate([np.zeros(0, np.int64), *words]), return_counts=True)
+        text, word = np.divmod(key, one)
+        sizes = np.array(known.sizes, np.int64)
+        starts, each = (np.cumsum(sizes) - sizes)[word], sizes[word]
+        term = np.array(known.terms, np.int64)[np.arange(each.sum()) + np.repeat(starts - (np.cumsum(each) - each), each)]
+        one = max(1, len(known.vocabulary))
+        key = np.repeat(text, each) * one + term
+        order = np.argsort(key)
+        key, number = key[order], np.repeat(number, each)[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        text, term = np.divmod(key[first], one)
+        return np.bincount(text, minlength=len(texts)), term, np.add.reduceat(number, first) if len(key) else number
 
 
 @dataclass
@@ -218,7 +273,7 @@ class Examples:
 class Model:
     """Vocabulary with the terms' weights, examples and how much a vote of each class counts.
 
-    The index is made where it is used, since it is several times as large as the counts.
+    The index is made where it is used, since it is larger than the counts.
     """
 
     vocabulary: dict[str, int]
@@ -230,47 +285,66 @@ class Model:
 
     @cached_property
     def index(self) -> Index:
-        own = self.examples
-        weight = np.empty(len(own.terms))
-        ends = np.cumsum(own.sizes)
-        for a in range(0, len(own.ids), AT_ONCE):
-            sizes = own.sizes[a : a + AT_ONCE]
-            part = slice(int(ends[a - 1]) if a else 0, int(ends[a + len(sizes) - 1]))
-            weight[part] = (1 + np.log(own.counts[part].astype(np.float64))) * self.idf[own.terms[part]]
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            weight[part] /= np.sqrt(np.bincount(row, weight[part] * weight[part], len(sizes)))[row]
-        return Index.of(own.ids, own.labels, own.sizes, own.terms, weight, max(1, len(self.idf)))
+        # A worker has no more use for the examples.
+        own, self.examples = self.examples, None
+        return Index.of(own.ids, own.labels, own.sizes, own.terms, own.counts, self.idf if len(self.idf) else np.ones(1))
 
     @cached_property
     def finder(self) -> Finder:
         return Finder(self.vocabulary)
 
-    def vectors(self, texts: list[str]) -> Iterator[Vector]:
-        """Terms and weights of unit vectors over the vocabulary."""
-        for text in texts:
-            found = self.finder(text)
-            terms = np.fromiter(found, np.int64, len(found))
-            weights = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.idf[terms]
-            yield terms, weights / np.sqrt(weights @ weights) if len(found) else weights
+    def vectors(self, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> list[Vector]:
+        """Terms and weights of unit vectors over the vocabulary, from terms as ``Finder.table`` gives them."""
+        weights = (1 + np.log(counts)) * self.idf[terms]
+        norms = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights * weights, len(sizes)))
+        weights /= np.repeat(norms, sizes)
+        ends = np.cumsum(sizes)
+        return [(terms[b - n : b], weights[b - n : b]) for n, b in zip(sizes.tolist(), ends.tolist())]
 
     def score(self, texts: list[str]) -> Iterator[tuple[float, list[int]]]:
-        """Score of each text and the ids of the examples that it rests on, nearest first.
+        """``rate`` of each text."""
+        for start in range(0, len(texts), TOGETHER):
+            yield from self.rate(*self.finder.table(texts[start : start + TOGETHER]))
+
+    def rate(self, *table: np.ndarray) -> Iterator[tuple[float, list[int]]]:
+        """Score of each document and the ids of the examples that it rests on, nearest first.
 
         A vote counts by its cosine and by how many labelled rows of its class the
         example stands for; the share of label 1 counts as ``PRIOR`` votes. Without
         any term of an example the score is the share of label 1 among examples without terms.
         """
-        for start in range(0, len(texts), TOGETHER):
-            vectors = list(self.vectors(texts[start : start + TOGETHER]))
-            for (terms, _), (at, cosine) in zip(vectors, self.index.search(vectors, NEIGHBOURS)):
-                if not len(terms):
-                    yield self.share_without, []
-                    continue
-                weight = cosine * np.take(self.votes, self.index.labels[at])
-                scale = PRIOR * (weight.mean() if len(weight) else 1.0)
-                toxic = float((weight * self.index.labels[at]).sum())
-                total = float(weight.sum()) + scale
-                yield (toxic + scale * self.share) / total, self.index.ids[at].tolist()
+        vectors = self.vectors(*table)
+        for (terms, _), (at, cosine) in zip(vectors, self.index.search(vectors, NEIGHBOURS)):
+            if not len(terms):
+                yield self.share_without, []
+                continue
+            weight = cosine * np.take(self.votes, self.index.labels[at])
+            scale = PRIOR * (weight.mean() if len(weight) else 1.0)
+            toxic = float((weight * self.index.labels[at]).sum())
+            total = float(weight.sum()) + scale
+            yield (toxic + scale * self.share) / total, self.index.ids[at].tolist()
+
+
+def packed(sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """Terms and counts of some documents in few bytes; a document's terms rise and are kept as differences, byte by byte."""
+    first = np.cumsum(sizes) - sizes
+    step = np.diff(terms, prepend=0)
+    step[first[sizes > 0]] = terms[first[sizes > 0]]
+    numbers = np.concatenate([np.array([len(sizes)], np.uint32), sizes.astype(np.uint32), step.astype(np.uint32), counts.astype(np.uint32)])
+    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, terms and counts as ``packed`` got them."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    numbers = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+    sizes = numbers[1 : 1 + numbers[0]]
+    step, counts = np.split(numbers[1 + numbers[0] :], 2)
+    # Sums run over all documents; what a document's first term adds to those before it is taken off.
+    total, first = np.cumsum(step), np.cumsum(sizes) - sizes
+    some = sizes > 0
+    before = np.concatenate(([0], total))[first[some]]
+    return sizes, total - np.repeat(before, sizes[some]), counts
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
@@ -285,6 +359,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     Labels are taken from a bounded sample, ``PER_CLASS`` rows of each class; of
     rows with one doc_id the largest label counts, null labels don't.
     """
+    return _learned(docs, labels, False)[0]
+
+
+def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score`` of ``docs`` by the model that ``fit`` learns from them; terms are found once and kept in the shared folder."""
+    model, found = _learned(docs, labels, True)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, vocabulary={}))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data in zip(batch["doc_ids"].to_pylist(), batch["found"].to_pylist()):
+                votes = list(sent.value.rate(*unpacked(data)))
+                yield _scored(ids, votes)
+
+    return _with_held_out(found.mapInArrow(work, SCORED))
+
+
+def _learned(docs: DataFrame, labels: DataFrame, keep: bool) -> tuple[Model, DataFrame]:
+    """The model of ``fit``, and ``docs`` or, to ``keep`` them, a table of its rows' ids and terms."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
@@ -318,28 +411,38 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     vocabulary = {t: n for n, t in enumerate(terms[1:])}
     # How far a term leans to label 1: 1 and more, so that no term is without weight.
     lean = np.log2(2 + n1[1:] / np.maximum(1.0, n0[1:] * (size1 / max(1, size0))))
-    sent = spark.sparkContext.broadcast(vocabulary)
+    sent = spark.sparkContext.broadcast(Finder(vocabulary))
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, tuple]]:
+        for ids, texts in pieces(batches):
+            for start in range(0, len(texts), TOGETHER):
+                yield ids[start : start + TOGETHER], sent.value.table(texts[start : start + TOGETHER])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, found in tables(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([packed(*found)])], names=["doc_ids", "found"])
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, total, seen = Finder(sent.value), np.zeros(len(sent.value), np.int64), 0
-        for _, texts in pieces(batches):
-            for text in texts:
-                found = finder.distinct(text)
-                total[np.fromiter(found, np.int64, len(found))] += 1
-            seen += len(texts)
+        total = np.zeros(size, np.int64)
+        seen = 0
+        for sizes, terms, _ in (unpacked(data) for b in batches for data in b["found"].to_pylist()) if keep else (t for _, t in tables(batches)):
+            total += np.bincount(terms, minlength=size)
+            seen += len(sizes)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], seen))], names=["term", "n"])
 
+    size = len(vocabulary)
+    every = pin(docs.mapInArrow(kept, "doc_ids array<long>, found binary"), "terms") if keep else docs
     # A row for each term of the vocabulary.
-    found = docs.mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    number = np.zeros(len(vocabulary) + 1, np.int64)
+    found = every.mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    number = np.zeros(size + 1, np.int64)
     number[found["term"].to_numpy()] = found["n"].to_numpy()
     idf = (np.log((1 + number[-1]) / (1 + number[:-1])) + 1) * lean
 
     def example(ids: list, texts: list[str], classes: list) -> dict[str, list]:
-        finder = Finder(sent.value)
-        found = [finder(text) for text in texts]
-        terms, counts = ([np.fromiter(side(f), np.int32, len(f)).tobytes() for f in found] for side in (Counter.keys, Counter.values))
+        sizes, *found = sent.value.table(texts)
+        ends = np.cumsum(sizes)
+        terms, counts = ([f[b - n : b].astype(np.int32).tobytes() for n, b in zip(sizes, ends)] for f in found)
         return {"doc_id": ids, "label": classes, "terms": terms, "counts": counts}
 
     kind = "doc_id long, label int, terms binary, counts binary"
@@ -358,7 +461,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = totals.get(1, 0) / all_rows if all_rows else 0.0
     without = [votes[c] * int(((classes == c) & ~some).sum()) for c in (0, 1)]
     share_without = without[1] / sum(without) if sum(without) else share
-    return Model(vocabulary, idf, examples, votes, share, share_without)
+    return Model(vocabulary, idf, examples, votes, share, share_without), every
+
+
+def _scored(ids: list, votes: list[tuple[float, list[int]]]) -> pa.RecordBatch:
+    columns = [pa.array(ids, pa.int64()), pa.array([s for s, _ in votes], pa.float64()), pa.array([int(s >= 0.5) for s, _ in votes], pa.int32())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([e for _, e in votes], pa.list_(pa.int64()))], names=["doc_id", "score", "predicted", "evidence"])
+
+
+def _with_held_out(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -371,14 +483,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(ids: list, texts: list[str]) -> dict[str, list]:
-        found = list(sent.value.score(texts))
-        return {"doc_id": ids, "score": [s for s, _ in found], "predicted": [int(s >= 0.5) for s, _ in found],
-                "evidence": [e for _, e in found]}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in pieces(batches):
+            yield _scored(ids, list(sent.value.score(texts)))
 
-    schema = "doc_id long, score double, predicted int, evidence array<long>"
-    scored = by_piece(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, schema)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+    return _with_held_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, SCORED))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:

@@ -240,3 +240,41 @@ def test_memory_of_the_toxicity_index():
     kept = sum(getattr(index, name).nbytes for name in ("tables", "row", "weight", "starts"))
     assert most < kept + 32 * len(terms), (most, kept, len(terms))
     assert (np.diff(index.row)[np.setdiff1d(np.arange(len(index.row) - 1), index.starts[1:] - 1)] != 0).all()
+
+
+def test_postings_of_the_toxicity_index_take_few_bytes():
+    """Each worker holds them: 12 bytes a posting took executors of the pipeline over their memory."""
+    rng = np.random.default_rng(8)
+    own = [np.unique((20_000 * rng.random(300) ** 2).astype(np.int32)) for _ in range(3_000)]
+    sizes, terms = np.array([len(t) for t in own]), np.concatenate(own)
+    counts = np.where(rng.random(len(terms)) < 0.01, rng.integers(2, 40, len(terms)), 1).astype(np.uint16)
+    idf = 1 + rng.random(20_000)
+    index = toxicity.Index.of(np.arange(3_000), rng.integers(0, 2, 3_000), sizes, terms, counts, idf)
+    assert index.row.nbytes + index.weight.nbytes < 4 * len(terms)
+    weights = (1 + np.log(counts)) * idf[terms]
+    row = np.repeat(np.arange(3_000), sizes)
+    weights /= np.sqrt(np.bincount(row, weights * weights))[row]
+    for n in range(0, 3_000, 100):
+        mine = np.zeros(20_000)
+        mine[terms[row == n]] = weights[row == n]
+        cosine = np.bincount(row, mine[terms] * weights)
+        want = np.lexsort((np.arange(3_000), -np.round(np.minimum(cosine, 1), 12)))[:15]
+        at, score = index.nearest({int(t): float(mine[t]) for t in np.flatnonzero(mine)}, 15)
+        assert index.ids[at].tolist() == want.tolist() and np.allclose(score, cosine[want], atol=1e-12)
+
+
+def test_terms_are_packed_whole():
+    finder = toxicity.Finder({t: n for n, t in enumerate(["ab", "abcd*", "abcdx", *map(str, range(997)), "zz"])})
+    texts = ["", "zz ab abcdx ab", "q", "abcdy " * 300, ""]
+    table = finder.table(texts)
+    assert all((a == b).all() for a, b in zip(toxicity.unpacked(toxicity.packed(*table)), table))
+    assert [dict(finder(t)) for t in texts] == [{}, {0: 2, 1: 1, 2: 1, 1000: 1}, {}, {1: 300}, {}]
+    assert [len(x) for x in toxicity.unpacked(toxicity.packed(*finder.table(["", "q"])))] == [2, 0, 0]
+
+
+def test_toxicity_with_kept_terms_is_the_same(labelled, no_docs):
+    docs, labels = labelled
+    rows = lambda frame: sorted((r.doc_id, r.held_out, r.score, r.predicted, r.evidence) for r in frame.collect())
+    assert str(rows(toxicity.rated(docs, labels))) == str(rows(toxicity.score(docs, toxicity.fit(docs, labels))))
+    assert toxicity.rated(no_docs, labels).count() == 0
+    assert {r.score for r in toxicity.rated(docs, labels.where("toxic = 3")).collect()} == {0.0}
