@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.session import pin
+from quillrank.session import pin, tasks_for
 
 #: Bytes of text of a shard, about. A shard ends at the end of a document.
 SHARD_BYTES = 1 << 24
@@ -30,6 +30,8 @@ ROW_BITS = 31
 PER_TASK_BITS = 12
 #: Shards of one part of the rounds, about.
 SHARDS = 4
+#: Words of text for each part in which longer phrases are added up; a place in the text is at most one row there.
+PART_WORDS = 1 << 21
 #: Parts that a language's phrases are ranked in first.
 PARTS = 64
 
@@ -240,15 +242,85 @@ def _single_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                  pa.array(index.counts[1:].astype(np.int32))], names=["lang", "word", "place", "size"])
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers in few bytes, byte by byte; of every other column, beginning with the first, the differences, as they rise or repeat."""
+    numbers = np.concatenate([c if k % 2 else np.diff(c, prepend=0) for k, c in enumerate(columns)]).astype(np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(numbers.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(data: bytes, columns: int = 4) -> list[np.ndarray]:
+    """The columns as ``packed`` got them."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    numbers = np.ascontiguousarray(planes.T).view(np.int64).reshape(columns, -1)
+    return [c if k % 2 else np.cumsum(c) for k, c in enumerate(numbers)]
+
+
+def _known(values: pa.Array) -> list[np.ndarray]:
+    """Start, size and phrase of a shard's intervals, from rows of them or packed."""
+    if pa.types.is_struct(values.type):
+        return [np.asarray(values.field(k)) for k in range(3)]
+    return [np.concatenate(c) for c in zip(*(unpacked(data, 3) for data in values.to_pylist()))]
+
+
+def _parts_of(head: np.ndarray, tail: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each phrase: a head is dealt to a 16th of the parts, at least four, by its tails, so that heads repeat and no head fills a part."""
+    mixed = lambda x: (y := (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)) ^ (y >> np.uint64(31))
+    several = max(4, parts // 16)
+    own = mixed(tail) % np.uint64(several) * np.uint64(max(1, parts // several))
+    return ((mixed(head) % np.uint64(parts) + own) % np.uint64(parts)).astype(np.int32)
+
+
+def _extended(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Intervals of phrases one word longer: a row for each shard and part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, index in enumerate(_unpacked(batch["before"])):
+                start, size, phrase = _known(batch["known"][row].values)
+                at, sizes, left, right = index.extend(start, size)
+                found = at, sizes, phrase[left], phrase[right]
+                part = _parts_of(*found[2:], parts)
+                by = np.argsort(part, kind="stable")
+                some = np.unique(part)
+                cuts = np.split(by, np.searchsorted(part[by], some[1:])) if len(some) else []
+                columns = [pa.array(some), pa.array([batch["shard"][row].as_py()] * len(some), pa.int64()),
+                           pa.array([packed(*(x[own] for x in found)) for own in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "shard", "found"])
+
+    return run
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases of one part with ``LEAST`` occurrences in all shards: each shard's intervals packed, and without a shard all phrases."""
+    held = [(shard, *unpacked(data)) for b in batches for shard, data in zip(b["shard"].to_pylist(), b["found"].to_pylist())]
+    if not held:
+        return
+    place = np.concatenate([(shard << ROW_BITS) + start for shard, start, *_ in held])
+    size, head, tail = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
+    del held
+    by = np.lexsort((place, tail, head))
+    place, size, head, tail = (x[by] for x in (place, size, head, tail))
+    del by
+    first = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]) if len(place) else np.zeros(0, np.int64)
+    each = np.diff(np.r_[first, len(place)])
+    count = np.add.reduceat(size, first) if len(place) else size
+    frequent = count >= LEAST
+    first = first[frequent]
+    rows = [(None, packed(place[first], count[frequent], head[first], tail[first]))]
+    kept = np.repeat(frequent, each)
+    phrase = np.repeat(place[first], each[frequent])
+    place, size = place[kept], size[kept]
+    by = np.argsort(place)
+    shard = place[by] >> ROW_BITS
+    for own in np.split(by, np.flatnonzero(shard[1:] != shard[:-1]) + 1) if len(by) else ():
+        rows.append((int(place[own[0]] >> ROW_BITS), packed(place[own] & ((1 << ROW_BITS) - 1), size[own], phrase[own])))
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "known"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, index in enumerate(_unpacked(batch["before"])):
-            known = batch["known"][row].values
-            start, size, phrase = (np.asarray(known.field(k)) for k in range(3))
-            at, sizes, left, right = index.extend(start, size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_place(batch, row) + at), pa.array(sizes.astype(np.int32)), pa.array(phrase[left]), pa.array(phrase[right])],
-                names=["place", "size", "head", "tail"])
+        for data in batch["known"].to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpacked(data)], names=["phrase", "count", "head", "tail"])
 
 
 def _frequent(rows: DataFrame, *keys: str) -> DataFrame:
@@ -276,27 +348,33 @@ def phrases(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     are the counts of the first and the last 1, 2, ... words; ``head`` and ``tail`` the numbers of
     the phrases without the last and without the first word.
     """
+    spark = docs.sparkSession
     shards = pin(indexed(docs), "phrase-index")
     totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
     words = shards.mapInArrow(_single_words, "lang string, word string, place long, size int")
     found = pin(_frequent(words, "lang", "word"), "phrase-rows")
-    listed = F.array("count")
+    own = F.array("count")
     single = found.where("phrase = place")
-    levels = [single.select("phrase", "lang", F.col("word").alias("text"), F.col("word").alias("last"), listed.alias("heads"), listed.alias("tails"), "count")]
+    levels = [single.select("phrase", "lang", F.col("word").alias("text"), F.col("word").alias("last"), own.alias("heads"), own.alias("tails"), "count")]
     # All rounds meet the indexes where one shuffle has put them.
-    parts = max(1, -(-shards.count() // SHARDS))
+    held = shards.agg(F.count(F.lit(1)), F.sum("n")).first()
+    parts = max(1, -(-held[0] // SHARDS))
+    adding = tasks_for(spark, held[1] or 0, PART_WORDS)
     indexes = shards.select("shard", "before").repartition(parts, "shard").persist(StorageLevel.DISK_ONLY)
+    shard, start = F.shiftright("place", ROW_BITS).alias("shard"), F.col("place").bitwiseAND((1 << ROW_BITS) - 1).alias("start")
+    known = found.select(shard, F.struct(start, "size", "phrase").alias("known"))
     for _ in range(1, WORDS):
-        shard, start = F.shiftright("place", ROW_BITS).alias("shard"), F.col("place").bitwiseAND((1 << ROW_BITS) - 1).alias("start")
-        known = found.select(shard, F.struct(start, "size", "phrase").alias("known")).repartition(parts, "shard")
-        known = known.groupBy("shard").agg(F.collect_list("known").alias("known"))
+        known = known.repartition(parts, "shard").groupBy("shard").agg(F.collect_list("known").alias("known"))
         longer = indexes.join(known.hint("shuffle_hash"), "shard").select("shard", "before", "known")
-        longer = longer.mapInArrow(_extended, "place long, size int, head long, tail long")
-        found = pin(_frequent(longer, "head", "tail"), "phrase-rows")
+        # Most of what is shuffled at all: packed by shard and part, a row of Spark's takes three times as many bytes.
+        longer = longer.mapInArrow(_extended(adding), "part int, shard long, found binary").repartitionById(adding, F.col("part"))
+        found = pin(longer.mapInArrow(_added_up, "shard long, known binary"), "phrase-rows")
+        known = found.where("shard IS NOT NULL")
         before = levels[-1]
         front = before.select(F.col("phrase").alias("head"), "lang", F.col("text").alias("front"), "heads")
         back = before.select(F.col("phrase").alias("tail"), "last", "tails")
-        longer = found.where("phrase = place").select("phrase", "head", "tail", "count").join(front, "head").join(back, "tail").select(
+        listed = found.where("shard IS NULL").select("known").mapInArrow(_listed, "phrase long, count long, head long, tail long")
+        longer = listed.join(front, "head").join(back, "tail").select(
             "phrase", "lang", F.concat_ws(" ", "front", "last").alias("text"), "last", "count",
             F.concat("heads", F.array("count")).alias("heads"), F.concat("tails", F.array("count")).alias("tails"), "head", "tail")
         levels.append(pin(longer, "phrases"))

@@ -117,3 +117,18 @@ def test_words_by_slices(monkeypatch):
     ids, words = collocations.symbols(pa.array(texts))
     assert ids.tolist() == whole[0].tolist() and words.to_pylist() == whole[1].to_pylist() == ["a", "b", "c", "x", "y", "é"]
     assert ids[:10].tolist() == [1, 2, 0, 3, 0, 2, 1, 0, 4, 5]
+
+
+def test_bytes_of_phrases_that_are_sent():
+    """A row of Spark's took 14 bytes in a shuffle; what a shard sends to one part has to take far fewer."""
+    rng = np.random.default_rng(2)
+    head = np.sort(rng.zipf(1.3, 20_000) % 5_000) * 977
+    size = np.minimum(rng.zipf(2.0, 20_000), 1_000)
+    found = np.cumsum(size + rng.integers(0, 3, 20_000)), size, head, rng.integers(0, 1 << 22, 20_000)
+    data = collocations.packed(*found)
+    assert len(data) < 7 * 20_000
+    assert all((a == b).all() for a, b in zip(collocations.unpacked(data), found))
+    part = collocations._parts_of(found[2], found[3], 50)
+    assert 0 <= part.min() and part.max() < 50 and all(len(set(part[head == h])) <= 4 for h in np.unique(head)[:200])
+    # One head alone is dealt out by its tails.
+    assert len(set(collocations._parts_of(np.full(900, 7), found[3][:900], 50))) == 4
