@@ -12,9 +12,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -408,7 +410,8 @@ def _learned(docs: DataFrame, labels: DataFrame, keep: bool) -> tuple[Model, Dat
     terms = counted["term"].to_pylist()
     n0, n1 = (counted[c].to_numpy() for c in ("n0", "n1"))
     size0, size1 = (int(n[0]) if len(n) else 0 for n in (n0, n1))
-    vocabulary = {t: n for n, t in enumerate(terms[1:])}
+    vocabulary = {t: n for n, t in enumerate(islice(terms, 1, None))}
+    del counted, terms
     # How far a term leans to label 1: 1 and more, so that no term is without weight.
     lean = np.log2(2 + n1[1:] / np.maximum(1.0, n0[1:] * (size1 / max(1, size0))))
     sent = spark.sparkContext.broadcast(Finder(vocabulary))
@@ -442,19 +445,22 @@ def _learned(docs: DataFrame, labels: DataFrame, keep: bool) -> tuple[Model, Dat
     def example(ids: list, texts: list[str], classes: list) -> dict[str, list]:
         sizes, *found = sent.value.table(texts)
         ends = np.cumsum(sizes)
-        terms, counts = ([f[b - n : b].astype(np.int32).tobytes() for n, b in zip(sizes, ends)] for f in found)
+        terms, counts = ([f[b - n : b].astype(np.int32) for n, b in zip(sizes, ends)] for f in found)
         return {"doc_id": ids, "label": classes, "terms": terms, "counts": counts}
 
-    kind = "doc_id long, label int, terms binary, counts binary"
-    # At most twice PER_CLASS rows, the vectors as bytes.
+    kind = "doc_id long, label int, terms array<int>, counts array<int>"
+    # At most twice PER_CLASS rows; the driver makes no Python values of them.
     vectors = by_piece(rows, example, kind).toArrow()
     sent.destroy()
     ids, classes = vectors["doc_id"].to_numpy(), vectors["label"].to_numpy()
-    term, count = (np.frombuffer(b"".join(vectors[c].to_pylist()), np.int32) for c in ("terms", "counts"))
-    lengths = np.array([len(t) // 4 for t in vectors["terms"].to_pylist()], np.int64)
+    lengths = pc.list_value_length(vectors["terms"]).to_numpy().astype(np.int64)
     some = lengths > 0
+    flat = lambda c: np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in vectors[c].chunks)])
+    count = flat("counts")
     small = np.uint16 if not len(count) or count.max() < 1 << 16 else np.int32
-    examples = Examples(ids[some], classes[some], lengths[some], term, count.astype(small))
+    count = count.astype(small)
+    examples = Examples(ids[some], classes[some], lengths[some], flat("terms"), count)
+    del vectors
     sizes = [int((classes == c).sum()) for c in (0, 1)]
     votes = tuple(totals.get(c, 0) / sizes[c] if sizes[c] else 0.0 for c in (0, 1))
     all_rows = totals.get(0, 0) + totals.get(1, 0)
