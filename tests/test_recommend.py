@@ -188,3 +188,16 @@ def test_blocks_of_a_large_fit():
     assert recommend.factor_blocks(100, 12) == 12 and recommend.factor_blocks(12_000_000, 12) == 12
     assert recommend.factor_blocks(29_000_000, 12) == recommend.factor_blocks(156_000_000, 12) == 8
     assert recommend.factor_blocks(400_000_000, 12) == 20
+
+
+def test_blocks_of_a_large_fit_leave_memory_to_its_tasks(planted, monkeypatch):
+    levels = []
+    inner = recommend.ALS
+    monkeypatch.setattr(recommend, "ALS", lambda **given: levels.append(given["intermediateStorageLevel"]) or inner(**given))
+
+    def factors():
+        return sorted((r.id, r.features) for r in recommend.fit_ratings(planted, rank=2, iterations=2).itemFactors.collect())
+
+    kept = factors()
+    monkeypatch.setattr(recommend, "KEPT_RATINGS", 100)
+    assert factors() == kept and levels == ["MEMORY_AND_DISK", "DISK_ONLY"]
