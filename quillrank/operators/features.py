@@ -57,17 +57,21 @@ def sparse(pairs: Column, size: int) -> Column:
 
 def added_up(df: DataFrame, pairs: str) -> DataFrame:
     """Sort the (place, value) pairs of a column by place and add up those with one place."""
-    rows = df.withColumn("__sorted", F.array_sort(pairs))
+    # A single pair needs none of this, and it is by far the most costly step of hashing it.
+    one = F.size(pairs) == 1
+    rows = df.withColumn("__sorted", F.when(one, F.col(pairs)).otherwise(F.array_sort(pairs)))
     size, place = F.size("__sorted"), lambda i: F.get("__sorted", i)["place"]
     last = F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (place(i) != place(i - 1)))
-    rows = rows.withColumn("__last", F.when(size > 0, last).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("__last", F.when(size > 1, last).when(size == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
 
     def total(end: Column, number: Column) -> Column:
         before = F.coalesce(F.get("__last", number - 1), F.lit(0))
         same = F.slice("__sorted", before + 1, end - before)
         return F.struct(place(end - 1).alias("place"), F.aggregate(same, F.lit(0.0), lambda s, p: s + p["value"]).alias("value"))
 
-    return rows.withColumn(pairs, F.transform("__last", total)).drop("__sorted", "__last")
+    first = F.get("__sorted", F.lit(0))
+    alone = F.array(F.struct(first["place"].alias("place"), (F.lit(0.0) + first["value"]).alias("value")))
+    return rows.withColumn(pairs, F.when(size == 1, alone).otherwise(F.transform("__last", total))).drop("__sorted", "__last")
 
 
 def hash_group(df: DataFrame, group: str | Column, bits: int, output: str = "features") -> DataFrame:

@@ -17,8 +17,10 @@ from quillrank.session import pin
 SIDES = ("left", "right")
 #: Spread of the first factors, decays and least denominator of the steps.
 SPREAD, DECAY, LEAST = 0.1, (0.9, 0.999), 1e-8
-#: Rows whose gradients a task works out at a time, and gradient rows that it hands on at a time.
-POOL, OUT = 200_000, 32_768
+#: Rows whose gradients a task works out at a time, gradient rows that it hands on at a time, and rows or features of a packed block.
+POOL, OUT, PACK, PACKED_FEATURES = 200_000, 32_768, 50_000, 1_000_000
+#: What a packed block holds: its rows, the sum of their labels, and as bytes the labels and each side's features.
+BLOCK = "n int, total double, label binary, " + ", ".join(f"{s}_{p} binary" for s in SIDES for p in ("counts", "slots", "values"))
 
 
 @dataclass
@@ -50,12 +52,18 @@ class GroupFactors:
         return linear, np.stack([np.bincount(rows, own[:, k], count) for k in range(self.rank)], 1)
 
     def scores(self, left: tuple, right: tuple) -> np.ndarray:
-        total = self.bias + left[0] + right[0] + (left[1] * right[1]).sum(1)
+        return self.linked(self.bias + left[0] + right[0] + (left[1] * right[1]).sum(1))
+
+    def linked(self, total: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500))) if self.classify else total
 
 
 def hashed(examples: DataFrame, left: str, right: str, bits: int) -> DataFrame:
     """Examples with the two groups as (slots, values) arrays, equal slots of a group added up; a pinned table."""
+    return pin(_hashed(examples, left, right, bits), "groups")
+
+
+def _hashed(examples: DataFrame, left: str, right: str, bits: int) -> DataFrame:
     rows = examples
     for side, group in zip(SIDES, (left, right)):
         pairs = F.transform(F.coalesce(F.col(group), F.array().cast(rows.schema[group].dataType)), lambda t: F.struct(
@@ -64,7 +72,7 @@ def hashed(examples: DataFrame, left: str, right: str, bits: int) -> DataFrame:
     for side in SIDES:
         rows = rows.withColumns({f"__{side}_slots": F.transform(f"__{side}", lambda p: p["place"]),
                                  f"__{side}_values": F.transform(f"__{side}", lambda p: p["value"])}).drop(f"__{side}")
-    return pin(rows, "groups")
+    return rows
 
 
 def _side(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,14 +86,15 @@ def fit(examples: DataFrame, left: str, right: str, label: str = "label", bits:
         step: float = 0.1, reg: float = 1e-4, classify: bool = False, seed: int = 7) -> GroupFactors:
     """Fit squared error, or log loss over labels 0 and 1 with ``classify``, by gradients of the whole table.
 
-    Each step is one pass: tasks add up the gradients of the slots over all their rows,
+    Each step is one pass over rows that are written once in packed blocks: tasks add up the gradients of the slots over all their rows,
     Spark adds these up by slot, and adaptive steps move the touched slots. ``reg`` pulls
     them to 0. Rows without a label teach nothing; an empty table gives a model that scores 0.
     """
     spark = examples.sparkSession
-    rows = hashed(examples.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), left, right), left, right, bits)
-    rows = rows.select("label", *[f"__{s}_{p}" for s in SIDES for p in ("slots", "values")])
-    count, mean = rows.agg(F.count(F.lit(1)), F.avg("label")).first()
+    rows = _hashed(examples.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), left, right), left, right, bits)
+    rows = pin(rows.select("label", *[f"__{s}_{p}" for s in SIDES for p in ("slots", "values")]).mapInArrow(_packed, BLOCK), "groups")
+    count, total = rows.agg(F.sum("n"), F.sum("total")).first()
+    mean = total / count if count else None
     size = 1 << bits
     if classify and count:
         mean = float(np.clip(mean, 1e-6, 1 - 1e-6))
@@ -100,7 +109,7 @@ def fit(examples: DataFrame, left: str, right: str, label: str = "label", bits:
     bias_step = np.zeros(2)
     for turn in range(1, iterations + 1):
         shared = spark.sparkContext.broadcast(model)
-        parts = rows.mapInArrow(_gradients(shared), schema)
+        parts = rows.mapInArrow(_block_gradients(shared), schema)
         found = parts.groupBy("side", "slot").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
         shared.destroy()
         side, at = np.asarray(found["side"]), np.asarray(found["slot"])
@@ -121,37 +130,96 @@ def fit(examples: DataFrame, left: str, right: str, label: str = "label", bits:
     return model
 
 
-def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at least ``POOL`` rows, but for the last one."""
-    held, rows = [], 0
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of examples, a row each; counts and values that are all 1 are left out."""
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        label = np.asarray(batch["label"], "f8")
+        columns = [pa.array([len(label)], pa.int32()), pa.array([float(label.sum())]), pa.array([label.tobytes()], pa.binary())]
+        for side in SIDES:
+            slots, values = batch[f"__{side}_slots"], batch[f"__{side}_values"]
+            counts, slots, values = np.diff(np.asarray(slots.offsets)).astype("i4"), np.asarray(slots.flatten(), "i4"), np.asarray(values.flatten(), "f8")
+            left_out = lambda numbers: b"" if (numbers == 1).all() else numbers.tobytes()
+            columns += [pa.array([part], pa.binary()) for part in (left_out(counts), slots.tobytes(), left_out(values))]
+        return pa.RecordBatch.from_arrays(columns, names=["n", "total", "label", *[f"{s}_{p}" for s in SIDES for p in ("counts", "slots", "values")]])
+
+    held, rows, features = [], 0, 0
     for batch in batches:
+        if not batch.num_rows:
+            continue
         held.append(batch)
         rows += batch.num_rows
-        if rows >= POOL:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, rows = [], 0
-    if rows:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        features += sum(len(batch[f"__{s}_slots"].flatten()) for s in SIDES)
+        if rows >= PACK or features >= PACKED_FEATURES:
+            yield block(held)
+            held, rows, features = [], 0, 0
+    if held:
+        yield block(held)
+
+
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[tuple]]]:
+    """Labels, and per side the (slots, values, row of each), of the rows of blocks: at least ``POOL`` or their features, but for the last.
+
+    Values are None where all are 1, rows where each has one feature.
+    """
+    def side(held: list[dict], name: str) -> tuple:
+        counts = [np.frombuffer(b[f"{name}_counts"], "i4") for b in held]
+        slots = [np.frombuffer(b[f"{name}_slots"], "i4") for b in held]
+        values, rows = None, None
+        if any(b[f"{name}_values"] for b in held):
+            values = np.concatenate([np.frombuffer(b[f"{name}_values"], "f8") if b[f"{name}_values"] else np.ones(len(s)) for b, s in zip(held, slots)])
+        if any(len(c) for c in counts):
+            rows = np.concatenate([c if len(c) else np.ones(b["n"], "i4") for b, c in zip(held, counts)])
+            rows = np.repeat(np.arange(len(rows)), rows)
+        return np.concatenate(slots).astype(np.intp), values, rows
+
+    def pool(held: list[dict]) -> tuple[np.ndarray, list[tuple]]:
+        return np.concatenate([np.frombuffer(b["label"], "f8") for b in held]), [side(held, s) for s in SIDES]
+
+    held, size = [], 0
+    for batch in batches:
+        for block in batch.to_pylist():
+            held.append(block)
+            size += max(block["n"], *[len(block[f"{s}_slots"]) // 4 for s in SIDES])
+            if size >= POOL:
+                yield pool(held)
+                held, size = [], 0
+    if held:
+        yield pool(held)
 
 
 def _gradients(shared):
+    """:func:`_block_gradients` of rows that are not packed."""
+    run = _block_gradients(shared)
+    return lambda batches: run(_packed(batches))
+
+
+def _block_gradients(shared):
     """Gradients of the slots that a task's rows touch, added up over all its rows: one row a slot and side."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = ["side", "slot", *[f"g{k}" for k in range(model.rank + 1)]]
         size = 1 << model.bits
+        # One table a factor: numbers of one table are looked up several times as fast as rows of all.
+        tables = [[model.weights[n], *np.ascontiguousarray(model.factors[n].T)] for n in range(len(SIDES))]
         gradient, touched, total = np.zeros((len(SIDES), model.rank + 1, size)), np.zeros((len(SIDES), size), bool), 0.0
-        for batch in _pooled(batches):
-            given = [_side(batch, s) for s in SIDES]
-            sums = [model.sums(n, *g, batch.num_rows) for n, g in enumerate(given)]
-            error = model.scores(*sums) - np.asarray(batch["label"])
+        times = lambda numbers, values: numbers if values is None else numbers * values
+        for label, given in _pooled(batches):
+            sums = []
+            for n, (slots, values, rows) in enumerate(given):
+                own = (times(t[slots], values) for t in tables[n])
+                sums.append([x if rows is None else np.bincount(rows, x, len(label)) for x in own])
+            score = model.bias + sums[0][0] + sums[1][0]
+            for mine, other in zip(sums[0][1:], sums[1][1:]):
+                score += mine * other
+            error = model.linked(score) - label
             for n, (slots, values, rows) in enumerate(given):
-                pull = values * error[rows]
-                other = sums[1 - n][1]
+                at = slice(None) if rows is None else rows
+                pull = times(error[at], values)
                 touched[n, slots] = True
                 gradient[n, 0] += np.bincount(slots, pull, size)
-                for k in range(model.rank):
-                    gradient[n, k + 1] += np.bincount(slots, pull * other[rows, k], size)
+                for k, other in enumerate(sums[1 - n][1:]):
+                    gradient[n, k + 1] += np.bincount(slots, pull * other[at], size)
             total += float(error.sum())
         for n in range(len(SIDES)):
             places = np.flatnonzero(touched[n])

@@ -219,3 +219,37 @@ def test_a_task_hands_on_one_gradient_per_slot():
     for r in out:
         if r["side"] < 2:
             assert np.allclose([r["g0"], r["g1"], r["g2"]], want[r["side"], r["slot"]])
+
+
+def test_a_fit_reads_packed_blocks(spark, monkeypatch):
+    """Few rows a step, and the same gradients whatever the blocks: single features, several, none, other values than 1."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quillrank.operators import group_factors as gf
+
+    rng = random.Random(6)
+    group = lambda p, n: [(f"{p}{rng.randrange(9)}", rng.choice([1.0, -0.5])) for _ in range(n)]
+    rows = [([("a1", 1.0)], [(f"b{n % 5}", 1.0)], float(n % 3)) for n in range(40)]
+    rows += [(group("a", rng.randrange(4)), group("b", rng.randrange(4)), rng.random()) for _ in range(60)] + [(None, [("b1", 1.0)], 2.0)]
+    df = spark.createDataFrame(rows, f"u array<{encode.FEATURE}>, i array<{encode.FEATURE}>, label double")
+    inner, written = gf.pin, []
+    monkeypatch.setattr(gf, "pin", lambda *given: written.append(inner(*given)) or written[-1])
+    model = gf.fit(df, "u", "i", bits=4, rank=2, iterations=2)
+    assert len(written) == 1 and written[0].count() <= df.rdd.getNumPartitions() < len(rows)
+    table = gf.hashed(df, "u", "i", 4).select("label", *[f"__{s}_{p}" for s in gf.SIDES for p in ("slots", "values")]).toArrow().combine_chunks()
+
+    def gradients(pack, pool, step):
+        monkeypatch.setattr(gf, "PACK", pack)
+        monkeypatch.setattr(gf, "POOL", pool)
+        blocks = gf._packed(iter(table.to_batches(max_chunksize=step)))
+        out = [r for b in gf._block_gradients(SimpleNamespace(value=model))(blocks) for r in b.to_pylist()]
+        assert len({(r["side"], r["slot"]) for r in out}) == len(out)
+        return {(r["side"], r["slot"]): [r["g0"], r["g1"], r["g2"]] for r in out}
+
+    whole = gradients(10**6, 10**6, 1000)
+    for given in ((7, 20, 3), (40, 1, 40), (1, 50, 1)):
+        some = gradients(*given)
+        assert some.keys() == whole.keys() and all(np.allclose(some[k], whole[k]) for k in whole)
+    assert list(gf._packed(iter([pa.RecordBatch.from_pylist([], schema=table.schema)]))) == []
