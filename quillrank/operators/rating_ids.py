@@ -82,7 +82,8 @@ def recommend(model: KeyedModel, ratings: DataFrame, k: int = 10, users: DataFra
 
     Rated pairs with ids that the model does not know change nothing.
     """
-    rated = model.numbered(ratings.select(model.user, model.item)).select("user_id", "item_id")
+    # Every round of items reads the rated pairs.
+    rated = pin(model.numbered(ratings.select(model.user, model.item)).select("user_id", "item_id"), "rated")
     if users is not None:
         known = model.users.select(F.col(model.user), F.col("number").alias("user_id"))
         wanted = users.select(model.user).where(F.col(model.user).isNotNull()).distinct()

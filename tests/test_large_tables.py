@@ -94,3 +94,16 @@ def test_unseen_pairs_come_from_one_join_in_many_tasks(spark):
     want = [(None, 1), (1, 2), (2, None), (2, 1)]
     for tasks in (None, 3):
         assert sorted(map(tuple, joins.drop_known(some, known, ["u", "i"], tasks).collect()), key=key) == want
+
+
+def test_rated_pairs_are_numbered_once(spark, monkeypatch):
+    """Rounds of items read written numbers, not the joins with the ids again; the lists are the same."""
+    rows = [(f"u{u}", f"i{i}", float((u * i) % 5 + 1)) for u in range(30) for i in range(40) if (u * 7 + i * 3) % 4] + [(None, "i1", 1.0)]
+    ratings = spark.createDataFrame(rows, "user_id string, item_id string, rating double")
+    model = rating_ids.fit(ratings, rank=2, iterations=2, blocks=2)
+    given = []
+    inner = rating_ids.plain.recommend_by_vectors
+    monkeypatch.setattr(rating_ids.plain, "recommend_by_vectors", lambda *a: given.append(a[3]) or inner(*a))
+    once, rounds = (sorted(map(tuple, rating_ids.recommend(model, ratings, 3, item_tile=tile).collect())) for tile in (1_000, 7))
+    assert once == rounds and once and not {r[:2] for r in once} & {r[:2] for r in rows}
+    assert not any("Join" in _plan(rated) for rated in given)
